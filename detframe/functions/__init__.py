@@ -1,0 +1 @@
+"""Column expressions; no function here starts a job or leaves the JVM."""

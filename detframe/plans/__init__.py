@@ -1,0 +1 @@
+"""Query plans over the driver tables, and the catalogue of registered queries."""

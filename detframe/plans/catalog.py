@@ -1,4 +1,445 @@
-"""Registered queries and their SQL oracles, by name."""
+"""Registered queries and their SQL oracles, by name.
+
+Results are keyed by sample; doubles are rounded to eight digits and NaN becomes null, as SQL has it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import boxes, scalars
+from ..operators import configs, images, losses, matching, metrics, overlay, pairs, preds, profile, randomize, samples
+from ..operators import gt as gts
+from ..sources import kitti
+from . import binding as b
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def tidy(d: DataFrame, digits: int = 8) -> DataFrame:
+    def one(name, kind):
+        if kind not in ("double", "float"):
+            return F.col(name)
+        c = F.col(name).cast("double")
+        return F.when(F.isnan(c), None).otherwise(F.round(c, digits)).alias(name)
+
+    return d.select(*[one(n, k) for n, k in d.dtypes])
+
+
+# ---- the derived tables in SQL -----------------------------------------------------------------------------
+
+_CAT = "cat AS (SELECT * FROM (VALUES (3, 'small_load_carrier', 0), (5, 'forklift', 1), (7, 'pallet', 2), (10, 'stillage', 3), (11, 'pallet_truck', 4)) v(category_id, name, idx))"
+_SAMPLES = "smp AS (SELECT o_orderkey AS sample_id, '//dataset/subset-' || CAST(o_orderkey % 6 AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) || '.jpg' AS path, 'subset-' || CAST(o_orderkey % 6 AS VARCHAR) AS subset, CASE WHEN o_orderkey % 6 IN (2, 3, 5) THEN 'training' WHEN o_orderkey % 6 IN (1, 4) THEN 'validation' END AS state FROM orders)"
+_ANN = """ann AS (SELECT l_orderkey AS sample_id, ann_pos, CAST(l_partkey % 12 AS INTEGER) AS category_id, CAST(l_partkey % 37 * 16 AS DOUBLE) AS x, CAST(l_suppkey % 23 * 20 AS DOUBLE) AS y,
+  l_quantity + 16.0::DOUBLE AS w, l_quantity + 24.0::DOUBLE AS h, CAST(l_suppkey % 5 AS INTEGER) AS label, l_discount * 100.0::DOUBLE AS dx, l_tax * 100.0::DOUBLE AS dy,
+  (l_partkey * 7919 + ann_pos * 104729) % 1000 / 1000.0::DOUBLE AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS ann_pos FROM lineitem))"""
+_VALID = "valid AS (SELECT a.*, c.idx AS cls, (x + w / 2) * (640.0::DOUBLE / 960) / 640 AS cx, (y + h / 2) * (640.0::DOUBLE / 544) / 640 AS cy, w * (640.0::DOUBLE / 960) / 640 AS nw, h * (640.0::DOUBLE / 544) / 640 AS nh FROM ann a JOIN cat c USING (category_id) JOIN smp USING (sample_id))"
+_GT = "gt AS (SELECT sample_id, gt_idx, cls, cx, cy, nw AS w, nh AS h FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ann_pos) - 1 AS gt_idx FROM valid) WHERE gt_idx < 400)"
+_PRED = """pred AS (SELECT sample_id, ann_pos AS query_idx, label, (x + dx) * (640.0::DOUBLE / 960) AS x1, (y + dy) * (640.0::DOUBLE / 544) AS y1,
+  (x + dx) * (640.0::DOUBLE / 960) + w * (640.0::DOUBLE / 960) AS x2, (y + dy) * (640.0::DOUBLE / 544) + h * (640.0::DOUBLE / 544) AS y2, score FROM ann),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, query_idx) - 1 AS pred_idx FROM pred WHERE CAST(score AS FLOAT) >= CAST(0.3 AS FLOAT)) WHERE pred_idx < 300)"""
+_PAIRS = """raw AS (SELECT g.sample_id, gt_idx, pred_idx, cls AS gt_cls, label AS pred_label, score,
+  cx - w / 2 AS gx1, cy - h / 2 AS gy1, cx + w / 2 AS gx2, cy + h / 2 AS gy2, x1 / 640 AS px1, y1 / 640 AS py1, x2 / 640 AS px2, y2 / 640 AS py2 FROM gt g JOIN top p ON g.sample_id = p.sample_id),
+over AS (SELECT *, greatest(least(gx2, px2) - greatest(gx1, px1), 0) * greatest(least(gy2, py2) - greatest(gy1, py1), 0) AS inter FROM raw),
+uni AS (SELECT *, (gx2 - gx1) * (gy2 - gy1) + (px2 - px1) * (py2 - py1) - inter AS un, (greatest(gx2, px2) - least(gx1, px1)) * (greatest(gy2, py2) - least(gy1, py1)) AS hull FROM over),
+pairs AS (SELECT *, inter / greatest(un, 1e-6) AS iou FROM uni)"""
+_BASE = f"WITH {_CAT}, {_SAMPLES}, {_ANN}, {_VALID}, {_GT}, {_PRED}"
+_SCORED = f"""{_BASE}, {_PAIRS},
+scored AS (SELECT *, row_number() OVER (PARTITION BY sample_id, pred_idx ORDER BY iou DESC, gt_idx) AS rn, iou = max(iou) OVER (PARTITION BY sample_id, pred_idx) AS top FROM pairs),
+ng AS (SELECT sample_id, count(*) AS g FROM gt GROUP BY 1), np AS (SELECT sample_id, count(*) AS p FROM top GROUP BY 1)"""
+_METRICS = f"""{_SCORED},
+tp AS (SELECT sample_id, count(DISTINCT gt_idx) AS tp FROM scored WHERE rn = 1 AND iou >= 0.1 GROUP BY 1),
+pick AS (SELECT sample_id, gt_idx, iou, pred_label, row_number() OVER (PARTITION BY sample_id, gt_idx ORDER BY iou DESC, pred_idx) AS r FROM scored WHERE top AND iou > 0),
+pg AS (SELECT gt.sample_id, avg(coalesce(k.iou, 0)) AS iou, avg(CASE WHEN coalesce(k.pred_label, f.label) = gt.cls THEN 1.0::DOUBLE ELSE 0 END) AS accuracy
+       FROM gt LEFT JOIN (SELECT * FROM pick WHERE r = 1) k USING (sample_id, gt_idx) LEFT JOIN (SELECT sample_id, label FROM top WHERE pred_idx = 0) f ON f.sample_id = gt.sample_id GROUP BY 1),
+m AS (SELECT s.sample_id, coalesce(g, 0) AS g, coalesce(p, 0) AS p, coalesce(tp, 0) AS tp, pg.iou, pg.accuracy FROM smp s LEFT JOIN ng USING (sample_id) LEFT JOIN np USING (sample_id) LEFT JOIN tp USING (sample_id) LEFT JOIN pg USING (sample_id)),
+met AS (SELECT sample_id, tp / nullif(p, 0)::DOUBLE AS precision, tp / nullif(g, 0)::DOUBLE AS recall,
+  CASE WHEN tp > 0 THEN 2 * (tp / p::DOUBLE) * (tp / g::DOUBLE) / (tp / p::DOUBLE + tp / g::DOUBLE) ELSE 0 END AS f1,
+  CAST(p - tp AS INTEGER) AS fp, CAST(tp AS INTEGER) AS tp, CAST(g - tp AS INTEGER) AS fn,
+  CASE WHEN g = 0 AND p = 0 THEN 1 WHEN g = 0 OR p = 0 THEN 0 ELSE iou END AS iou, CASE WHEN g = 0 AND p = 0 THEN 1 WHEN g = 0 OR p = 0 THEN 0 ELSE accuracy END AS accuracy FROM m)"""
+_CLASS = "(CASE {0} WHEN 0 THEN 'small_load_carrier' WHEN 1 THEN 'forklift' WHEN 2 THEN 'pallet' WHEN 3 THEN 'stillage' WHEN 4 THEN 'pallet_truck' ELSE 'Unknown' END)"
+
+# ---- matching and metrics -------------------------------------------------------------------------------------
+
+
+@query(f"{_METRICS} SELECT sample_id, round(precision, 8) AS precision, round(recall, 8) AS recall, round(f1, 8) AS f1, fp, tp, fn, round(iou, 8) AS iou FROM met")
+def det_prf_iou(spark, d):
+    return tidy(metrics.sample_metrics(b.samples(spark, d), b.gt(spark, d), b.top(spark, d)).drop("accuracy"))
+
+
+@query(f"{_METRICS} SELECT sample_id, round(accuracy, 8) AS accuracy FROM met")
+def det_accuracy(spark, d):
+    return tidy(metrics.sample_metrics(b.samples(spark, d), b.gt(spark, d), b.top(spark, d)).select("sample_id", "accuracy"))
+
+
+_CONFUSION = f"""{_SCORED},
+el AS (
+ SELECT t.sample_id, 'prediction' AS elem_kind, {_CLASS.format('CASE WHEN s.iou > 0.1 THEN s.gt_cls ELSE t.label END')} AS class_name, CASE WHEN s.iou > 0.1 THEN 'Positive' ELSE 'Negative' END AS polarity, t.score AS confidence
+ FROM top t JOIN ng USING (sample_id) LEFT JOIN (SELECT * FROM scored WHERE rn = 1) s ON s.sample_id = t.sample_id AND s.pred_idx = t.pred_idx
+ UNION ALL SELECT gt.sample_id, 'ground truth', {_CLASS.format('cls')}, 'Positive', 0 FROM gt LEFT JOIN (SELECT sample_id, gt_idx, max(iou) AS m FROM pairs GROUP BY 1, 2) n USING (sample_id, gt_idx) WHERE coalesce(m, 0) <= 0.1
+ UNION ALL SELECT s.sample_id, 'ground truth', 'Unknown', 'Positive', 0 FROM smp s LEFT JOIN ng USING (sample_id) WHERE g IS NULL
+ UNION ALL SELECT s.sample_id, 'background', 'background', 'Positive', 0 FROM smp s LEFT JOIN (SELECT DISTINCT sample_id FROM pairs WHERE iou > 0.1) n USING (sample_id) WHERE n.sample_id IS NULL)"""
+
+
+@query(f"{_CONFUSION} SELECT sample_id, elem_kind, class_name, polarity, round(confidence, 8) AS confidence FROM el")
+def confusion_elements(spark, d):
+    return tidy(metrics.confusion_elements(b.samples(spark, d), b.gt(spark, d), b.top(spark, d)))
+
+
+@query(f"{_CONFUSION} SELECT class_name, polarity, count(*) AS n, round(avg(confidence), 8) AS mean_confidence FROM el GROUP BY 1, 2")
+def confusion_matrix_agg(spark, d):
+    return tidy(metrics.confusion_matrix(metrics.confusion_elements(b.samples(spark, d), b.gt(spark, d), b.top(spark, d))))
+
+
+@query(f"{_BASE}, {_PAIRS} SELECT sample_id, gt_idx, pred_idx, gt_cls, pred_label, round(iou, 8) AS iou FROM pairs WHERE gx1 < px2 AND px1 < gx2 AND gy1 < py2 AND py1 < gy2")
+def iou_pairs(spark, d):
+    return tidy(pairs.pairs(b.gt(spark, d), b.top(spark, d)).drop("score"))
+
+
+@query(f"{_BASE}, {_PAIRS} SELECT sample_id, gt_idx, pred_idx, round(inter / nullif(un, 0), 8) AS iou, round(inter / nullif(un, 0) - (hull - un) / nullif(hull, 0), 8) AS giou FROM pairs")
+def giou_pairs(spark, d):
+    return tidy(pairs.pairs(b.gt(spark, d), b.top(spark, d), prune=False, clamp=None, with_giou=True).select("sample_id", "gt_idx", "pred_idx", "iou", "giou"))
+
+
+@query(f"{_METRICS} SELECT state, subset, CAST(grouping(state, subset) AS INTEGER) AS level, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(avg(f1), 8) AS mean_f1 FROM met JOIN smp USING (sample_id) WHERE state IS NOT NULL GROUP BY ROLLUP (state, subset)")
+def metrics_rollup(spark, d):
+    s = b.samples(spark, d)
+    return tidy(metrics.metrics_rollup(metrics.sample_metrics(s, b.gt(spark, d), b.top(spark, d)), samples.routed(s)))
+
+
+@query(f"""{_SCORED},
+mm AS (SELECT *, row_number() OVER (PARTITION BY sample_id, pred_idx ORDER BY iou DESC, gt_idx) AS r1 FROM pairs WHERE gt_cls = pred_label AND iou >= 0.5),
+m2 AS (SELECT sample_id, pred_idx FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, gt_idx ORDER BY pred_idx) AS r2 FROM mm WHERE r1 = 1) WHERE r2 = 1),
+pt AS (SELECT label, score, sum(CASE WHEN m2.sample_id IS NULL THEN 0 ELSE 1 END) AS tp, count(*) AS n FROM top LEFT JOIN m2 USING (sample_id, pred_idx) GROUP BY 1, 2),
+cv AS (SELECT label, tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM pt WINDOW w AS (PARTITION BY label ORDER BY score DESC))
+SELECT {_CLASS.format('x.cls')} AS class_name, x.n_gt, round(coalesce(sum(tp * ctp / cn::DOUBLE) / x.n_gt, 0), 8) AS ap FROM (SELECT cls, count(*) AS n_gt FROM gt GROUP BY 1) x LEFT JOIN cv ON cv.label = x.cls GROUP BY x.cls, x.n_gt""")
+def average_precision(spark, d):
+    return tidy(metrics.average_precision(b.gt(spark, d), b.top(spark, d)))
+
+
+# ---- samples, ground truth, predictions --------------------------------------------------------------------------
+
+
+@query(f"WITH {_SAMPLES} SELECT CAST(sample_id AS VARCHAR) AS sample_id, subset, state FROM smp WHERE state IS NOT NULL")
+def sample_split(spark, d):
+    s = samples.routed(b.samples(spark, d))
+    return s.select(samples.sample_id(F.col("sample_id")).alias("sample_id"), "subset", "state")
+
+
+@query(f"WITH {_SAMPLES} SELECT state, count(*) AS n FROM smp WHERE state IS NOT NULL GROUP BY 1")
+def split_counts(spark, d):
+    return samples.split_counts(samples.routed(b.samples(spark, d)))
+
+
+@query(f"WITH {_SAMPLES} SELECT sample_id, state FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY sample_id) AS r FROM smp WHERE state IS NOT NULL) WHERE r <= 100")
+def sample_caps(spark, d):
+    return samples.capped(samples.routed(b.samples(spark, d)), 100, ["sample_id"]).select("sample_id", "state")
+
+
+@query(f"{_BASE} SELECT sample_id, gt_idx, cls, round(cx, 8) AS cx, round(cy, 8) AS cy, round(w, 8) AS w, round(h, 8) AS h FROM gt")
+def gt_normalized(spark, d):
+    return tidy(b.gt(spark, d))
+
+
+@query(f"{_BASE} SELECT s.sample_id, coalesce(n, 0) AS n_real, 400 AS n_rows, coalesce(label_sum, 0) - (400 - coalesce(n, 0)) AS label_sum FROM smp s LEFT JOIN (SELECT sample_id, count(*) AS n, CAST(sum(cls) AS BIGINT) AS label_sum FROM gt GROUP BY 1) USING (sample_id)")
+def gt_padded_counts(spark, d):
+    p = gts.padded(b.samples(spark, d), b.gt(spark, d))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return p.select("sample_id", F.aggregate("gt_mask", F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_real"), F.size("gt_padded").alias("n_rows"), total("gt_labels").alias("label_sum"))
+
+
+@query(f"{_BASE} SELECT sample_id, gt_idx, cls FROM gt")
+def gt_from_padded(spark, d):
+    return gts.from_padded(gts.padded(b.samples(spark, d), b.gt(spark, d))).select("sample_id", "gt_idx", "cls")
+
+
+@query(f"WITH {_CAT}, {_ANN} SELECT name AS class_name, count(*) AS n FROM ann JOIN cat USING (category_id) GROUP BY 1")
+def category_join(spark, d):
+    v = samples.with_valid_class(b.annotations(spark, d), samples.categories(spark))
+    return v.groupBy(samples.class_name(F.col("cls")).alias("class_name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_SAMPLES}, {_ANN} SELECT s.sample_id, coalesce(n, 0) AS n_anns, first_cat FROM smp s LEFT JOIN (SELECT sample_id, CAST(count(*) AS INTEGER) AS n, arg_min(category_id, ann_pos) AS first_cat FROM ann GROUP BY 1) USING (sample_id)")
+def images_with_annotations(spark, d):
+    a = b.annotations(spark, d).select(F.col("sample_id").alias("image_id"), "ann_pos", "category_id", F.array("x", "y", "w", "h").alias("bbox"))
+    i = samples.images_with_annotations(b.samples(spark, d).withColumnRenamed("sample_id", "image_id"), a)
+    return i.select(F.col("image_id").alias("sample_id"), F.size("anns").alias("n_anns"), F.get("anns", F.lit(0))["category_id"].alias("first_cat"))
+
+
+@query(f"WITH {_ANN}, {_PRED} SELECT sample_id, pred_idx, query_idx, label, round(score, 8) AS score, round(x1, 8) AS x1, round(y2, 8) AS y2 FROM top")
+def pred_topk(spark, d):
+    return tidy(b.top(spark, d).select("sample_id", "pred_idx", "query_idx", "label", "score", "x1", "y2"))
+
+
+@query(f"WITH {_SAMPLES}, {_ANN}, {_PRED} SELECT s.sample_id, coalesce(n, 0) AS n, best FROM smp s LEFT JOIN (SELECT sample_id, CAST(count(*) AS INTEGER) AS n, round(max(score), 4) AS best FROM top GROUP BY 1) USING (sample_id)")
+def pred_packed(spark, d):
+    p = preds.packed(b.samples(spark, d), b.top(spark, d))
+    return tidy(p.select("sample_id", F.size("packed").alias("n"), F.get(F.get("packed", F.lit(0)), F.lit(4)).alias("best")), 4)
+
+
+#: Means of pixel fractions end in a 5 at fewer digits, where engines round differently.
+_STAT = "round({0}, 11) AS {1}"
+
+
+@query(f"""{_BASE}, v AS (SELECT *, nw * nh AS area FROM valid),
+p AS (SELECT sample_id, count(*) AS n_objects, count(DISTINCT cls) AS n_classes, avg(area) AS area_mean, median(area) AS area_median, min(area) AS area_min, max(area) AS area_max, var_pop(area) AS area_var,
+  avg(cx) AS cx_mean, median(cx) AS cx_median, avg(cy) AS cy_mean, median(cy) AS cy_median, var_pop(cx) + var_pop(cy) AS center_var FROM v GROUP BY 1)
+SELECT s.sample_id, coalesce(n_objects, 0) AS n_objects, coalesce(n_classes, 0) AS n_classes, {', '.join(_STAT.format(c, c) for c in ('area_mean', 'area_median', 'area_min', 'area_max', 'area_var', 'cx_mean', 'cx_median', 'cy_mean', 'cy_median', 'center_var'))}
+FROM smp s LEFT JOIN p USING (sample_id)""")
+def sample_profile(spark, d):
+    p = profile.sample_profile(b.samples(spark, d), b.annotations(spark, d), samples.categories(spark))
+    return tidy(p.drop(*[f"n_{n}" for _, n, _ in samples.CATEGORIES]), 11)
+
+
+@query(f"{_BASE} SELECT s.sample_id, " + ", ".join(f"CAST(nullif(sum(CASE WHEN cls = {i} THEN 1 ELSE 0 END), 0) AS DOUBLE) AS n_{n}" for _, n, i in samples.CATEGORIES) + " FROM smp s LEFT JOIN valid v ON v.sample_id = s.sample_id GROUP BY 1")
+def class_counts(spark, d):
+    p = profile.sample_profile(b.samples(spark, d), b.annotations(spark, d), samples.categories(spark))
+    return tidy(p.select("sample_id", *[f"n_{n}" for _, n, _ in samples.CATEGORIES]))
+
+
+@query(f"""{_BASE} SELECT sample_id, '_GT' AS kind, round(cx, 8) AS x, round(cy, 8) AS y, round(w, 8) AS width, round(h, 8) AS height, 1.0::DOUBLE AS confidence, {_CLASS.format('cls')} AS label FROM gt
+UNION ALL SELECT sample_id, '_PRED', round((a + c) / 2, 8), round((b + e) / 2, 8), round(c - a, 8), round(e - b, 8), round(score, 8), {_CLASS.format('label')}
+FROM (SELECT *, least(greatest(x1 / 640, 0), 1) AS a, least(greatest(y1 / 640, 0), 1) AS b, least(greatest(x2 / 640, 0), 1) AS c, least(greatest(y2 / 640, 0), 1) AS e FROM top)""")
+def overlay_boxes(spark, d):
+    return tidy(overlay.overlay_boxes(b.gt(spark, d), b.top(spark, d)))
+
+
+# ---- assignment and losses -----------------------------------------------------------------------------------
+
+_VEC = """q AS (SELECT vec_id AS sample_id, qi AS query_idx, [CAST(embedding[qi * 9 + 1 + k] AS DOUBLE) FOR k IN range(5)] AS logits,
+  1 / (1 + exp(-CAST(embedding[qi * 9 + 6] AS DOUBLE))) AS cx, 1 / (1 + exp(-CAST(embedding[qi * 9 + 7] AS DOUBLE))) AS cy, 1 / (1 + exp(-CAST(embedding[qi * 9 + 8] AS DOUBLE))) AS w, 1 / (1 + exp(-CAST(embedding[qi * 9 + 9] AS DOUBLE))) AS h
+  FROM embeddings, (SELECT unnest(range(7)) AS qi)),
+g AS (SELECT vec_id AS sample_id, j AS gt_idx, CAST((label + j) % 5 AS INTEGER) AS cls, (label + 1 + 3 * j) / 14.0::DOUBLE AS cx, (label * 3 % 10 + 1) / 12.0::DOUBLE AS cy, label * 0.02::DOUBLE + 0.1::DOUBLE AS w, label * 0.01::DOUBLE + j * 0.05::DOUBLE + 0.15::DOUBLE AS h
+  FROM embeddings, (SELECT unnest([0, 1]) AS j) WHERE j <= label % 2),
+pr AS (SELECT g.sample_id, gt_idx, query_idx, cls, logits, logits[cls + 1] AS x, abs(q.cx - g.cx) + abs(q.cy - g.cy) + abs(q.w - g.w) + abs(q.h - g.h) AS l1,
+  q.cx - q.w / 2 AS ax1, q.cy - q.h / 2 AS ay1, q.cx + q.w / 2 AS ax2, q.cy + q.h / 2 AS ay2, g.cx - g.w / 2 AS bx1, g.cy - g.h / 2 AS by1, g.cx + g.w / 2 AS bx2, g.cy + g.h / 2 AS by2 FROM g JOIN q ON q.sample_id = g.sample_id),
+pi AS (SELECT *, greatest(least(ax2, bx2) - greatest(ax1, bx1), 0) * greatest(least(ay2, by2) - greatest(ay1, by1), 0) AS inter, 1 / (1 + exp(-x)) AS p FROM pr),
+pu AS (SELECT *, (ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - inter AS un, (greatest(ax2, bx2) - least(ax1, bx1)) * (greatest(ay2, by2) - least(ay1, by1)) AS hull FROM pi),
+pg AS (SELECT *, inter / un AS iou, inter / un - (hull - un) / hull AS giou, 0.25::DOUBLE * pow(1 - p, 2) * -ln(p + 1e-8) - 0.75::DOUBLE * pow(p, 2) * -ln(1 - p + 1e-8) AS cc FROM pu),
+cost AS (SELECT *, 5 * l1 + 2 * cc - 2 * giou AS cost FROM pg),
+two AS (SELECT a.sample_id, a.query_idx AS q0, c.query_idx AS q1, a.cost + coalesce(c.cost, 0) AS total FROM cost a LEFT JOIN cost c ON c.sample_id = a.sample_id AND c.gt_idx = 1 AND c.query_idx <> a.query_idx WHERE a.gt_idx = 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY total) AS r FROM two) WHERE r = 1),
+mt AS (SELECT c.* FROM cost c JOIN best k ON k.sample_id = c.sample_id AND c.query_idx = CASE c.gt_idx WHEN 0 THEN k.q0 ELSE k.q1 END),
+nb AS (SELECT sample_id, greatest(count(*), 1) AS nb FROM g GROUP BY 1),
+cells AS (SELECT q.sample_id, q.query_idx, k, q.logits[k + 1] AS x, CASE WHEN mt.cls = k THEN 1.0::DOUBLE ELSE 0 END AS t, CASE WHEN mt.cls = k THEN mt.iou ELSE 0 END AS tq
+  FROM q CROSS JOIN (SELECT unnest(range(5)) AS k) LEFT JOIN mt ON mt.sample_id = q.sample_id AND mt.query_idx = q.query_idx),
+ls AS (SELECT sample_id, sum((0.75::DOUBLE * pow(1 / (1 + exp(-x)), 2) * (1 - t) + tq) * (greatest(x, 0) - x * tq + ln(1 + exp(-abs(x))))) AS vfl,
+  sum((0.75::DOUBLE * t + 0.25::DOUBLE * (1 - t)) * pow(1 - ((1 / (1 + exp(-x))) * t + (1 - 1 / (1 + exp(-x))) * (1 - t)), 2) * (greatest(x, 0) - x * t + ln(1 + exp(-abs(x))))) AS focal FROM cells GROUP BY 1),
+bx AS (SELECT sample_id, sum(l1) AS bbox, sum(1 - giou) AS giou FROM mt GROUP BY 1)"""
+
+
+def _vectors(spark, d):
+    q, g = b.queries(spark, d), b.vector_gt(spark, d)
+    return q.select("sample_id").distinct(), q, g, matching.assignments(matching.match_costs(q, g))
+
+
+@query(f"WITH {_VEC} SELECT sample_id, gt_idx, query_idx, round(cc, 8) AS cost_class, round(l1, 8) AS cost_box, round(-giou, 8) AS cost_giou, round(cost, 8) AS cost FROM cost")
+def match_cost(spark, d):
+    return tidy(matching.match_costs(b.queries(spark, d), b.vector_gt(spark, d)))
+
+
+@query(f"WITH {_VEC} SELECT sample_id, gt_idx, query_idx, round(-exp(x - list_max(logits)) / list_sum([exp(l - list_max(logits)) FOR l IN logits]), 8) AS cost_class FROM cost")
+def loss_softmax_cost(spark, d):
+    return tidy(matching.match_costs(b.queries(spark, d), b.vector_gt(spark, d), focal=False).select("sample_id", "gt_idx", "query_idx", "cost_class"))
+
+
+@query(f"WITH {_VEC} SELECT sample_id, count(*) AS n, round(sum(cost), 8) AS total_cost FROM mt GROUP BY 1")
+def match_assign(spark, d):
+    return tidy(_vectors(spark, d)[3].groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("total_cost")))
+
+
+@query(f"WITH {_VEC} SELECT sample_id, round(vfl / nb, 8) AS loss_vfl FROM ls JOIN nb USING (sample_id)")
+def loss_vfl(spark, d):
+    return tidy(losses.criterion(*_vectors(spark, d), losses=("vfl",)).select("sample_id", "loss_vfl"))
+
+
+@query(f"WITH {_VEC} SELECT sample_id, round(focal / nb, 8) AS loss_focal FROM ls JOIN nb USING (sample_id)")
+def loss_focal(spark, d):
+    return tidy(losses.criterion(*_vectors(spark, d), losses=("focal",), weights={"loss_focal": 1.0}).select("sample_id", "loss_focal"))
+
+
+@query(f"WITH {_VEC} SELECT sample_id, round(5 * bbox / nb, 8) AS loss_bbox, round(2 * giou / nb, 8) AS loss_giou FROM bx JOIN nb USING (sample_id)")
+def loss_boxes(spark, d):
+    return tidy(losses.criterion(*_vectors(spark, d), losses=("boxes",)).select("sample_id", "loss_bbox", "loss_giou"))
+
+
+@query(f"WITH {_VEC} SELECT sample_id, round(vfl / nb, 8) AS loss_vfl, round(5 * bbox / nb, 8) AS loss_bbox, round(2 * giou / nb, 8) AS loss_giou, round(vfl / nb + 5 * bbox / nb + 2 * giou / nb, 8) AS total FROM ls JOIN nb USING (sample_id) JOIN bx USING (sample_id)")
+def loss_total(spark, d):
+    return tidy(losses.criterion(*_vectors(spark, d)))
+
+
+@query(f"WITH {_VEC} SELECT nb.sample_id, CAST(qi AS INTEGER) AS query_idx, CAST(qi % n AS INTEGER) AS gt_idx FROM (SELECT sample_id, count(*) AS n FROM g GROUP BY 1) nb, (SELECT unnest(range(7)) AS qi) WHERE qi < n * 3")
+def dn_match(spark, d):
+    g = b.vector_gt(spark, d)
+    positives = b.queries(spark, d).select("sample_id", F.col("query_idx").alias("pos"), "query_idx")
+    return matching.denoising_matches(g, positives, 3)
+
+
+@query(f"WITH {_VEC} SELECT sample_id, 'main' AS head, round(vfl / nb, 8) AS loss_vfl FROM ls JOIN nb USING (sample_id) UNION ALL SELECT sample_id, 'aux_0', round(vfl / nb, 8) FROM ls JOIN nb USING (sample_id)")
+def loss_heads(spark, d):
+    s, q, g, m = _vectors(spark, d)
+    both = q.withColumn("head", F.explode(F.array(F.lit("main"), F.lit("aux_0"))))
+    return tidy(losses.criterion(s, both, g, m, losses=("vfl",)).select("sample_id", "head", "loss_vfl"))
+
+
+# ---- configurations -------------------------------------------------------------------------------------------
+
+_BASE_SQL = b.BASE_CONFIG
+_OVER = f"""ov AS (SELECT event_id, CAST(user_id % 5 AS INTEGER) AS run_number, event_type AS experiment,
+  json_merge_patch('{_BASE_SQL}'::JSON, ('{{"run": {{"num_frames": ' || (event_id % 4) || '}}, "camera": {{"fov_min": ' || (event_id % 50 + 40) || '}}, "k": ' || json_extract_string(props, '$.k') || '}}')::JSON) AS c FROM events)"""
+
+
+@query(f"WITH {_OVER} SELECT event_id, CAST(c->>'$.run.num_frames' AS INTEGER) AS num_frames, c->>'$.run.distractors' AS distractors, CAST(c->>'$.camera.fov_min' AS DOUBLE) AS fov_min, CAST(c->>'$.camera.fov_max' AS DOUBLE) AS fov_max, CAST(c->>'$.k' AS BIGINT) AS k FROM ov")
+def config_merge(spark, d):
+    base, over = F.parse_json(F.lit(b.BASE_CONFIG)), F.parse_json("override")
+    at = lambda path, kind: F.try_variant_get(configs.merged_path(base, over, path), "$", kind)
+    return b.overrides(spark, d).select("event_id", at("$.run.num_frames", "int").alias("num_frames"), at("$.run.distractors", "string").alias("distractors"), at("$.camera.fov_min", "double").alias("fov_min"), at("$.camera.fov_max", "double").alias("fov_max"), at("$.k", "long").alias("k"))
+
+
+@query(f"WITH {_OVER} SELECT event_id, CAST(c->>'$.run.num_frames' AS INTEGER) AS num_frames, CAST(c->>'$.camera.fov_max' AS DOUBLE) AS fov_max, CAST(c->>'$.k' AS BIGINT) AS k FROM ov")
+def config_merge_open(spark, d):
+    m = b.overrides(spark, d).select("event_id", F.parse_json(configs.deep_merge(F.lit(b.BASE_CONFIG), F.col("override"))).alias("m"))
+    return m.select("event_id", F.try_variant_get("m", "$.run.num_frames", "int").alias("num_frames"), F.try_variant_get("m", "$.camera.fov_max", "double").alias("fov_max"), F.try_variant_get("m", "$.k", "long").alias("k"))
+
+
+@query("SELECT 'exp/' || event_type || '/' || CAST(event_id AS VARCHAR) || '.yaml' AS path, 'exp/base_' || CAST(user_id % 3 AS VARCHAR) || '.yaml' AS parent_path, CAST(user_id % 3 AS BIGINT) AS parent, event_id AS own FROM events UNION ALL SELECT 'exp/base_' || CAST(i AS VARCHAR) || '.yaml', NULL, i, NULL FROM range(3) t(i)")
+def config_extends(spark, d):
+    e = b.read(spark, d, "events")
+    child = e.select(F.concat(F.lit("exp/"), "event_type", F.lit("/"), F.col("event_id").cast("string"), F.lit(".yaml")).alias("path"), F.concat(F.lit("../base_"), (F.col("user_id") % 3).cast("string"), F.lit(".yaml")).alias("extends"), F.concat(F.lit('{"a": {"own": '), F.col("event_id").cast("string"), F.lit("}}")).alias("config"))
+    i = F.col("id").cast("string")
+    base = spark.range(3).select(F.concat(F.lit("exp/base_"), i, F.lit(".yaml")).alias("path"), F.lit(None).cast("string").alias("extends"), F.concat(F.lit('{"a": {"base": '), i, F.lit(', "own": null}}')).alias("config"))
+    r = configs.resolve_extends(child.unionByName(base)).withColumn("v", F.parse_json("config"))
+    return r.select("path", "parent_path", F.try_variant_get("v", "$.a.base", "long").alias("parent"), F.try_variant_get("v", "$.a.own", "long").alias("own"))
+
+
+_TRIALS = """SELECT 'dist_' || CAST(p_partkey AS VARCHAR) AS distribution_id, CAST(p_size % 9 + 1 AS INTEGER) AS num_frames, CASE p_size % 3 WHEN 0 THEN 'None' WHEN 1 THEN 'warehouse' ELSE 'additional' END AS distractors,
+  round(p_retailprice % 7 / 3, 4) AS height_min, CAST(p_size + 60 AS INTEGER) AS fov_max, round(p_retailprice % 2, 4) AS blur_max, 0.1235::DOUBLE AS roughness_min, CAST(p_size * 3000 AS DOUBLE) AS intensity_std"""
+
+
+@query(f"{_TRIALS} FROM part")
+def trial_configs(spark, d):
+    c = configs.trial_configs(b.trials(spark, d), "../sdg_config.yaml")
+    return c.select("distribution_id", "config.run.num_frames", "config.run.distractors", F.col("config.camera.camera_height_min").alias("height_min"), "config.camera.fov_max", F.col("config.camera.motion_blur_strength_max").alias("blur_max"), "config.materials.roughness_min", "config.lighting.intensity_std")
+
+
+@query("SELECT 'dist_' || CAST(p_partkey AS VARCHAR) AS distribution_id, array_to_string(['/Isaac/Materials/Textures/Patterns/' || x FOR x IN CASE WHEN len(w) > 1 AND w[1] = w[2] THEN w[1:1] ELSE w END], ',') AS textures FROM (SELECT *, string_split(p_name, ' ')[1:3] AS w FROM part)")
+def texture_distinct(spark, d):
+    c = configs.trial_configs(b.trials(spark, d), "../sdg_config.yaml")
+    return c.select("distribution_id", F.array_join("config.materials.textures", ",").alias("textures"))
+
+
+@query("SELECT p_partkey, round(20.955 / (2 * tan(radians(p_size + 40) / 2)), 8) AS focal_max, round(20.955 / (2 * tan(radians(p_size + 60) / 2)), 8) AS focal_min FROM part")
+def fov_focal(spark, d):
+    p = b.read(spark, d, "part")
+    return tidy(p.select("p_partkey", scalars.focal_length((F.col("p_size") + 40).cast("double")).alias("focal_max"), scalars.focal_length((F.col("p_size") + 60).cast("double")).alias("focal_min")))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'synth' ELSE 'real' END AS data_type FROM events")
+def data_type(spark, d):
+    e = b.overrides(spark, d)
+    return e.select("event_id", samples.data_type(F.when(F.col("event_id") % 2 == 0, F.parse_json("override"))).alias("data_type"))
+
+
+@query(f"""WITH {_OVER} SELECT event_id AS sample_id, CASE WHEN on_ THEN CAST(run_number AS DOUBLE) END AS synth_run_number, CASE WHEN on_ THEN experiment ELSE '' END AS synth_experiment, CASE WHEN on_ THEN 'None' ELSE '' END AS synth_distractors,
+  CASE WHEN on_ THEN CAST(c->>'$.camera.fov_min' AS DOUBLE) END AS synth_fov_min, CASE WHEN on_ THEN 960.0::DOUBLE END AS synth_render_width, CASE WHEN on_ THEN 0.0::DOUBLE END AS synth_jpeg_quality_min, CAST(NULL AS DOUBLE) AS synth_materials_roughness_min,
+  CASE WHEN on_ THEN 'b.jpg' ELSE '' END AS synth_texture_2, '' AS synth_texture_25, CASE WHEN on_ THEN 1.0::DOUBLE END AS synth_palletjack_color_randomized, CASE WHEN on_ THEN 3.0::DOUBLE END AS synth_num_warehouse_distractors FROM (SELECT *, event_id % 3 > 0 AS on_ FROM ov)""")
+def synth_metadata_flat(spark, d):
+    extra = '{"materials": {"textures": ["/t/a.jpg", "/t/b.jpg"]}, "palletjacks": {"color_max": [0, 0.5, 0]}, "distractors_warehouse": {"assets": ["x", "y", "y"]}}'
+    o = b.overrides(spark, d)
+    rc = F.when(F.col("event_id") % 3 == 1, F.parse_json(configs.deep_merge(configs.deep_merge(F.lit(b.BASE_CONFIG), F.lit(extra)), F.col("override")))).when(F.col("event_id") % 3 == 2, F.parse_json(configs.deep_merge(configs.deep_merge(F.lit(b.BASE_CONFIG), F.col("override")), F.lit(extra))))
+    s = o.select(F.col("event_id").alias("sample_id"), rc.alias("run_config"), "run_number", "experiment", F.lit(1).alias("n_annotations"))
+    m = configs.synth_metadata(s)
+    return tidy(m.select("sample_id", "synth_run_number", "synth_experiment", "synth_distractors", "synth_fov_min", "synth_render_width", "synth_jpeg_quality_min", "synth_materials_roughness_min", "synth_texture_2", "synth_texture_25", "synth_palletjack_color_randomized", "synth_num_warehouse_distractors"))
+
+
+# ---- labels, runs, generation ----------------------------------------------------------------------------------
+
+
+@query(f"WITH {_ANN} SELECT sample_id, ann_pos, 11 AS category_id, x, y, w, h FROM ann WHERE ann_pos % 5 <> 0 AND category_id % 3 <> 2")
+def kitti_parse(spark, d):
+    return tidy(kitti.parse_labels(b.label_lines(spark, d)))
+
+
+@query(f"WITH {_ANN} SELECT sample_id, ann_pos, 'palletjack 0.00 0 0.00 ' || printf('%.2f', x) || ' ' || printf('%.2f', y) || ' ' || printf('%.2f', x + w) || ' ' || printf('%.2f', y + h) || repeat(' 0.00', 7) AS line FROM ann")
+def kitti_write(spark, d):
+    a = b.annotations(spark, d)
+    return a.select("sample_id", "ann_pos", kitti.label_line(F.lit("palletjack"), F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("line"))
+
+
+@query("SELECT DISTINCT 'palletjack_run_' || CAST(user_id % 12 AS VARCHAR) AS run_dir, event_type AS experiment, CAST(user_id % 12 AS INTEGER) AS run_number FROM events")
+def run_discovery(spark, d):
+    e = b.read(spark, d, "events")
+    paths = e.select(F.concat(F.lit("/data/palletjack_run_"), (F.col("user_id") % 12).cast("string"), F.lit("/"), "event_type", F.lit("/run_config.yaml")).alias("path"))
+    return kitti.run_dirs(paths)
+
+
+@query("SELECT i AS run_number FROM range(20) t(i) WHERE i NOT IN (SELECT user_id % 12 FROM events)")
+def run_missing(spark, d):
+    have = b.read(spark, d, "events").select((F.col("user_id") % 12).alias("run_number"))
+    return samples.missing_runs(spark.range(20).withColumnRenamed("id", "run_number"), have)
+
+
+@query(f"WITH {_OVER} SELECT event_id, CAST(unnest(range(CAST(c->>'$.run.num_frames' AS BIGINT))) AS INTEGER) AS frame, run_number FROM ov")
+def run_frames(spark, d):
+    return kitti.frames(b.overrides(spark, d).select("event_id", "run_number", F.col("override").alias("config"))).select("event_id", "frame", "run_number")
+
+
+@query("SELECT sample_id, position FROM (SELECT sample_id, row_number() OVER (ORDER BY run_number, run_dir, event_id) - 1 AS position FROM (SELECT *, row_number() OVER (ORDER BY run_dir, event_type, event_id) AS r FROM (SELECT CAST(event_id AS VARCHAR) AS sample_id, event_id, event_type, user_id % 12 AS run_number, 'palletjack_run_' || CAST(user_id % 12 AS VARCHAR) AS run_dir FROM events WHERE event_type = 'click')) WHERE r <= 500)")
+def synth_order(spark, d):
+    e = b.read(spark, d, "events").where("event_type = 'click'")
+    f = e.select(F.col("event_id").cast("string").alias("sample_id"), F.lit("additional").alias("state"), F.concat(F.lit("palletjack_run_"), (F.col("user_id") % 12).cast("string")).alias("run_dir"), F.col("event_type").alias("experiment"), F.col("event_id").alias("frame"), (F.col("user_id") % 12).alias("run_number"))
+    return samples.ordered_synth(f, num_samples=500).select("sample_id", F.col("position").cast("long").alias("position"))
+
+
+@query("SELECT DISTINCT user_id AS sample_id, max(event_id) AS event_id FROM events GROUP BY 1")
+def latest_duplicate(spark, d):
+    return samples.latest_by_id(b.read(spark, d, "events").select(F.col("user_id").alias("sample_id"), "event_id"), "event_id")
+
+
+@query()
+def frame_randomize(spark, d):
+    f = b.read(spark, d, "orders").select((F.col("o_orderkey") % 5).alias("run"), F.col("o_orderkey").alias("frame"))
+    return randomize.frame_draws(f)
+
+
+@query()
+def hash_split(spark, d):
+    return randomize.hash_split(b.samples(spark, d), "sample_id").select("sample_id", "fold", "shard")
+
+
+def _vector_images(spark, d) -> DataFrame:
+    """A small BGR image of each vector: 8 x 8 pixels, three times the vector's values as bytes."""
+    byte = F.transform("embedding", lambda x: F.lpad(F.hex(F.pmod(F.round(x.cast("double") * 100).cast("long"), F.lit(256))), 2, "0"))
+    e = b.read(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), byte.alias("v"))
+    data = F.unhex(F.array_join(F.transform("v", lambda x: F.concat(x, x, x)), ""))
+    return e.select("sample_id", data.alias("data"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"))
+
+
+@query()
+def image_sharpness(spark, d):
+    return images.sharpness(_vector_images(spark, d), size=64)
+
+
+@query()
+def image_tensor(spark, d):
+    return images.image_tensors(_vector_images(spark, d), size=64).select("sample_id", F.length("tensor").alias("n_bytes"), F.sha2("tensor", 256).alias("sha256"))
+
+
+@query()
+def box_clusters(spark, d):
+    from ..operators.clustering import cluster_boxes
+
+    return cluster_boxes(b.top(spark, d))

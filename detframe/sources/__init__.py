@@ -1,0 +1 @@
+"""Readers and writers of annotation, label, configuration and trial files."""

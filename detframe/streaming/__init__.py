@@ -1,0 +1 @@
+"""Incremental variants on Structured Streaming."""
