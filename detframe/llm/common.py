@@ -77,3 +77,34 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         before = now
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def text_pieces(batch, column: int, max_bytes: int = 4 << 20):
+    """Slices of an Arrow batch with at most max_bytes of text each, but at least one row."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    col = batch.column(column)
+    if not batch.num_rows:
+        return
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, done + max_bytes, side="right")))
+        # A copy, so that buffers start at the slice.
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(at, to - at)]) for c in batch.columns], names=batch.schema.names)
+        at = to
+
+
+def utf8(column):
+    """Bytes (uint8 array) and row offsets of a string column; null is empty."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    col = pc.fill_null(column.cast(pa.large_string()), "")
+    off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] and off[-1] > off[0] else np.zeros(0, np.uint8)
+    return data[off[0] : off[-1]], off - off[0]

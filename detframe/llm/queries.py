@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from .chat_format import OP5_SQL, op5_chat_format
 from .decontamination import OP9_SQL, op9_decontamination
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .jaccard_join import op7_jaccard_join
+from .language_id import op2_language_id
 from .mixing import OP10_SQL, op10_mixing
+from .pii import op8_pii
 from .token_files import op3_token_files
+from .url_filter import op6_url_filter
+from .warc_revisits import OP1_SQL, op1_warc_revisits
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_exact_dedup, op9_decontamination, op10_mixing)}
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op10_mixing": OP10_SQL}
+_ALL = (op1_warc_revisits, op2_language_id, op3_token_files, op4_exact_dedup, op5_chat_format, op6_url_filter, op7_jaccard_join, op8_pii, op9_decontamination, op10_mixing)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {"op1_warc_revisits": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_mixing": OP10_SQL}
