@@ -449,7 +449,7 @@ def _join_regions(percent: int):
 
 
 def _split_large(rows: DataFrame, percent: int, max_sets: int, max_tokens: int, rounds: int):
-    """Regions that one task can hold, from larger ones, and the links found on the way.
+    """Regions that one task can hold, from larger ones; the links found on the way; whether sets are in several regions.
 
     rows: region (string), sid, n, tokens. Members are salted in every join with their pivot.
     """
@@ -497,7 +497,7 @@ def _split_large(rows: DataFrame, percent: int, max_sets: int, max_tokens: int,
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out, links
+    return out, links, len(done) > 1
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, region_sets: int = REGION_SETS, region_tokens: int = REGION_TOKENS, rounds: int = PIVOT_ROUNDS) -> DataFrame:
@@ -523,9 +523,9 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     stars = entries.join(blocks, "token").where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b"))
     groups = materialize(connected_components(stars, "jaccard-regions"), "jaccard-groups")
     regions = materialize(maybe.select("sid", "n", "tokens").join(groups, F.col("sid") == F.col("node")).select(F.col("root").cast("string").alias("region"), "sid", "n", "tokens"), "jaccard-members")
-    fitting, links = _split_large(regions, percent, region_sets, region_tokens, rounds)
+    fitting, links, several = _split_large(regions, percent, region_sets, region_tokens, rounds)
     found = fitting.repartition(shuffle_partitions(spark), "region").sortWithinPartitions("region").mapInArrow(_join_regions(percent), "a long, b long")
-    if links:
+    if several:
         for x in links:
             found = found.unionByName(x)
         found = connected_components(found, "jaccard-links").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))

@@ -61,7 +61,7 @@ def targets(docs: DataFrame) -> DataFrame:
     total = F.sum("target").over(everything)
     s = s.withColumn("quota", F.least(F.round("target").cast("long"), F.col("source_size") * REPEAT)).withColumn("total", total)
     running = Window.orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("high", F.sum("target").over(running) / F.col("total")).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("no")), F.lit(0.0)))
+    s = s.withColumn("high", F.coalesce(F.try_divide(F.sum("target").over(running), F.col("total")), F.lit(0.0))).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("no")), F.lit(0.0)))
     return s.select("source", "no", "weight", "source_size", "target", "quota", "low", "high", "total")
 
 

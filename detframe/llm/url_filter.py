@@ -9,7 +9,8 @@ its hyphenated parts is blocked, others are not; the trees see features alone, n
 
 Defined results: a null URL or one without `://` has an empty host and path and matches no rule; the trees
 judge it, too; repeated rows are judged one by one; texts of any length are read whole; without training rows
-of both labels all unruled URLs are allowed; an empty table gives no rows; further columns are ignored.
+of both labels all unruled URLs are allowed; an empty table gives no rows; further columns stay, but for
+those named host, path, rule or verdict, which the results replace.
 """
 
 from __future__ import annotations
@@ -89,7 +90,8 @@ def judge(urls: DataFrame, labelled: DataFrame, rules=RULES, train_rows: int = T
 
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     share = train.groupBy("label").count().collect()  # two rows
-    d = with_features(with_parts(urls))
+    own = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    d = with_features(with_parts(urls.select(F.struct(*own).alias("row"), "url")))
     if len(share) == 2:
         weight = {r["label"]: sum(x["count"] for x in share) / (2 * r["count"]) for r in share}
         rows = complete(train).withColumn("weight", F.when(F.col("label") == 1, weight[1.0]).otherwise(weight[0.0]))
@@ -97,7 +99,7 @@ def judge(urls: DataFrame, labelled: DataFrame, rules=RULES, train_rows: int = T
         d = model.transform(assembler.transform(complete(d))).withColumn("own", F.when(F.col("prediction") == 1, "block").otherwise("allow"))
     else:
         d = d.withColumn("own", F.lit("allow"))
-    return d.withColumn("r", rule_of(rules)).select(*urls.columns, "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.action", "own").alias("verdict"))
+    return d.withColumn("r", rule_of(rules)).select("row.*", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.action", "own").alias("verdict"))
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
