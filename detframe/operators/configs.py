@@ -28,7 +28,6 @@ def merge_objects(base, override):
     return override
 
 
-@F.pandas_udf("string")
 def _merge_json(base: pd.Series, override: pd.Series) -> pd.Series:
     def one(b, o):
         if b is None or o is None:
@@ -40,7 +39,7 @@ def _merge_json(base: pd.Series, override: pd.Series) -> pd.Series:
 
 def deep_merge(base: Column, override: Column) -> Column:
     """Merged JSON text of any schema (Arrow batches); use merged_path where the paths are known."""
-    return _merge_json(base, override)
+    return F.pandas_udf(_merge_json, "string")(base, override)
 
 
 def resolve_extends(configs: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,21 +43,17 @@ def run_dirs(paths: DataFrame) -> DataFrame:
     return d.withColumn("run_number", dir_number(F.col("run_dir")))
 
 
-def read_run_configs(spark: SparkSession, base: str) -> DataFrame:
-    """run_dir, experiment, run_number, config (JSON text): an experiment without run_config.yaml has no row."""
-    import json
-
-    import pandas as pd
+def _yaml_to_json(texts: pd.Series) -> pd.Series:
+    import yaml
 
-    @F.pandas_udf("string")
-    def to_json(texts: pd.Series) -> pd.Series:
-        import yaml
+    return texts.map(lambda t: json.dumps(yaml.safe_load(t) or {}, default=str))
 
-        return texts.map(lambda t: json.dumps(yaml.safe_load(t) or {}, default=str))
 
+def read_run_configs(spark: SparkSession, base: str) -> DataFrame:
+    """run_dir, experiment, run_number, config (JSON text): an experiment without run_config.yaml has no row."""
     raw = spark.read.text(f"{base}/palletjack_run_*/*/run_config.yaml", wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     part = lambda i: F.regexp_extract("path", r"(palletjack_run_[^/]*)/([^/]+)/run_config\.yaml$", i)
-    return raw.select(part(1).alias("run_dir"), part(2).alias("experiment"), dir_number(part(1)).alias("run_number"), to_json("value").alias("config"))
+    return raw.select(part(1).alias("run_dir"), part(2).alias("experiment"), dir_number(part(1)).alias("run_number"), F.pandas_udf(_yaml_to_json, "string")("value").alias("config"))
 
 
 def frames(runs: DataFrame) -> DataFrame:
