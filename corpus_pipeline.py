@@ -24,23 +24,23 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group; documents without words, and null ids, stay."""
-    drop = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
-    # Rows of one doc_id are one document; of equal ones, one row stays.
-    return kept.dropDuplicates(["doc_id"]) if not kept.groupBy("doc_id").count().where("count > 1").isEmpty() else kept
+    """The smallest doc_id of each group; documents without words, and null ids, stay; of equal rows one stays."""
+    found = materialize(jaccard_components(docs).select("doc_id", "component_id"), "near-duplicates")
+    kept = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def clean_of_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole passes, and one more if half of it or more is taken."""
-    shares = mix(docs).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+    shares = mix(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
     times = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    taken = docs.join(shares.select("doc_id", times.alias("times")), "doc_id").where("times > 0")
+    taken = docs.join(shares.select("id", times.alias("times")), F.col("doc_id").eqNullSafe(F.col("id"))).where("times > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
 

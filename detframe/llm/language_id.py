@@ -30,8 +30,8 @@ DIMENSIONS, SEED, PER_LANGUAGE = 1024, 20_011, 2_000
 UNKNOWN = "und"
 #: Letters counted at once, and documents.
 BLOCK, ROWS = 1 << 20, 256
-#: In the pipeline, texts below this cosine are in none of the languages.
-MIN_SCORE = 0.05
+#: In the pipeline, texts below this cosine are in none of the languages; texts of one word may come near it.
+MIN_SCORE = 0.02
 
 
 def letter_vectors(code_points, dimensions: int, seed: int) -> np.ndarray:
