@@ -48,3 +48,8 @@ def from_padded(dense: DataFrame) -> DataFrame:
 
 def original_size(samples: DataFrame, size: int = SIZE) -> DataFrame:
     return samples.select("sample_id", F.array(F.lit(float(size)).cast("float"), F.lit(float(size)).cast("float")).alias("orig_size"))
+
+
+def sized_boxes(boxes: DataFrame, min_width: float = 20, min_height: float = 20, max_side: float = 9999) -> DataFrame:
+    """Boxes (w, h in pixels) whose sides lie within the limits, both included."""
+    return boxes.where((F.col("w") >= min_width) & (F.col("h") >= min_height) & (F.greatest("w", "h") <= max_side))
