@@ -108,3 +108,15 @@ def utf8(column):
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] and off[-1] > off[0] else np.zeros(0, np.uint8)
     return data[off[0] : off[-1]], off - off[0]
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on, and their next task may need other sizes."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -35,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, shuffle_partitions, table, text_pieces, utf8
+from .common import connected_components, materialize, release_memory, shuffle_partitions, table, text_pieces, utf8
 
 SHINGLE, PERCENT = 4, 85
 #: Tokens a scan task packs at once, tokens of a hash range, and share of documents of a heavy token.
-FLUSH, RANGE, HEAVY = 3_000_000, 4_000_000, 1e-3
+FLUSH, RANGE, HEAVY = 1_000_000, 2_000_000, 1e-3
+#: Bytes of text hashed at once.
+PIECE = 1 << 20
 #: Limits of a region for one task.
 REGION_SETS, REGION_TOKENS = 8_192, 8_000_000
 #: Pivot rounds for larger regions before what is left is compared chunk by chunk.
@@ -227,7 +229,7 @@ def _scan_sets(shingle: int, heavy_share: float):
 
         waiting = 0
         for batch in batches:
-            for piece in text_pieces(batch, 1):
+            for piece in text_pieces(batch, 1, PIECE):
                 sets = hasher.sets(piece.column(1), shingle)
                 names = [set_name(s) for s in sets]
                 for s, name in zip(sets, names, strict=True):
@@ -239,6 +241,7 @@ def _scan_sets(shingle: int, heavy_share: float):
                 if waiting > FLUSH:
                     tokens, counts = merge(held, tokens, counts, docs)
                     held, waiting = [], 0
+                    release_memory()
                     if len(seen) > 1_000_000:
                         seen.clear()
                 n = len(sets)
@@ -269,7 +272,7 @@ def _scan_tokens(shingle: int, heavy: np.ndarray, ranges: int):
     def run(batches):
         hasher, seen, held, waiting = Hasher(), set(), [], 0
         for batch in batches:
-            for piece in text_pieces(batch, 0):
+            for piece in text_pieces(batch, 0, PIECE):
                 for s in hasher.sets(piece.column(0), shingle):
                     if len(s) and (name := set_name(s)) not in seen:
                         seen.add(name)
@@ -279,8 +282,11 @@ def _scan_tokens(shingle: int, heavy: np.ndarray, ranges: int):
                             yield from flush(held)
                             held, waiting = [], 0
                             seen.clear()
+                            release_memory()
         if held:
             yield from flush(held)
+        del held
+        release_memory()
 
     return run
 
@@ -315,8 +321,11 @@ def _count_tokens(ranges: int):
         freq = np.bincount(group)[group] if len(t) else np.zeros(0, np.int64)
         keep = freq >= 2
         t, i, freq = t[keep], i[keep], freq[keep]
+        del index, tokens, order, same, twice, blobs
         if len(t):
             yield from _rows(1, _deal(_ranges(names[i, 1], ranges), names, sizes, i, t, freq.astype(np.uint32)))
+        del names, sizes, t, i, freq, new, group, keep
+        release_memory()
 
     return run
 
