@@ -43,9 +43,16 @@ def as_of_points(bases: DataFrame, asked: DataFrame, chunk: int = CHUNK) -> Data
     asked = asked.select("key", "ts").distinct().select("key", "ts", F.lit(None).cast(bases.schema["value"].dataType).alias("value"), F.lit(1).alias("want"))
     points = points.unionByName(asked).groupBy("key", "ts").agg(F.max("value").alias("value"), F.max("want").alias("want"))
     points = materialize(points, "as-of-points")
-    busy = points.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("ts", [i / 64 for i in range(1, 64)], 6400).alias("cuts")).where(F.col("n") > chunk).select("key", "cuts")
-    # One row for `chunk` points at least.
-    points = points.join(small(busy, 1000), "key", "left").withColumn("chunk", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("ts"))), F.lit(0))).drop("cuts")
+    counts = points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
+    most = counts.agg(F.max("n")).first()[0]
+    if most:
+        # As many cuts as the busiest key needs; a hot key's row has all of them.
+        k = min(10_000, -(-most // chunk) + 1)
+        hot = points.join(small(counts.select("key"), 1000), "key", "left_semi")
+        busy = hot.groupBy("key").agg(F.percentile_approx("ts", [i / k for i in range(1, k)], 100 * k).alias("cuts"))
+        points = points.join(small(busy, 1000), "key", "left").withColumn("chunk", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("ts"))), F.lit(0))).drop("cuts")
+    else:
+        points = points.withColumn("chunk", F.lit(0))
     by_key = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     ends = points.where(F.col("value").isNotNull()).groupBy("key", "chunk").agg(F.max_by("value", "ts").alias("end"))
     every = points.select("key", "chunk").distinct().join(ends, ["key", "chunk"], "left")
