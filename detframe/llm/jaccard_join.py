@@ -8,7 +8,7 @@
    exact document frequency; sets at distance 0.15 or less always share one. Frequencies need every token
    once: scan tasks send their tokens, sorted and packed, to hash ranges, which count sets per token and send
    the tokens of two or more sets on to hash ranges of sets. Tokens of one set can't be shared and stay
-   behind; sets whose prefixes hold only such tokens link with nothing. Tokens in a thousandth of a task's
+   behind; sets whose prefixes hold only such tokens link with nothing. Tokens in a thousandth of all
    documents or more are known as heavy beforehand and bypass the counting, so no token floods a range.
 3. Pivots. In a region, a few pivots get all distances; each set belongs to the cell of its nearest pivot,
    and a set y is copied into the cell of pivot p where d(y, p) <= d(y, own pivot) + 2r, r = 0.15. Sets
@@ -213,7 +213,7 @@ def _rows(kind: int, dealt):
 
 
 def _scan_sets(shingle: int, heavy_share: float):
-    """A row for each document: uid, doc_id, name of its set, size; and rows of locally frequent tokens."""
+    """A row for each document: uid, doc_id, name of its set, size; and locally frequent tokens with their counts as n."""
 
     def run(batches):
         hasher, uid = Hasher(), TaskContext.get().partitionId() << 40
@@ -250,9 +250,9 @@ def _scan_sets(shingle: int, heavy_share: float):
                 yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "hi", "lo", "n", "heavy"])
         if docs:
             tokens, counts = merge(held, tokens, counts, docs)
-            frequent = tokens[counts >= max(3, heavy_share * docs)].view(np.int64)
-            n = len(frequent)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(5)), pa.array(frequent)], ["uid", "doc_id", "hi", "lo", "n", "heavy"])
+            frequent = counts >= max(3, heavy_share * docs)
+            n = int(frequent.sum())
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.array(counts[frequent]), pa.array(tokens[frequent].view(np.int64))], ["uid", "doc_id", "hi", "lo", "n", "heavy"])
 
     return run
 
@@ -515,8 +515,10 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan_sets(shingle, HEAVY), "uid long, doc_id long, hi long, lo long, n long, heavy long")
     scanned = materialize(scanned, "jaccard-sets")
     rows = scanned.where("uid IS NOT NULL").drop("heavy")
-    # At most avg(set size) / HEAVY tokens can be heavy, whatever the number of documents; most are repeats.
-    heavy = np.array(sorted(r[0] for r in scanned.where("heavy IS NOT NULL").groupBy("heavy").agg(F.count(F.lit(1))).select("heavy").collect()), np.int64).view(np.uint64)
+    # Each takes HEAVY of all documents, so there are at most (mean set size) / HEAVY, however large the corpus;
+    # a token with twice that share can't be missed by the tasks that see less of it.
+    often = scanned.where("heavy IS NOT NULL").groupBy("heavy").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, int(HEAVY * rows.count())))
+    heavy = np.array([r[0] for r in often.select("heavy").collect()], np.int64).view(np.uint64)
     heavy.sort()
     sets = materialize(rows.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("uid").alias("sid"), F.min("doc_id").alias("low_id")), "jaccard-names")
     total = sets.agg(F.sum("n")).first()[0] or 0
