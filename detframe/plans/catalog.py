@@ -42,15 +42,15 @@ def tidy(d: DataFrame, digits: int = 8) -> DataFrame:
 
 _CAT = "cat AS (SELECT * FROM (VALUES (3, 'small_load_carrier', 0), (5, 'forklift', 1), (7, 'pallet', 2), (10, 'stillage', 3), (11, 'pallet_truck', 4)) v(category_id, name, idx))"
 _SAMPLES = "smp AS (SELECT o_orderkey AS sample_id, '//dataset/subset-' || CAST(o_orderkey % 6 AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) || '.jpg' AS path, 'subset-' || CAST(o_orderkey % 6 AS VARCHAR) AS subset, CASE WHEN o_orderkey % 6 IN (2, 3, 5) THEN 'training' WHEN o_orderkey % 6 IN (1, 4) THEN 'validation' END AS state FROM orders)"
-_ANN = """ann AS (SELECT l_orderkey AS sample_id, ann_pos, CAST(l_partkey % 12 AS INTEGER) AS category_id, CAST(l_partkey % 37 * 16 AS DOUBLE) AS x, CAST(l_suppkey % 23 * 20 AS DOUBLE) AS y,
+_ANN = """ann AS (SELECT l_orderkey AS sample_id, CAST(ann_pos AS INTEGER) AS ann_pos, CAST(l_partkey % 12 AS INTEGER) AS category_id, CAST(l_partkey % 37 * 16 AS DOUBLE) AS x, CAST(l_suppkey % 23 * 20 AS DOUBLE) AS y,
   l_quantity + 16.0::DOUBLE AS w, l_quantity + 24.0::DOUBLE AS h, CAST(l_suppkey % 5 AS INTEGER) AS label, l_discount * 100.0::DOUBLE AS dx, l_tax * 100.0::DOUBLE AS dy,
   (l_partkey * 7919 + ann_pos * 104729) % 1000 / 1000.0::DOUBLE AS score
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS ann_pos FROM lineitem))"""
 _VALID = "valid AS (SELECT a.*, c.idx AS cls, (x + w / 2) * (640.0::DOUBLE / 960) / 640 AS cx, (y + h / 2) * (640.0::DOUBLE / 544) / 640 AS cy, w * (640.0::DOUBLE / 960) / 640 AS nw, h * (640.0::DOUBLE / 544) / 640 AS nh FROM ann a JOIN cat c USING (category_id) JOIN smp USING (sample_id))"
-_GT = "gt AS (SELECT sample_id, gt_idx, cls, cx, cy, nw AS w, nh AS h FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ann_pos) - 1 AS gt_idx FROM valid) WHERE gt_idx < 400)"
+_GT = "gt AS (SELECT sample_id, CAST(gt_idx AS INTEGER) AS gt_idx, cls, cx, cy, nw AS w, nh AS h FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ann_pos) - 1 AS gt_idx FROM valid) WHERE gt_idx < 400)"
 _PRED = """pred AS (SELECT sample_id, ann_pos AS query_idx, label, (x + dx) * (640.0::DOUBLE / 960) AS x1, (y + dy) * (640.0::DOUBLE / 544) AS y1,
   (x + dx) * (640.0::DOUBLE / 960) + w * (640.0::DOUBLE / 960) AS x2, (y + dy) * (640.0::DOUBLE / 544) + h * (640.0::DOUBLE / 544) AS y2, score FROM ann),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, query_idx) - 1 AS pred_idx FROM pred WHERE CAST(score AS FLOAT) >= CAST(0.3 AS FLOAT)) WHERE pred_idx < 300)"""
+top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, query_idx) - 1 AS INTEGER) AS pred_idx FROM pred WHERE CAST(score AS FLOAT) >= CAST(0.3 AS FLOAT)) WHERE pred_idx < 300)"""
 _PAIRS = """raw AS (SELECT g.sample_id, gt_idx, pred_idx, cls AS gt_cls, label AS pred_label, score,
   cx - w / 2 AS gx1, cy - h / 2 AS gy1, cx + w / 2 AS gx2, cy + h / 2 AS gy2, x1 / 640 AS px1, y1 / 640 AS py1, x2 / 640 AS px2, y2 / 640 AS py2 FROM gt g JOIN top p ON g.sample_id = p.sample_id),
 over AS (SELECT *, greatest(least(gx2, px2) - greatest(gx1, px1), 0) * greatest(least(gy2, py2) - greatest(gy1, py1), 0) AS inter FROM raw),
@@ -219,7 +219,7 @@ def overlay_boxes(spark, d):
 
 # ---- assignment and losses -----------------------------------------------------------------------------------
 
-_VEC = """q AS (SELECT vec_id AS sample_id, qi AS query_idx, [CAST(embedding[qi * 9 + 1 + k] AS DOUBLE) FOR k IN range(5)] AS logits,
+_VEC = """q AS (SELECT vec_id AS sample_id, CAST(qi AS INTEGER) AS query_idx, [CAST(embedding[qi * 9 + 1 + k] AS DOUBLE) FOR k IN range(5)] AS logits,
   1 / (1 + exp(-CAST(embedding[qi * 9 + 6] AS DOUBLE))) AS cx, 1 / (1 + exp(-CAST(embedding[qi * 9 + 7] AS DOUBLE))) AS cy, 1 / (1 + exp(-CAST(embedding[qi * 9 + 8] AS DOUBLE))) AS w, 1 / (1 + exp(-CAST(embedding[qi * 9 + 9] AS DOUBLE))) AS h
   FROM embeddings, (SELECT unnest(range(7)) AS qi)),
 g AS (SELECT vec_id AS sample_id, j AS gt_idx, CAST((label + j) % 5 AS INTEGER) AS cls, (label + 1 + 3 * j) / 14.0::DOUBLE AS cx, (label * 3 % 10 + 1) / 12.0::DOUBLE AS cy, label * 0.02::DOUBLE + 0.1::DOUBLE AS w, label * 0.01::DOUBLE + j * 0.05::DOUBLE + 0.15::DOUBLE AS h
