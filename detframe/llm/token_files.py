@@ -18,37 +18,77 @@ their ids' bytes; further columns are ignored; an empty table gives no shards an
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, shuffle_partitions, table
 
 NULL_ID = -(2**63)
-#: Words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 200_000
+#: Pieces whose ids a worker remembers; the memory is emptied when full.
+REMEMBERED = 600_000
+
+#: The normalizer and splitter for which the pieces below are exact.
+_LOWER_CASED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Texts of these characters have no composed forms to normalise and one case mapping.
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+"
 
 
 class WordEncoder:
-    """ids of a text by a tokenizer that splits at white space: every word is encoded once and remembered.
+    """ids of a text by a tokenizer of the library; every piece of text is encoded once and remembered.
 
-    Splitting at the blank and the line feed alone is safe for such tokenizers: neither can be part of a token.
+    A text is cut where the tokenizer's own splitter cuts it, if that is the known one and the text is of
+    Western letters; else at blanks and line feeds, which can be part of no token of a tokenizer that splits
+    at white space. Texts that may hold added tokens are encoded as a whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import json
+
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        made = json.loads(self.tokenizer.to_str())
+        split = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        known = (made.get("normalizer") or {}).get("normalizers") == _LOWER_CASED and split.get("pattern") == {"Regex": _SPLIT} and split.get("behavior") == "Removed" and split.get("invert")
+        self.pieces = re.compile(_PIECES).findall if known else None
+        # What the splitter's last step makes of each character; after it only the model is left.
+        visible = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.bytes = {c: visible(chr(c))[0][0] for c in range(33, 256) if _PLAIN.fullmatch(chr(c))}
+        self.two = [np.array([i], self.dtype).tobytes() for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.added = [t["content"] for t in made["added_tokens"]]
+
+    def _learn(self, new: list[str], plain: bool) -> None:
+        known, two = self.known, self.two
+        if plain:
+            model, visible = self.tokenizer.model, self.bytes
+            for w in new:
+                known[w] = b"".join([two[t.id] for t in model.tokenize(w.translate(visible))])
+            return
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = b"".join([two[i] for i in e.ids])
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+        if any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        plain = self.pieces is not None and _PLAIN.fullmatch(text) is not None
+        if plain:
+            words = self.pieces(text.lower())
+        else:
+            words = text.replace("\n", " ").split(" ")
         known = self.known
         try:
             return b"".join([known[w] for w in words])
@@ -57,24 +97,24 @@ class WordEncoder:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 new = list(set(words))
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, self.dtype).tobytes()
+            self._learn(new, plain)
             return b"".join([known[w] for w in words])
 
 
-def _tokenize(path: str, end_id: int):
+def _tokenize(path: str, end_id: int, bounds: list[int]):
+    """Rows (doc_id, text) -> (shard, doc_id, packed ids); the shard is the number of bounds at or below the id."""
+
     def run(batches):
         import zstandard
 
         encoder, pack = WordEncoder(path), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        end, bounds_ = np.array([end_id], encoder.dtype).tobytes(), np.array(bounds, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
                 ids = [pack.compress((encoder.encode(t) if t else b"") + end) for t in piece.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                shard = np.searchsorted(bounds_, pc.fill_null(piece.column(0), NULL_ID).to_numpy(), side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), piece.column(0), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
 
     return run
 
@@ -153,11 +193,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     n = shards or shuffle_partitions(spark)
     bounds = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("b")).first()["b"] if n > 1 else []
     bounds = sorted(set(bounds or []))  # fewer than `shards` numbers
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(vocabulary, end_id), "doc_id long, ids binary")
-    # The number of bounds at or below the id; a document's shard never depends on its place in the input.
-    shard = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    shard = F.when(F.col("doc_id").isNull(), 0).otherwise(shard).cast("int")
-    placed = ids.select(shard.alias("shard"), "doc_id", "ids").repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
+    # A document's shard never depends on its place in the input.
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(vocabulary, end_id, bounds), "shard int, doc_id long, ids binary")
+    placed = ids.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
     stats = placed.mapInArrow(_write_shards(folder, encoder.dtype.itemsize), "shard long, n_docs long, n_tokens long").collect()  # one row a shard
     base, rows = 0, []
     for r in sorted(stats):
