@@ -109,9 +109,9 @@ def iou_pairs(spark, d):
     return tidy(pairs.pairs(b.gt(spark, d), b.top(spark, d)).drop("score"))
 
 
-@query(f"{_BASE}, {_PAIRS} SELECT sample_id, gt_idx, pred_idx, round(inter / nullif(un, 0), 8) AS iou, round(inter / nullif(un, 0) - (hull - un) / nullif(hull, 0), 8) AS giou FROM pairs")
+@query(f"{_BASE}, {_PAIRS} SELECT sample_id, gt_idx, pred_idx, round(inter / nullif(un, 0), 10) AS iou, round(inter / nullif(un, 0) - (hull - un) / nullif(hull, 0), 10) AS giou FROM pairs")
 def giou_pairs(spark, d):
-    return tidy(pairs.pairs(b.gt(spark, d), b.top(spark, d), prune=False, clamp=None, with_giou=True).select("sample_id", "gt_idx", "pred_idx", "iou", "giou"))
+    return tidy(pairs.pairs(b.gt(spark, d), b.top(spark, d), prune=False, clamp=None, with_giou=True).select("sample_id", "gt_idx", "pred_idx", "iou", "giou"), 10)
 
 
 @query(f"{_METRICS} SELECT state, subset, CAST(grouping(state, subset) AS INTEGER) AS level, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(avg(f1), 8) AS mean_f1 FROM met JOIN smp USING (sample_id) WHERE state IS NOT NULL GROUP BY ROLLUP (state, subset)")
