@@ -33,14 +33,21 @@ def sample_metrics(samples: DataFrame, gt: DataFrame, pred: DataFrame, threshold
     picked = F.max(F.when(F.col("top"), F.struct("iou", -F.col("pred_idx"), "pred_label")))
     by_gt = s.groupBy("sample_id", "gt_idx").agg(
         F.max((F.col("best") & (F.col("iou") >= threshold)).cast("int")).alias("hit"),
-        F.max(F.when(F.col("top"), F.col("iou"))).alias("top_iou"), picked["pred_label"].alias("picked"),
+        F.max(F.when(F.col("top"), F.col("iou"))).alias("top_iou"), picked["pred_label"].alias("picked"), F.first("gt_cls").alias("cls"),
     )
     per_pred = pred.groupBy("sample_id").agg(F.count(F.lit(1)).alias("p"), F.max(F.when(F.col("pred_idx") == 0, F.col("label"))).alias("first_label"))
-    full = gt.select("sample_id", "gt_idx", "cls").join(by_gt, ["sample_id", "gt_idx"], "left").join(per_pred, "sample_id", "left")
-    right = (F.coalesce("picked", "first_label") == F.col("cls")).cast("double")
-    per_gt = full.groupBy("sample_id").agg(F.count(F.lit(1)).alias("g"), F.coalesce(F.sum("hit"), F.lit(0)).alias("tp"), F.avg(F.coalesce("top_iou", F.lit(0.0))).alias("iou"), F.avg(right).alias("accuracy"))
-    m = samples.select("sample_id").join(per_gt, "sample_id", "left").join(per_pred, "sample_id", "left")
-    m = m.select("sample_id", "iou", "accuracy", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("g", "p", "tp")])
+    # Ground truth that no prediction picked is compared with the first prediction: of all ground truth that
+    # equals it, those picked are taken off again. So every join is on sample_id alone.
+    first = (F.col("first_label") == F.col("cls")).cast("int")
+    chosen = F.col("picked").isNotNull()
+    per_gt = gt.select("sample_id", "cls").join(per_pred, "sample_id", "left").groupBy("sample_id").agg(F.count(F.lit(1)).alias("g"), F.sum(first).alias("like_first"))
+    per_pick = by_gt.join(per_pred, "sample_id").groupBy("sample_id").agg(
+        F.sum("hit").alias("tp"), F.sum("top_iou").alias("iou_sum"), F.sum((F.col("picked") == F.col("cls")).cast("int")).alias("right"), F.sum(F.when(chosen, first)).alias("picked_like_first"),
+    )
+    m = samples.select("sample_id").join(per_gt, "sample_id", "left").join(per_pick, "sample_id", "left").join(per_pred, "sample_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    accuracy = F.try_divide(count("like_first") - count("picked_like_first") + count("right"), "g")
+    m = m.select("sample_id", F.try_divide(F.coalesce("iou_sum", F.lit(0.0)), "g").alias("iou"), accuracy.alias("accuracy"), *[count(c).alias(c) for c in ("g", "p", "tp")])
     fp, fn = F.col("p") - F.col("tp"), F.col("g") - F.col("tp")
     precision, recall = F.try_divide("tp", "p"), F.try_divide("tp", "g")
     no_gt, no_pred = F.col("g") == 0, F.col("p") == 0
