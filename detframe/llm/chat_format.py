@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 
 HEAD, TAIL = "### ", "\n</turn>\n"
 TRAINED_ROLE = "assistant"
@@ -114,6 +114,7 @@ def op5_chat_format(spark, sf_dir: str) -> DataFrame:
     tricky = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    small_batches(spark)
     chosen = format_trees(conversation_messages(rows.unionByName(own)))
     conv = F.expr("try_cast(nullif(substring_index(root, ':', 1), '') AS long)")
     return chosen.select(conv.alias("conv_id"), "formatted", "loss_spans").mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -45,6 +45,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most, from now on in this session.
+
+    Spark's default of 64 MB is held about four times by each task (vectors grow by doubling, and there is a
+    batch on the way in and one on the way out), outside the heap; texts and packed lists fill such batches.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -79,7 +88,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def text_pieces(batch, column: int, max_bytes: int = 4 << 20):
+def text_pieces(batch, column: int, max_bytes: int = 1 << 20):
     """Slices of an Arrow batch with at most max_bytes of text each, but at least one row."""
     import numpy as np
     import pyarrow as pa

@@ -35,13 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, release_memory, shuffle_partitions, table, text_pieces, utf8
+from .common import connected_components, materialize, release_memory, shuffle_partitions, small_batches, table, text_pieces, utf8
 
 SHINGLE, PERCENT = 4, 85
 #: Tokens a scan task packs at once, tokens of a hash range, and share of documents of a heavy token.
 FLUSH, RANGE, HEAVY = 1_000_000, 2_000_000, 1e-3
-#: Bytes of text hashed at once.
-PIECE = 1 << 20
 #: Limits of a region for one task.
 REGION_SETS, REGION_TOKENS = 8_192, 8_000_000
 #: Pivot rounds for larger regions before what is left is compared chunk by chunk.
@@ -229,7 +227,7 @@ def _scan_sets(shingle: int, heavy_share: float):
 
         waiting = 0
         for batch in batches:
-            for piece in text_pieces(batch, 1, PIECE):
+            for piece in text_pieces(batch, 1):
                 sets = hasher.sets(piece.column(1), shingle)
                 names = [set_name(s) for s in sets]
                 for s, name in zip(sets, names, strict=True):
@@ -272,7 +270,7 @@ def _scan_tokens(shingle: int, heavy: np.ndarray, ranges: int):
     def run(batches):
         hasher, seen, held, waiting = Hasher(), set(), [], 0
         for batch in batches:
-            for piece in text_pieces(batch, 0, PIECE):
+            for piece in text_pieces(batch, 0):
                 for s in hasher.sets(piece.column(0), shingle):
                     if len(s) and (name := set_name(s)) not in seen:
                         seen.add(name)
@@ -512,6 +510,7 @@ def _split_large(rows: DataFrame, percent: int, max_sets: int, max_tokens: int,
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, region_sets: int = REGION_SETS, region_tokens: int = REGION_TOKENS, rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """uid, doc_id, n_shingles, component_id of every row (uid: a number of the row)."""
     spark = docs.sparkSession
+    small_batches(spark)
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan_sets(shingle, HEAVY), "uid long, doc_id long, hi long, lo long, n long, heavy long")
     scanned = materialize(scanned, "jaccard-sets")
     rows = scanned.where("uid IS NOT NULL").drop("heavy")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_pieces, utf8
+from .common import release_memory, small_batches, table, text_pieces, utf8
 
 DIMENSIONS, SEED, PER_LANGUAGE = 1024, 20_011, 2_000
 UNKNOWN = "und"
@@ -115,6 +115,7 @@ def _learn(dimensions: int, seed: int):
 
 def prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
     """Language -> prototype of length one, from text and lang of rows whose `learn` is true."""
+    small_batches(docs.sparkSession)
     known = docs.where(F.col("learn") & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = known.groupBy("lang").count().collect()  # one row a language
     if not counts:
@@ -141,12 +142,14 @@ def _predict(languages: list[str], protos: np.ndarray, dimensions: int, seed: in
                 lang = [languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 score = np.where(known, np.clip(sims[np.arange(len(best)), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(names)], pa.array(lang), pa.array(score)], [*names, "lang_pred", "score"])
+        release_memory()
 
     return run
 
 
 def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
     """The columns `keep` with lang_pred and score, from the column text alone."""
+    small_batches(docs.sparkSession)
     languages = sorted(model)
     protos = np.stack([model[k] for k in languages]) if languages else np.zeros((0, dimensions))
     # The text goes last; it may be one of the columns to keep, too.

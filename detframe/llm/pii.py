@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_pieces
+from .common import small_batches, table, text_pieces
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, CERTAIN, ROUNDS = 20_000, 0.9, 10
@@ -287,6 +287,7 @@ def _find(model: dict, certain: float):
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
+    small_batches(docs.sparkSession)
     total = docs.count()
     drawn = docs.where(F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, train_docs / max(1, total)) + 1))
     stats = drawn.select("text").mapInArrow(count_statistics, "kind string, key array<long>, n long")
@@ -296,6 +297,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
 
 def find_pii(docs: DataFrame, model: dict | None = None, certain: float = CERTAIN) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans of every row."""
+    small_batches(docs.sparkSession)
     model = model or train(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_find(model, certain), f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")

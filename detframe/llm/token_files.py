@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, shuffle_partitions, table
+from .common import scratch, shuffle_partitions, small_batches, table
 
 NULL_ID = -(2**63)
 #: Pieces whose ids a worker remembers; the memory is emptied when full.
@@ -186,6 +186,7 @@ def _read_shards(folder: str, dtype: str):
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, shards: int | None = None) -> tuple[str, DataFrame, str]:
     """The folder, the shard table (shard, n_docs, n_tokens, base), and the ids' type."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or scratch(spark, "token-files")
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
