@@ -33,9 +33,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage through a table in the shared folder; it outlives any executor."""
+#: Rows of one file of a table whose number of rows is known beforehand.
+FILE_ROWS = 500_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage through a table in the shared folder; it outlives any executor.
+
+    rows, a bound of the number of (small) rows, keeps little tables from being written as many tiny files.
+    """
     path = scratch(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -71,6 +80,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, before = materialize(e, name), None
+    count = e.count()
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -79,11 +89,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         # Small star: every node and its smaller neighbours are linked to the smallest of those.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = materialize(star, name)
+        e = materialize(star, name, 2 * count)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, count = now, now[0]
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 

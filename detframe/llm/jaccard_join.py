@@ -514,12 +514,13 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan_sets(shingle, HEAVY), "uid long, doc_id long, hi long, lo long, n long, heavy long")
     scanned = materialize(scanned, "jaccard-sets")
     rows = scanned.where("uid IS NOT NULL").drop("heavy")
+    n_rows = rows.count()
     # Each takes HEAVY of all documents, so there are at most (mean set size) / HEAVY, however large the corpus;
     # a token with twice that share can't be missed by the tasks that see less of it.
-    often = scanned.where("heavy IS NOT NULL").groupBy("heavy").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, int(HEAVY * rows.count())))
+    often = scanned.where("heavy IS NOT NULL").groupBy("heavy").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, int(HEAVY * n_rows)))
     heavy = np.array([r[0] for r in often.select("heavy").collect()], np.int64).view(np.uint64)
     heavy.sort()
-    sets = materialize(rows.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("uid").alias("sid"), F.min("doc_id").alias("low_id")), "jaccard-names")
+    sets = materialize(rows.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("uid").alias("sid"), F.min("doc_id").alias("low_id")), "jaccard-names", n_rows)
     total = sets.agg(F.sum("n")).first()[0] or 0
     ranges = max(shuffle_partitions(spark), math.ceil(total / RANGE))
 
@@ -531,7 +532,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     entries = maybe.select("sid", F.explode("prefix").alias("token"))
     blocks = entries.groupBy("token").agg(F.min("sid").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "low")
     stars = entries.join(blocks, "token").where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b"))
-    groups = materialize(connected_components(stars, "jaccard-regions"), "jaccard-groups")
+    groups = materialize(connected_components(stars, "jaccard-regions"), "jaccard-groups", n_rows)
     regions = materialize(maybe.select("sid", "n", "tokens").join(groups, F.col("sid") == F.col("node")).select(F.col("root").cast("string").alias("region"), "sid", "n", "tokens"), "jaccard-members")
     fitting, links, several = _split_large(regions, percent, region_sets, region_tokens, rounds)
     found = fitting.repartition(shuffle_partitions(spark), "region").sortWithinPartitions("region").mapInArrow(_join_regions(percent), "a long, b long")
