@@ -14,6 +14,8 @@ from detframe.llm.token_files import token_digests
 
 #: Columns of documents, which every stage but the last returns.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near-duplicates share 80 percent or more of their 5-word shingles; op7's own query has other values.
+SHINGLE, PERCENT = 5, 80
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group; documents without words, and null ids, stay; of equal rows one stays."""
-    found = materialize(jaccard_components(docs).select("doc_id", "component_id"), "near-duplicates")
+    found = materialize(jaccard_components(docs, shingle=SHINGLE, percent=PERCENT).select("doc_id", "component_id"), "near-duplicates")
     kept = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -47,3 +47,18 @@ def test_stages_equal_brute_force(spark, corpus):
     assert abs(words(four) / words(three) - 1.5) < 0.1
     five = cp.run(spark, folder)
     assert ids(five) == ids(four) and five.agg({"n_tokens": "sum"}).first()[0] == five.selectExpr("max(start + n_tokens)").first()[0]
+
+
+def test_near_duplicates_at_five_words_and_80_percent(spark, docs_of):
+    import itertools
+
+    from .test_jaccard_join import shingles
+
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + [f"x{i}" for i in range(45)])), (3, " ".join(words + [f"y{i}" for i in range(60)]))]
+    rows += [(4, " ".join(f"v{i}" for i in range(50))), (5, " ".join("other" if i == 25 else f"v{i}" for i in range(50)))]
+    sets = {i: shingles(t, 5) for i, t in rows}
+    drop = {b for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    docs = docs_of(rows)
+    assert drop == {2, 5}
+    assert sorted(r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()) == [i for i in sets if i not in drop]
