@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from detframe.llm.common import materialize, table
 from detframe.llm.decontamination import decontaminate
 from detframe.llm.jaccard_join import jaccard_components
-from detframe.llm.language_id import MIN_SCORE, UNKNOWN, identify, prototypes, with_folds
+from detframe.llm.language_id import UNKNOWN, alphabet, identify, plausible, prototypes, with_folds
 from detframe.llm.mixing import mix
 from detframe.llm.token_files import token_digests
 
@@ -19,10 +19,10 @@ SHINGLE, PERCENT = 5, 80
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labels name: no `und`, and a cosine of MIN_SCORE or more."""
-    model = prototypes(with_folds(docs.select("doc_id", "text", "lang")))
-    found = identify(docs.select(*COLUMNS), model, list(COLUMNS))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    """Documents in one of the languages that the labels name: no `und`, and a cosine or letters beyond chance."""
+    labelled = with_folds(docs.select("doc_id", "text", "lang"))
+    found = identify(docs.select(*COLUMNS), prototypes(labelled), list(COLUMNS))
+    return found.where((F.col("lang_pred") != UNKNOWN) & plausible(alphabet(labelled))).select(*COLUMNS)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

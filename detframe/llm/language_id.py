@@ -30,8 +30,10 @@ DIMENSIONS, SEED, PER_LANGUAGE = 1024, 20_011, 2_000
 UNKNOWN = "und"
 #: Letters counted at once, and documents.
 BLOCK, ROWS = 1 << 20, 256
-#: In the pipeline, texts below this cosine are in none of the languages; texts of one word may come near it.
-MIN_SCORE = 0.02
+#: Limits of the pipeline, see plausible: a cosine of unrelated texts has the standard deviation 1 / sqrt(DIMENSIONS).
+SHORT, LONG, SIGMAS, MORE_SIGMAS = 50, 2_000, 5, 2
+#: A letter belongs to the alphabet of a language if one of so many of its documents has it.
+LETTER_SHARE = 0.01
 
 
 def letter_vectors(code_points, dimensions: int, seed: int) -> np.ndarray:
@@ -117,12 +119,10 @@ def prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: in
     """Language -> prototype of length one, from text and lang of rows whose `learn` is true."""
     small_batches(docs.sparkSession)
     known = docs.where(F.col("learn") & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").count().collect()  # one row a language
-    if not counts:
+    drawn = _drawn(known, per_language, seed)
+    if drawn is None:
         return {}
-    chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
-    drawn = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) / 1e6) < F.element_at(chance, F.col("lang"))
-    rows = known.where(drawn).select("text", "lang").repartition(8).mapInArrow(_learn(dimensions, seed), "lang string, bundle array<double>").collect()
+    rows = drawn.select("text", "lang").repartition(8).mapInArrow(_learn(dimensions, seed), "lang string, bundle array<double>").collect()
     sums: dict[str, np.ndarray] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["bundle"])):
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.array(r["bundle"])
@@ -158,6 +158,46 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], dim
     return given.mapInArrow(_predict(languages, protos, dimensions, seed, keep), f"{kinds}, lang_pred string, score double")
 
 
+def _drawn(known: DataFrame, per_language: int, seed: int) -> DataFrame | None:
+    """About per_language rows of each language, chosen by a hash of the id; None if there is no language."""
+    counts = known.groupBy("lang").count().collect()  # one row a language
+    if not counts:
+        return None
+    chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
+    return known.where((F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) / 1e6) < F.element_at(chance, F.col("lang")))
+
+
+def alphabet(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = SEED) -> str:
+    """The letters of the labelled languages, from the documents that prototypes reads."""
+    drawn = _drawn(docs.where(F.col("learn") & F.col("text").isNotNull() & F.col("lang").isNotNull()), per_language, seed)
+    if drawn is None:
+        return ""
+    each = drawn.select("lang", F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"\P{L}+", ""), ""))).alias("c")).where("c <> ''")
+    total = {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().collect()}
+    least = F.create_map(*[x for k, n in total.items() for x in (F.lit(k), F.lit(LETTER_SHARE * n))]) if total else F.lit(None)
+    # At most 1 / LETTER_SHARE times the letters of a document, for each language.
+    common = each.groupBy("lang", "c").count().where(F.col("count") >= F.element_at(least, F.col("lang"))) if total else each.limit(0)
+    return "".join(sorted({r["c"] for r in common.select("c").distinct().collect()}))
+
+
+def plausible(letters: str, dimensions: int = DIMENSIONS):
+    """Whether text and score of identify show one of the languages, beyond chance.
+
+    What counts is m, the letters of a text's distinct words: repeats bring no evidence. The cosine must reach
+    SIGMAS standard deviations of unrelated texts, and up to MORE_SIGMAS more as m grows to LONG, since random
+    strings in the same letters meet more trigrams of a language the longer they are. Below SHORT letters the
+    cosine of a clean text may lie in the noise: there, more than half of the letters must be of the alphabet.
+    """
+    low = F.lower("text")
+    count = lambda c: F.length(F.regexp_replace(c, r"\P{L}+", ""))
+    m = F.length(F.array_join(F.array_distinct(F.split(low, r"\P{L}+")), ""))
+    sure = (SIGMAS + MORE_SIGMAS) / dimensions**0.5
+    limit = (SIGMAS + MORE_SIGMAS * F.least(F.lit(1.0), m / LONG)) / dimensions**0.5
+    foreign = count(F.regexp_replace(low, f"[{letters}]+", "")) if letters else count(low)
+    # Most texts pass the first test, so that the others are rarely worked out.
+    return (F.col("score") >= sure) | F.when(m < SHORT, 2 * foreign < count(low)).otherwise(F.col("score") >= limit)
+
+
 def with_folds(docs: DataFrame) -> DataFrame:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     return docs.withColumn("held_out", F.coalesce(fold, F.lit(False))).withColumn("learn", F.coalesce(~fold, F.lit(False)))

@@ -62,3 +62,18 @@ def test_near_duplicates_at_five_words_and_80_percent(spark, docs_of):
     docs = docs_of(rows)
     assert drop == {2, 5}
     assert sorted(r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()) == [i for i in sets if i not in drop]
+
+
+def test_language_stage_rejects_noise_and_keeps_short_texts(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    en, de = ["the", "ing", "er", "and", "on", "th"], ["sch", "ein", "ung", "der", "keit", "ä"]
+    say = lambda ws, n: " ".join(r.choice(ws) + r.choice(ws) for _ in range(n))
+    noise = lambda a, n: " ".join("".join(r.choice(a) for _ in range(r.randint(3, 9))) for _ in range(n))
+    rows = [(i, say(en, 60) if i % 2 else say(de, 60), "en" if i % 2 else "de") for i in range(120)]
+    keep = [(1000, "Thing.", "en"), (1001, "derung", "de"), (1002, "thing " * 100, "en")]
+    cyrillic, han, latin = [chr(c) for c in range(0x430, 0x450)], [chr(c) for c in range(0x4E00, 0x5200)], "abcdefghijklmnopqrstuvwxyz"
+    drop = [(2000 + i, noise(a, n), None) for i, (a, n) in enumerate([(a, n) for a in (cyrillic, han) for n in (1, 60) for _ in range(20)] + [(a, n) for a in (latin, "abcdef") for n in (60,) for _ in range(20)])]
+    d = spark.createDataFrame([(i, t, k, "s", 1) for i, t, k in rows + keep + drop], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in cp.language(spark, d, "").collect()) == [i for i, *_ in rows + keep]
