@@ -26,10 +26,20 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group; documents without words, and null ids, stay; of equal rows one stays."""
-    found = materialize(jaccard_components(docs, shingle=SHINGLE, percent=PERCENT).select("doc_id", "component_id"), "near-duplicates")
-    kept = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1")
+    """One row of each group: of the smallest doc_id, nulls last; documents without words stay, of equal rows one.
+
+    Rows go by a hash of id and text: ids may be null, and one id may have several texts.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = jaccard_components(docs.select(key.alias("doc_id"), "text"), shingle=SHINGLE, percent=PERCENT)
+    found = materialize(found.select(F.col("doc_id").alias("key"), "component_id"), "near-duplicates")
+    others = found.where("component_id <> key").distinct()
+    groups = others.union(others.select(F.col("component_id").alias("key"), "component_id")).distinct()
+    ids = docs.select(key.alias("key"), "doc_id").distinct()
+    best = groups.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")).select("best.key")
+    dropped = materialize(groups.select("key").join(best, "key", "left_anti"), "near-dropped")
+    kept = docs.withColumn("key", key).join(dropped, "key", "left_anti").select(*docs.columns)
+    repeated = found.groupBy("key").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 

@@ -77,3 +77,12 @@ def test_language_stage_rejects_noise_and_keeps_short_texts(spark, tmp_path):
     drop = [(2000 + i, noise(a, n), None) for i, (a, n) in enumerate([(a, n) for a in (cyrillic, han) for n in (1, 60) for _ in range(20)] + [(a, n) for a in (latin, "abcdef") for n in (60,) for _ in range(20)])]
     d = spark.createDataFrame([(i, t, k, "s", 1) for i, t, k in rows + keep + drop], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(x.doc_id for x in cp.language(spark, d, "").collect()) == [i for i, *_ in rows + keep]
+
+
+def test_near_duplicates_go_by_row(spark, docs_of):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("a") + " tail"), (None, text("a")), (1, text("b")), (2, text("b") + " tail"), (2, text("c")), (4, text("d")), (None, text("d") + " tail"), (5, ""), (6, "")]
+    got = cp.near_duplicates(spark, docs_of(rows), "").collect()
+    left = sorted((r.doc_id, r.text) for r in got if r.doc_id is not None)
+    assert left == sorted([rows[3], rows[5], rows[6], rows[8], rows[9]]) and len(got) == len(left) + 1
+    assert next(r.text for r in got if r.doc_id is None) in (text("a"), text("a") + " tail")
