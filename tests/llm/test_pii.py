@@ -63,3 +63,11 @@ def test_whole_table_equals_patterns(spark):
     for r in op8_pii(spark, DATA).collect():
         line = ",".join(f"{k}:{s}:{e}" for k, s, e in by_pattern(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and set(filter(None, line.split(","))) <= set(r.spans.split(","))
+
+
+def test_field_reaches_all_repeats():
+    for base, repeat, kind in (("+1 555 010 9999", "15550109999", "phone"), ("jane.roe@x.org", "jane.roe", "email")):
+        filler = lambda i: f" and {repeat} no{'x' * i}"
+        for t in (base + "".join(map(filler, range(50))), "".join(map(filler, range(50))) + " so " + base):
+            spans = added_spans(t, base_spans(t), MODEL)
+            assert len(spans) == 50 and {(k, t[s:e]) for k, s, e in spans} == {(kind, repeat)}
