@@ -1,11 +1,13 @@
 """URL filter: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 Features: length, depth, digit ratio, character entropy, parameters, hyphens, host labels and length, longest
-run of digits, and for the last one and two host labels how often they stand on blocked training URLs
-(smoothed) and how often at all. The trees are trained by Spark's own gradient boosting from labelled URLs, of
-which at most about `train_rows` are read, chosen by a hash; suffix statistics come from the same rows and are
-broadcast (at most two suffixes a row). The label of the registered query: a host with one of SEED_WORDS among
-its hyphenated parts is blocked, others are not; the trees see features alone, never words.
+run of digits, and for the last one and two host labels how often they stand on blocked labelled URLs
+(smoothed) and how often at all, counted over all of these. Suffix tables are broadcast up to MANY_SUFFIXES rows;
+larger ones are joined by shuffles, but for suffixes with a thousandth of all rows. The trees are trained by
+Spark's own gradient boosting from about `train_rows` labelled URLs: of each label up to half, or what the rarer
+one leaves; of n equal URLs a share p is drawn as floor(n p + u) rows, u from a hash. The label of the registered
+query: a host with one of SEED_WORDS among its hyphenated parts is blocked, others are not; the trees see
+features alone, never words.
 
 Defined results: a null URL or one without `://` has an empty host and path and matches no rule; the trees
 judge it, too; repeated rows are judged one by one; texts of any length are read whole; without training rows
@@ -24,6 +26,8 @@ from .common import LOWER, UPPER, materialize, table
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SEED_WORDS = ("ads", "adult", "bets", "casino", "cheap", "pills", "spam", "track", "win")
 TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 10, 4, 17
+#: Suffixes up to which their table is broadcast, share of all rows of a heavy suffix, and tasks its rows are dealt to.
+MANY_SUFFIXES, HEAVY, SALTS = 100_000, 1e-3, 256
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "params", "hyphens", "labels", "host_length", "digit_run", "top_rate", "top_seen", "site_rate", "site_seen")
 
 
@@ -69,32 +73,54 @@ def seed_label():
     return F.arrays_overlap(F.split(F.regexp_replace("host", r"\.", "-"), "-"), F.array(*map(F.lit, SEED_WORDS))).cast("double")
 
 
-def _suffixes(labelled: DataFrame, column: str, prefix: str) -> DataFrame:
-    counts = labelled.groupBy(column).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
-    return F.broadcast(counts.select(column, ((F.col("bad") + 0.5) / (F.col("n") + 5)).alias(f"{prefix}_rate"), F.log1p("n").alias(f"{prefix}_seen")))
-
-
-def judge(urls: DataFrame, labelled: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def _with_suffix(d: DataFrame, counts: DataFrame, column: str, prefix: str, total: int, many: int) -> DataFrame:
+    """d with the rate and the frequency of a suffix; counts: the column, bad, n."""
+    rated = counts.select(column, "n", ((F.col("bad") + 0.5) / (F.col("n") + 5)).alias(f"{prefix}_rate"), F.log1p("n").alias(f"{prefix}_seen"))
+    if counts.limit(many + 1).count() <= many:
+        d = d.join(F.broadcast(rated.drop("n")), column, "left")
+    else:
+        # At most 1 / HEAVY suffixes are heavy; their rows are dealt out by a salt that no light suffix has.
+        heavy = rated.where(F.col("n") >= HEAVY * total).select(column, F.col(f"{prefix}_rate").alias("heavy_rate"), F.col(f"{prefix}_seen").alias("heavy_seen"))
+        light = rated.where(F.col("n") < HEAVY * total).drop("n").withColumn("salt", F.lit(0).cast("long"))
+        d = d.join(F.broadcast(heavy), column, "left")
+        d = d.withColumn("salt", F.when(F.col("heavy_seen").isNull(), 0).otherwise(1 + F.monotonically_increasing_id() % SALTS)).join(light, [column, "salt"], "left")
+        d = d.withColumn(f"{prefix}_rate", F.coalesce("heavy_rate", f"{prefix}_rate")).withColumn(f"{prefix}_seen", F.coalesce("heavy_seen", f"{prefix}_seen")).drop("salt", "heavy_rate", "heavy_seen")
+    return d.fillna({f"{prefix}_rate": 0.1, f"{prefix}_seen": 0.0})
+
+
+def drawn_rows(labelled: DataFrame, good: int, bad: int, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """url, label, k: how many of the equal rows are drawn. good and bad: rows with label 0 and 1."""
+    rare = min(good, bad, train_rows // 2)
+    share = lambda n: min(1.0, (rare if n == min(good, bad) else train_rows - rare) / max(1, n))
+    same = labelled.groupBy("url", "label").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.xxhash64(F.lit(SEED), "url"), F.lit(1_000_000)) / 1e6
+    k = F.floor(F.col("n") * F.when(F.col("label") == 1, share(bad)).otherwise(share(good)) + part)
+    return same.select("url", "label", k.alias("k")).where("k > 0")
+
+
+def judge(urls: DataFrame, labelled: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS, many_suffixes: int = MANY_SUFFIXES) -> DataFrame:
     """urls (with url) plus host, path, rule, verdict; labelled: url, label (1.0 block, 0.0 allow)."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    total = labelled.count()
-    drawn = labelled.where(F.pmod(F.xxhash64(F.lit(SEED), "url"), F.lit(1_000_000)) < int(1e6 * min(1.0, train_rows / max(1, total)) + 1))
-    train = materialize(with_features(with_parts(drawn.select("url", "label"))), "url-train")
-    top, site = materialize(_suffixes(train, "top", "top"), "url-top"), materialize(_suffixes(train, "site", "site"), "url-site")
+    labelled = labelled.where(F.col("label").isNotNull()).select("url", "label")
+    sites = with_features(with_parts(labelled)).groupBy("top", "site").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
+    sites = materialize(sites, "url-site")
+    tops = materialize(sites.groupBy("top").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "url-top")
+    total, bad = tops.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
+    train = materialize(with_features(with_parts(drawn_rows(labelled, total - int(bad), int(bad), train_rows))), "url-train")
 
     def complete(d: DataFrame) -> DataFrame:
-        d = d.join(F.broadcast(top), "top", "left").join(F.broadcast(site), "site", "left")
-        return d.fillna({"top_rate": 0.1, "top_seen": 0.0, "site_rate": 0.1, "site_seen": 0.0})
+        d = _with_suffix(d, tops, "top", "top", total, many_suffixes)
+        return _with_suffix(d, sites.drop("top"), "site", "site", total, many_suffixes)
 
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    share = train.groupBy("label").count().collect()  # two rows
+    share = train.groupBy("label").agg(F.sum("k").alias("count")).collect()  # two rows
     own = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     d = with_features(with_parts(urls.select(F.struct(*own).alias("row"), "url")))
     if len(share) == 2:
         weight = {r["label"]: sum(x["count"] for x in share) / (2 * r["count"]) for r in share}
-        rows = complete(train).withColumn("weight", F.when(F.col("label") == 1, weight[1.0]).otherwise(weight[0.0]))
+        rows = complete(train).withColumn("weight", F.col("k") * F.when(F.col("label") == 1, weight[1.0]).otherwise(weight[0.0]))
         model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED, checkpointInterval=-1).fit(assembler.transform(rows).select("features", "label", "weight").coalesce(4))
         d = model.transform(assembler.transform(complete(d))).withColumn("own", F.when(F.col("prediction") == 1, "block").otherwise("allow"))
     else:

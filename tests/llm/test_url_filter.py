@@ -59,3 +59,31 @@ def test_pages(spark):
     seeds = spark.read.parquet(f"{DATA}/pages.parquet").transform(with_parts).withColumn("seed", seed_label()).select("page_id", "seed")
     own = r.where(F.col("rule").isNull()).join(seeds, "page_id")
     assert own.where((F.col("verdict") == "block") == (F.col("seed") == 1)).count() / own.count() > 0.9
+
+
+def test_many_more_urls_than_training_rows(spark):
+    from detframe.llm.url_filter import drawn_rows
+
+    same = "http://same.example.org/x"
+    # Good and bad URLs have one form: only their sites' counts part them.
+    url = lambda site, i: f"http://w{site}.site{site}.biz/{1000 + i}"
+    rows = [(url(100 + i % 500, i), 0.0) for i in range(6000)] + [(same, 0.0)] * 3000 + [(url(600 + i % 4, 700 * i), 1.0) for i in range(8)]
+    d = spark.createDataFrame(rows, "url string, label double")
+    drawn = {(r.url, r.label): r.k for r in drawn_rows(d, 9000, 8, 300).collect()}
+    assert sum(k for (_, label), k in drawn.items() if label == 1) == 8 and 200 < sum(drawn.values()) < 400
+    assert 90 <= drawn[same, 0.0] <= 105  # a third of the rows is a third of the draw
+    pages = d.select("url", "label").withColumn("page_id", F.monotonically_increasing_id())
+    for many in (100_000, 10):
+        got = judge(pages, d, train_rows=300, many_suffixes=many)
+        assert got.count() == len(rows) and got.where((F.col("verdict") == "block") != (F.col("label") == 1)).count() == 0
+
+
+def test_suffix_tables_count_all_rows(spark):
+    from detframe.llm.url_filter import _with_suffix
+
+    d = spark.createDataFrame([("hot",)] * 50 + [("cold",), ("new",)], "site string")
+    counts = spark.createDataFrame([("hot", 10.0, 5000), ("cold", 1.0, 1)], "site string, bad double, n long")
+    want = {("hot", round(10.5 / 5005, 9), round(math.log1p(5000), 9)), ("cold", 0.25, round(math.log1p(1), 9)), ("new", 0.1, 0.0)}
+    for many in (10, 1):
+        got = _with_suffix(d, counts, "site", "site", 5001, many).collect()
+        assert len(got) == 52 and {(r.site, round(r.site_rate, 9), round(r.site_seen, 9)) for r in got} == want
