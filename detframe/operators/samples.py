@@ -60,10 +60,19 @@ def capped(samples: DataFrame, limit: int | None, order: list, by: str = "state"
 
 
 def ordered_synth(frames: DataFrame, num_samples: int | None = None, max_samples: int | None = None) -> DataFrame:
-    """Synthetic frames: capped in directory order (text), then numbered by run number, stably."""
+    """Synthetic frames: capped in directory order (text), then numbered by run number, stably.
+
+    Frames are ranked in their directory and experiment; only the table of these is counted up in order.
+    """
     dirs = [F.col("run_dir"), F.col("experiment"), F.col("frame")]
     kept = capped(capped(frames, num_samples, dirs), max_samples, dirs)
-    return kept.withColumn("position", F.row_number().over(Window.partitionBy("state").orderBy("run_number", *dirs)) - 1)
+    place = ["state", "run_number", "run_dir", "experiment"]
+    counts = kept.groupBy(*place).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("state").orderBy(*place[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select(*(F.col(c).alias(f"__{c}") for c in place), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    ranked = kept.withColumn("__rank", F.row_number().over(Window.partitionBy(*place).orderBy("frame")) - 1)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in place]
+    return ranked.join(start, same).withColumn("position", F.col("__start") + F.col("__rank")).select(*kept.columns, "position")
 
 
 def split_counts(samples: DataFrame) -> DataFrame:

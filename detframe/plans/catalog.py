@@ -397,11 +397,20 @@ def run_frames(spark, d):
     return kitti.frames(b.overrides(spark, d).select("event_id", "run_number", F.col("override").alias("config"))).select("event_id", "frame", "run_number")
 
 
+def _synth_frames(spark, d) -> DataFrame:
+    e = b.read(spark, d, "events")
+    return e.select(F.col("event_id").cast("string").alias("sample_id"), F.lit("additional").alias("state"), F.concat(F.lit("palletjack_run_"), (F.col("user_id") % 12).cast("string")).alias("run_dir"), F.col("event_type").alias("experiment"), F.col("event_id").alias("frame"), (F.col("user_id") % 12).alias("run_number"))
+
+
 @query("SELECT sample_id, position FROM (SELECT sample_id, row_number() OVER (ORDER BY run_number, run_dir, event_id) - 1 AS position FROM (SELECT *, row_number() OVER (ORDER BY run_dir, event_type, event_id) AS r FROM (SELECT CAST(event_id AS VARCHAR) AS sample_id, event_id, event_type, user_id % 12 AS run_number, 'palletjack_run_' || CAST(user_id % 12 AS VARCHAR) AS run_dir FROM events WHERE event_type = 'click')) WHERE r <= 500)")
 def synth_order(spark, d):
-    e = b.read(spark, d, "events").where("event_type = 'click'")
-    f = e.select(F.col("event_id").cast("string").alias("sample_id"), F.lit("additional").alias("state"), F.concat(F.lit("palletjack_run_"), (F.col("user_id") % 12).cast("string")).alias("run_dir"), F.col("event_type").alias("experiment"), F.col("event_id").alias("frame"), (F.col("user_id") % 12).alias("run_number"))
-    return samples.ordered_synth(f, num_samples=500).select("sample_id", F.col("position").cast("long").alias("position"))
+    return samples.ordered_synth(_synth_frames(spark, d).where("experiment = 'click'"), num_samples=500).select("sample_id", F.col("position").cast("long").alias("position"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS sample_id, row_number() OVER (ORDER BY user_id % 12, 'palletjack_run_' || CAST(user_id % 12 AS VARCHAR), event_type, event_id) - 1 AS position FROM events")
+def synth_order_all(spark, d):
+    """Every frame of every experiment; synth_order shows the cap on one of them."""
+    return samples.ordered_synth(_synth_frames(spark, d)).select("sample_id", F.col("position").cast("long").alias("position"))
 
 
 @query("SELECT DISTINCT user_id AS sample_id, max(event_id) AS event_id FROM events GROUP BY 1")

@@ -139,3 +139,16 @@ def test_stream_drops_late_rows(spark, tmp_path):
     frames.run_available(s, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = sorted((r.window_start.hour, r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(1, 2, 3.0), (9, 1, 5.0)]
+
+
+def test_order_runs_across_experiments(spark):
+    from detframe.plans import catalog
+
+    from .conftest import DATA
+
+    events = {str(r.event_id): r for r in spark.read.parquet(f"{DATA}/events.parquet").collect()}
+    got = [r.sample_id for r in catalog.QUERIES["synth_order_all"](spark, DATA).orderBy("position").collect()]
+    key = lambda i: (events[i].user_id % 12, events[i].event_type, events[i].event_id)
+    assert got == sorted(events, key=key) and len({events[i].event_type for i in got}) > 1
+    f = spark.createDataFrame([("s", None, "r", "e", 2, "b"), ("s", None, "r", "e", 1, "a"), ("s", 1, "r", None, 1, "c"), ("t", 1, "r", "e", 1, "d")], "state string, run_number int, run_dir string, experiment string, frame int, sample_id string")
+    assert {r.sample_id: r.position for r in samples.ordered_synth(f).collect()} == {"a": 0, "b": 1, "c": 2, "d": 0}
