@@ -94,9 +94,11 @@ def latest_by_id(samples: DataFrame, order: str) -> DataFrame:
 
 def require_runs(available: DataFrame, desired: list[int]) -> DataFrame:
     """The wanted runs; a missing one is an error that names desired, available and missing runs."""
-    have = sorted(r[0] for r in available.select("run_number").distinct().where(F.col("run_number").isNotNull()).limit(10_000).collect())
-    missing = sorted(set(desired) - set(have))
+    runs = available.select("run_number").where(F.col("run_number").isNotNull()).distinct()
+    found = {r[0] for r in runs.where(F.col("run_number").isin(*desired)).collect()}  # no more than are wanted
+    missing = sorted(set(desired) - found)
     if missing:
+        have = [r[0] for r in runs.orderBy("run_number").limit(10_000).collect()]
         raise ValueError(f"runs not found: desired {sorted(desired)}, available {have}, missing {missing}")
     return available.where(F.col("run_number").isin(*desired))
 

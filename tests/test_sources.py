@@ -152,3 +152,11 @@ def test_order_runs_across_experiments(spark):
     assert got == sorted(events, key=key) and len({events[i].event_type for i in got}) > 1
     f = spark.createDataFrame([("s", None, "r", "e", 2, "b"), ("s", None, "r", "e", 1, "a"), ("s", 1, "r", None, 1, "c"), ("t", 1, "r", "e", 1, "d")], "state string, run_number int, run_dir string, experiment string, frame int, sample_id string")
     assert {r.sample_id: r.position for r in samples.ordered_synth(f).collect()} == {"a": 0, "b": 1, "c": 2, "d": 0}
+
+
+def test_wanted_runs_are_found_among_many(spark):
+    many = spark.range(30_000).select(F.col("id").cast("int").alias("run_number"))
+    wanted = list(range(0, 30_000, 1_500)) + [29_999]
+    assert sorted(r[0] for r in samples.require_runs(many, wanted).collect()) == sorted(wanted)
+    with pytest.raises(ValueError, match=r"missing \[30000\]"):
+        samples.require_runs(many, [5, 30_000])
