@@ -83,8 +83,8 @@ def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
     return out.select("slot", "no", "rank", "first", F.least(F.col("first") + block, "quota").alias("last"))
 
 
-def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row, and its source."""
+def _laid(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
+    """The documents in their streams, and the parts of them that the scheduled slots take."""
     spark = docs.sparkSession
     d = materialize(sized(docs, seed), "mix-sized")
     sources = materialize(targets(d), "mix-sources")
@@ -98,11 +98,24 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     placed = d.withColumn("end", F.sum("size").over(inside)).withColumn("row", F.row_number().over(inside)).join(base, ["no", "bucket"])
     placed = materialize(placed.withColumn("start", F.col("base") + F.col("end") - F.col("size")), "mix-placed")
     rounds = F.explode(F.sequence(F.lit(0), F.lit(REPEAT - 1)))
-    laps = placed.where("size > 0").select("no", "bucket", "row", "size", "start", "source_size", rounds.alias("lap"))
-    laps = laps.select("no", "bucket", "row", (F.col("start") + F.col("lap") * F.col("source_size")).alias("from"), (F.col("start") + F.col("lap") * F.col("source_size") + F.col("size")).alias("to"))
+    laps = placed.where("size > 0").select("no", "bucket", "row", "doc_id", "source", "size", "start", "source_size", rounds.alias("lap"))
+    laps = laps.withColumn("from", F.col("start") + F.col("lap") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size")).drop("size", "start", "source_size")
     laps = laps.select("*", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))).alias("rank"))
-    used = laps.join(slots.select("no", "rank", "first", "last"), ["no", "rank"])
-    used = used.groupBy("no", "bucket", "row").agg(F.sum(F.greatest(F.lit(0), F.least("to", "last") - F.greatest("from", "first"))).alias("taken"))
+    used = laps.join(slots.select("slot", "no", "rank", F.col("first").alias("low"), F.col("last").alias("high")), ["no", "rank"])
+    first, last = F.greatest("from", "low") - F.col("from"), F.least("to", "high") - F.col("from")
+    return placed, used.select("slot", "no", "bucket", "row", "doc_id", "source", "lap", first.alias("first"), last.alias("last")).where("first < last")
+
+
+def blocks(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The mix itself: slot, source, doc_id, lap, first, last. In the order of slot, then lap, bucket and row, each
+    row takes words [first, last) of its document; bucket and row are the document's place in its source's stream."""
+    return _laid(docs, seed)[1].drop("no")
+
+
+def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row, and its source; taken is what its parts in blocks add up to."""
+    placed, used = _laid(docs, seed)
+    used = used.groupBy("no", "bucket", "row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     out = placed.join(used, ["no", "bucket", "row"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 

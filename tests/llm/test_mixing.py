@@ -67,3 +67,23 @@ def test_empty_and_wordless(docs_of):
 
 def test_sql(spark):
     assert_same(op10_mixing(spark, DATA), OP10_SQL, DATA)
+
+
+def test_blocks_follow_the_schedule(docs_of):
+    d = docs_of([(i, "w " * (1 + i % 7)) for i in range(60)], source="a").unionByName(docs_of([(i, "w " * 5) for i in range(100, 160)], source="b"))
+    parts = sorted(mixing.blocks(d).collect(), key=lambda r: (r.slot, r.lap, r.bucket, r.row))
+    total = {}
+    for r in parts:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r["last"] - r["first"]
+    assert total == {r.doc_id: r.taken for r in mix(d).collect() if r.taken}
+    # One source a slot, and every prefix of the sequence holds the sources in their shares.
+    sources = {r.slot: r.source for r in parts}
+    assert all(sources[r.slot] == r.source for r in parts)
+    words = [r.source for r in parts for _ in range(r["last"] - r["first"])]
+    share = words.count("a") / len(words)
+    assert all(abs(words[:n].count("a") - share * n) <= 6 for n in range(0, len(words), 20))
+    # Within a source, the sequence runs through whole documents: each part goes on where the last one stopped.
+    for doc in total:
+        for lap in (0, 1):
+            own = [(r["first"], r["last"]) for r in parts if r.doc_id == doc and r.lap == lap]
+            assert not own or own[0][0] == 0 and all(x[1] == y[0] for x, y in zip(own, own[1:]))
