@@ -72,23 +72,40 @@ def ascii_lower(c):
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+#: A node is hot beyond HOT_ROWS links and a HOT_NODES-th of all; so there are at most HOT_NODES hot ones.
+HOT_ROWS, HOT_NODES = 200, 1000
+
+
+def _with_least(e: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Rows (u, v) of e with m, the least v of their u. Rows of a hot u meet a broadcast table where they are."""
+    least = lambda d: d.groupBy("u").agg(F.min("v").alias("m"))
+    if hot is None:
+        return e.join(least(e), "u")
+    cold = e.join(hot, "u", "left_anti")
+    return e.join(F.broadcast(least(e.join(hot, "u", "left_semi"))), "u").unionByName(cold.join(least(cold), "u"))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node that links reach.
 
     Alternating large-star and small-star rounds: O(log n) rounds in practice, every round is joins and
-    minimums with map-side combining, and no component is ever gathered in one task.
+    minimums with map-side combining, and neither a component nor a node's links are ever gathered in one task.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, before = materialize(e, name), None
     count = e.count()
-    while True:
+    while count:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        # Large star: every larger neighbour of u is linked to the smallest of u's neighbourhood.
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        # A node has no more links after the large star than before it, so that one table serves both stars.
+        hot = both.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOT_ROWS, 2 * count // HOT_NODES)).select("u")
+        hot = None if hot.isEmpty() else F.broadcast(materialize(hot, name, HOT_NODES))
+        # Large star: every larger neighbour of u, and u, is linked to the smallest of u and its neighbourhood.
+        near = _with_least(both, hot).withColumn("m", F.least("u", "m"))
+        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = materialize(large, name, 2 * count) if hot is not None else large
         # Small star: every node and its smaller neighbours are linked to the smallest of those.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        near = _with_least(large, hot)
+        star = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = materialize(star, name, 2 * count)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:

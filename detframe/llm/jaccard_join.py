@@ -1,32 +1,41 @@
 """Exact Jaccard self-join of word-shingle sets, as a metric-space join with pivots, Voronoi regions and windows.
 
 1. Sets. Words are split at ASCII white space, A-Z lower-cased; a document's set holds 64-bit hashes of its
-   4-word shingles. Documents with one set are one node. (Hashes replace shingles; two different shingles of
-   two compared sets collide with a chance of about 1e-13.)
+   4-word shingles. Documents with one set are one node. Words are hashed by their bytes, eight at a time
+   through a mixing function (long ones by BLAKE2b): no algebra of the letters makes two texts collide, and two
+   different shingles of two compared sets have one hash with a chance of about 1e-13.
 2. Regions. Unrelated texts lie at distance 1 from any pivot document, so pivots alone can't part them. The
    first regions are therefore the connected groups of sets that share a token of their prefixes, ordered by
-   exact document frequency; sets at distance 0.15 or less always share one. Frequencies need every token
+   exact document frequency; sets at distance r = 0.15 or less always share one. Frequencies need every token
    once: scan tasks send their tokens, sorted and packed, to hash ranges, which count sets per token and send
    the tokens of two or more sets on to hash ranges of sets. Tokens of one set can't be shared and stay
    behind; sets whose prefixes hold only such tokens link with nothing. Tokens in a thousandth of all
-   documents or more are known as heavy beforehand and bypass the counting, so no token floods a range.
-3. Pivots. In a region, a few pivots get all distances; each set belongs to the cell of its nearest pivot,
-   and a set y is copied into the cell of pivot p where d(y, p) <= d(y, own pivot) + 2r, r = 0.15. Sets
-   within r of a pivot are linked with it at once. Cells are joined in the same way again; where cells don't
-   get smaller, each set is compared with the others that |d(x, p) - d(y, p)| <= r leaves for every pivot p
-   and that aren't connected with it yet (another link would change no component).
-4. Large regions are never held by one task: a pivot's ball is linked, its members are dealt out in chunks, each
-   meets the outliers within 2r of the pivot, and the outliers are a region of their own with another pivot;
-   after some rounds what is still large is compared chunk by chunk.
+   documents or more are known as heavy beforehand and bypass the counting, so no token floods a range. A
+   task combines the sets of a token among its rows first, so a frequent token sends a row a task.
+3. Pivots in a task. A few pivots get all distances; each set belongs to the cell of its nearest pivot, and a
+   set y is copied into the cell of pivot p where d(y, p) <= d(y, own pivot) + 2r. Sets within r of a pivot
+   are linked with it at once. Cells are joined in the same way again; where cells don't get smaller, each set
+   is compared with the others that |d(x, p) - d(y, p)| <= r leaves for every pivot p and that aren't
+   connected with it yet (another link would change no component).
+4. Pivots across tasks. A region beyond one task's limits gets two pivots for each task-sized part of it, all
+   distances to them, and becomes their Voronoi cells with the same windows; sets farther than CORE from all
+   pivots are a cell of their own, without copies elsewhere. Cells are regions again. Sets linked through
+   pivots need no comparison among each other: if such a group is half of a region or more, its cells are dealt
+   out in parts, each with the few others within 2r of the cell's pivot. Where windows leave cells as large as
+   the region, it is split by the tokens that two linked sets must share next in the order of rarity, and by
+   classes of size. At any level two sets can link only if the tokens before their first common one are few
+   (`excess`): where few sets satisfy that with any other, these meet the others part by part. Sets that all
+   these bounds leave together are nearly linked, each with most others; only they are compared pair by pair.
 
 Defined results: a null or wordless text has an empty set, size 0, and links with nothing; fewer than four
 words are one shingle; repeated rows are documents of their own with one set; a null id gets the smallest
-id of its component, null if there is none; an empty table gives no rows; texts of any length are read to
-their end.
+id of its component, null if there is none; an empty table gives no rows; texts and words of any length are
+read to their end; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -35,15 +44,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, release_memory, shuffle_partitions, small_batches, table, text_pieces, utf8
+from .common import connected_components, materialize, release_memory, shuffle_partitions, small, small_batches, table, text_pieces, utf8
 
 SHINGLE, PERCENT = 4, 85
 #: Tokens a scan task packs at once, tokens of a hash range, and share of documents of a heavy token.
 FLUSH, RANGE, HEAVY = 1_000_000, 2_000_000, 1e-3
 #: Limits of a region for one task.
 REGION_SETS, REGION_TOKENS = 8_192, 8_000_000
-#: Pivot rounds for larger regions before what is left is compared chunk by chunk.
-PIVOT_ROUNDS = 3
+#: Pivots of a large region at once, distance to a pivot up to which a cell reaches, tokens measured at once.
+MAX_PIVOTS, CORE, MEASURED = 64, 0.7, 100_000
+#: A region's cells are kept if the largest has this share of its sets or less, and all cells together so many times its sets.
+SHRUNK, COPIES = 0.7, 3
+#: Regions whose little tables are broadcast.
+MANY_REGIONS = 100_000
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 ALWAYS = np.uint32(2**32 - 1)  # frequency of heavy tokens: last in the order of rarity
 
 
@@ -59,29 +74,20 @@ def mix64(x):
     return x ^ (x >> np.uint64(31))
 
 
-class Hasher:
-    """Hashes of all words of a byte array at once: differences of prefix sums of a polynomial."""
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, size: int = 1 << 16):
-        value = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 256, dtype=np.uint64)
-        value[65:91] = value[97:123]
-        self.value, self.blank = value, np.zeros(256, bool)
-        self.blank[[32, 9, 10, 11, 12, 13]] = True
-        self.base = 0x9E3779B97F4A7C15
-        self._grow(size)
 
-    def _grow(self, size: int):
-        def powers(b):
-            p = np.full(size + 1, b, np.uint64)
-            p[0] = 1
-            return np.cumprod(p)
+class Hasher:
+    """Hashes of all words of a byte array at once, from eight bytes a step."""
 
-        self.up, self.down = powers(np.uint64(self.base)), powers(np.uint64(pow(self.base, -1, 2**64)))
+    def __init__(self):
+        self.lower, self.blank = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
+        self.lower[65:91] += 32
+        self.blank[[32, 9, 10, 11, 12, 13]] = True
+        self.mask = np.array([2 ** (8 * i) - 1 for i in range(9)], np.uint64)
 
     def words(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each word, and its row; rows begin at off."""
-        if len(data) >= len(self.up):
-            self._grow(2 * len(data))
         edge = np.ones(len(data) + 1, bool)  # a word starts or ends here if blank changes or a row begins
         blank = self.blank[data]
         edge[1:-1] = blank[1:] != blank[:-1]
@@ -90,9 +96,17 @@ class Hasher:
         start, stop = cut[:-1], cut[1:]
         word = ~blank[start] if len(data) else np.zeros(0, bool)
         start, stop = start[word], stop[word]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.value[data] * self.up[: len(data)], out=sums[1:])
-        h = mix64((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+        size = stop - start
+        low = np.concatenate([self.lower[data], np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(data) + 1, "<u8", low, strides=(1,))  # the eight bytes from each place on
+        h = mix64(mix64(size.astype(np.uint64) + _STEP) ^ (eight[start] & self.mask[np.minimum(size, 8)]))
+        more, done = np.flatnonzero(size > 8), 8
+        while len(more) and done < LONG_WORD:
+            rest = size[more] - done
+            h[more] = mix64(h[more] * _STEP + (eight[start[more] + done] & self.mask[np.minimum(rest, 8)]))
+            more, done = more[rest > 8], done + 8
+        for i in more:
+            h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : stop[i]].tobytes(), digest_size=8).digest(), "little")
         return h, np.searchsorted(off, start, side="right") - 1
 
     def sets(self, column, shingle: int) -> list[np.ndarray]:
@@ -101,23 +115,20 @@ class Hasher:
         h, row = self.words(data, off)
         n = len(off) - 1
         bounds = np.searchsorted(row, np.arange(n + 1))
-        k = np.uint64(self.base)
-        s = h.copy()
-        full = np.zeros_like(h)
-        if len(h) >= shingle:
-            acc = h[: len(h) - shingle + 1].copy()
-            for i in range(1, shingle):
-                acc = acc * k + h[i : len(h) - shingle + 1 + i]
-            full[: len(acc)] = mix64(acc)
+
+        def chained(parts):
+            acc = mix64(parts[0] + np.uint64(len(parts)))
+            for x in parts[1:]:
+                acc = mix64(acc * _STEP + x)
+            return acc
+
+        full = chained([h[i : len(h) - shingle + 1 + i] for i in range(shingle)]) if len(h) >= shingle else h[:0]
         out = []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a >= shingle:
                 out.append(np.unique(full[a : b - shingle + 1]))
             elif b > a:
-                acc = np.uint64(b - a)
-                for x in s[a:b]:
-                    acc = np.uint64((int(acc) * self.base + int(x)) % 2**64)
-                out.append(mix64(np.array([acc])))
+                out.append(chained([h[i : i + 1] for i in range(a, b)]))
             else:
                 out.append(np.zeros(0, np.uint64))
         return out
@@ -173,6 +184,8 @@ def _ranges(x: np.ndarray, n: int) -> np.ndarray:
 
 def _deal(target: np.ndarray, names, sizes, index, tokens, freq=None):
     """(range, blob) for each range in target (one for each token), with only the sets that it needs."""
+    if not len(target):
+        return
     order = np.argsort(target, kind="stable")
     cuts = np.flatnonzero(np.diff(target[order], prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
@@ -329,7 +342,7 @@ def _count_tokens(ranges: int):
 
 
 def _prefixes(percent: int):
-    """Sets that may have a partner: name, size, shared tokens, and their part of the prefix."""
+    """Sets that may have a partner: name, size, shared tokens by rarity, and how many of them are of the prefix."""
 
     def run(batches):
         blobs = [b for batch in batches for b in batch.column(2).to_pylist()]
@@ -349,7 +362,7 @@ def _prefixes(percent: int):
         for at in range(0, len(ids), 512):
             own = ids[at : at + 512]
             parts = [tokens[bounds[i] : bounds[i + 1]].view(np.int64) for i in own]
-            yield pa.RecordBatch.from_arrays([pa.array(names[own, j].view(np.int64)) for j in (0, 1)] + [pa.array(n[own]), pa.array(parts, pa.list_(pa.int64())), pa.array([p[: take[i]] for i, p in zip(own, parts, strict=True)], pa.list_(pa.int64()))], ["hi", "lo", "n", "tokens", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[own, j].view(np.int64)) for j in (0, 1)] + [pa.array(n[own]), pa.array(parts, pa.list_(pa.int64())), pa.array(take[own], pa.int32())], ["hi", "lo", "n", "tokens", "take"])
 
     return run
 
@@ -366,6 +379,8 @@ class Region:
         _, self.flat = np.unique(np.concatenate(tokens), return_inverse=True)
         self.mark = np.zeros(int(self.flat.max()) + 1 if len(self.flat) else 1, bool)
         self.label = np.arange(len(n))
+        # Two sets differ by their unshared tokens at least; see _excess.
+        self.excess = self.n - np.diff(self.off) - self.n * (100 - percent) / (100 + percent)
         self.r = 1 - percent / 100
         self.rng = np.random.Generator(np.random.PCG64(len(n)))
 
@@ -388,7 +403,7 @@ class Region:
                 self.label[np.isin(self.label, labels)] = labels[0]
 
     def compare(self, x: int, others: np.ndarray) -> None:
-        others = others[(self.label[others] != self.label[x]) & (100 * np.minimum(self.n[others], self.n[x]) >= self.percent * np.maximum(self.n[others], self.n[x]))]
+        others = others[(self.label[others] != self.label[x]) & (self.excess[others] + self.excess[x] <= 1e-6) & (100 * np.minimum(self.n[others], self.n[x]) >= self.percent * np.maximum(self.n[others], self.n[x]))]
         if len(others):
             self.link(x, others, self.shared(x, others))
 
@@ -455,59 +470,225 @@ def _join_regions(percent: int):
 
 
 
-def _split_large(rows: DataFrame, percent: int, max_sets: int, max_tokens: int, rounds: int):
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column, from its own start."""
+    off = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]], off - off[0]
+
+
+def _stars(batches):
+    """(sid, prefix) -> links (a, b) of the sets that share a token here, and one set for each token (a, token)."""
+
+    def flush(sids, tokens):
+        sid, token = np.concatenate(sids), np.concatenate(tokens)
+        u, at, inv = np.unique(token, return_index=True, return_inverse=True)
+        pair = np.unique(np.stack([sid, sid[at][inv]], 1)[sid != sid[at][inv]], axis=0)
+        none = pa.nulls(len(pair), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none], ["a", "b", "token"])
+        yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.nulls(len(u), pa.int64()), pa.array(u)], ["a", "b", "token"])
+
+    sids, tokens, held = [], [], 0
+    for batch in batches:
+        flat, off = _lists(batch.column(1))
+        sids.append(np.repeat(batch.column(0).to_numpy(), np.diff(off)))
+        tokens.append(flat)
+        held += len(flat)
+        if held > FLUSH:
+            yield from flush(sids, tokens)
+            sids, tokens, held = [], [], 0
+    if held:
+        yield from flush(sids, tokens)
+
+
+_ROW = ("region", "sid", "n", "tokens", "take", "skip", "depth", "excess")
+_ROW_SCHEMA = "region string, sid long, n long, tokens array<long>, take int, skip int, depth int, excess double"
+
+
+def _measure(percent: int):
+    """Rows sorted by region and salt, pivots (member 0) first -> members with the pivots that they are linked with,
+    the cell of the nearest one (-1: none within CORE), all cells that hold them, and the cells within 2r."""
+    r, slack = 1 - percent / 100, 1e-9
+
+    def distances(rows, pivots):
+        sid, size, held = zip(*pivots, strict=True)
+        known, place = np.unique(np.concatenate(held), return_inverse=True)
+        owns = np.zeros((len(known), len(pivots)), np.uint8)
+        owns[place, np.repeat(np.arange(len(pivots)), [len(x) for x in held])] = 1
+        flat, off = _lists(rows.column("tokens"))
+        n, shared, at = rows.column("n").to_numpy()[:, None], [], 0
+        while at < rows.num_rows:
+            to = max(at + 1, int(np.searchsorted(off, off[at] + MEASURED, side="right")) - 1)
+            part = flat[off[at] : off[to]]
+            i = np.minimum(np.searchsorted(known, part), len(known) - 1)
+            hits = owns[i] * (known[i] == part)[:, None]
+            shared.append(np.add.reduceat(hits, off[at:to] - off[at], axis=0, dtype=np.int64))
+            at = to
+        shared = np.concatenate(shared)
+        union = n + np.array(size) - shared
+        return np.array(sid), 1 - shared / union, 100 * shared >= percent * union
+
+    def answer(rows, pivots):
+        m = rows.num_rows
+        if pivots:
+            sid, d, linked = distances(rows, pivots)
+            own = d.min(axis=1)
+            home = np.where(own <= CORE, d.argmin(axis=1), -1)
+            inside = d <= np.minimum(np.where(home >= 0, own + 2 * r, 2.0), CORE + r)[:, None] + slack
+            inside[np.flatnonzero(home >= 0), home[home >= 0]] = True
+            cells = [np.flatnonzero(x) if h >= 0 else np.append(np.flatnonzero(x), -1) for x, h in zip(inside, home, strict=True)]
+            near = [np.flatnonzero(x) for x in d <= 2 * r + slack]
+            linked = [sid[x] for x in linked]
+        else:
+            home, cells, near, linked = np.full(m, -1), [np.array([-1])] * m, [np.zeros(0, int)] * m, [np.zeros(0, int)] * m
+        ints = lambda x: pa.array(x, pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in _ROW), pa.array(linked, pa.list_(pa.int64())), pa.array(home, pa.int32()), ints(cells), ints(near)], [*_ROW, "linked", "home", "cells", "near"])
+
+    def run(batches):
+        now, pivots = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("region", "salt", "member")), strict=True))
+            at = 0
+            while at < len(keys):
+                to = at + 1
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                rows = batch.slice(at, to - at)
+                rows = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in rows.columns], rows.schema.names)
+                if keys[at][:2] != now:
+                    now, pivots = keys[at][:2], []
+                if keys[at][2]:
+                    yield answer(rows, pivots)
+                else:
+                    flat, off = _lists(rows.column("tokens"))
+                    pivots += [(s, n, flat[a:b].copy()) for s, n, a, b in zip(rows.column("sid").to_pylist(), rows.column("n").to_pylist(), off[:-1], off[1:], strict=True)]
+                at = to
+
+    return run
+
+
+def _excess(percent: int):
+    """How many more tokens of a set are known to be in no linked set than half of two linked sets' difference.
+
+    Sets x and y differ by (n_x + n_y) (1 - t) / (1 + t) tokens at most, t = percent / 100; so they link only if
+    their excesses add up to 0 or less, and never if both are above 0. Without common tokens so far these are the
+    tokens of no other set; in a block, those before the token that makes it, but for the common ones before.
+    """
+    return F.col("n") - F.size("tokens") + F.col("skip") - F.col("depth") - F.col("n") * (100 - percent) / (100 + percent)
+
+
+def _by_tokens(rows: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks by the next token that linked sets share, and by size (a class of sizes and the next larger one), with
+    the region that they are of as parent; and the parents whose largest block is much smaller.
+
+    The (depth + 1)-th common token of linked sets stands among the first take + depth of each. Blocks without two
+    sets, or whose sets are linked already (g), are left out, and so are sets that can't link in their block.
+    """
+    reach = F.greatest(F.col("take") + F.col("depth") - F.col("skip"), F.lit(0))
+    size = F.floor(F.log("n") / (math.log(100 / percent) * 1.0001)).cast("int")
+    out = rows.withColumn("size", size).select("*", F.posexplode(F.slice("tokens", F.col("skip") + 1, reach)).alias("pos", "token")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("guest"))
+    region = F.concat_ws("/", "region", F.format_string(f"t{turn}:%d:%d", F.col("token"), F.col("size") - F.col("guest")))
+    out = out.select(F.col("region").alias("parent"), "sets", region.alias("region"), "sid", "n", "tokens", "take", (F.col("skip") + F.col("pos")).alias("skip"), "depth", "g", "guest")
+    out = out.withColumn("excess", _excess(percent)).withColumn("skip", F.col("skip") + 1).withColumn("depth", F.col("depth") + 1)
+    same = (F.count("g") == F.count(F.lit(1))) & (F.min("g") == F.max("g"))
+    kept = out.groupBy("parent", "sets", "region").agg(F.count(F.lit(1)).alias("c"), F.min("guest").alias("all_guests"), same.alias("same"), F.min("excess").alias("least"))
+    kept = materialize(kept.where("c > 1 AND all_guests = 0 AND NOT coalesce(same, false) AND least <= 0").select("parent", "sets", "region", "least", "c"), "jaccard-blocks")
+    wide = kept.where(F.col("c") > SHRUNK * F.col("sets")).select("parent").distinct()
+    out = out.join(kept.select("region", "least"), "region").where(F.col("excess") + F.col("least") <= 1e-6)
+    return out.select("parent", *_ROW), materialize(wide, "jaccard-wide")
+
+
+def _split_large(rows: DataFrame, percent: int, max_sets: int, max_tokens: int):
     """Regions that one task can hold, from larger ones; the links found on the way; whether sets are in several regions.
 
-    rows: region (string), sid, n, tokens. Members are salted in every join with their pivot.
+    rows: region (string), sid, n, tokens (by rarity), take. A region's rows are dealt out by salts wherever they
+    meet its pivots, and every turn gives rows in proportion to those it got.
     """
-    spark, salts, done, links = rows.sparkSession, 32, [], []
-    r = 1 - percent / 100
-    for turn in range(rounds + 1):
-        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.size("tokens")).alias("toks"))
+    done, links, turn = [], [], 0
+    rows = rows.select("*", F.lit(0).alias("skip"), F.lit(0).alias("depth")).withColumn("excess", _excess(percent)).select(*_ROW)
+    tokens = F.sum(F.size("tokens"))
+    parts = lambda sets, toks: F.greatest(F.lit(1), F.ceil(2 * sets / max_sets), F.ceil(2 * toks / max_tokens)).cast("int")
+    tag = lambda kind, *c: F.concat_ws("/", "region", F.concat(F.lit(f"{kind}{turn}:"), F.concat_ws(":", *c)))
+    while True:
+        low = F.col("excess") <= 0
+        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), tokens.alias("toks"), F.min("excess").alias("least"), F.sum(low.cast("int")).alias("lows"), F.sum(F.when(low, F.size("tokens")).otherwise(0)).alias("low_toks"))
         large = materialize(sizes.where((F.col("sets") > max_sets) | (F.col("toks") > max_tokens)), "jaccard-large")
-        done.append(rows.join(large, "region", "left_anti").select("region", "sid", "n", "tokens"))
+        done.append(rows.join(large.select("region"), "region", "left_anti").select("region", "sid", "n", "tokens"))
         if large.isEmpty():
             break
-        parts = F.greatest(F.ceil(2 * F.col("sets") / max_sets), F.ceil(2 * F.col("toks") / max_tokens)).cast("int")
-        large = large.select("region", "sets", parts.alias("parts"))
-        salted = large.select("region", "parts", "sets", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        own = rows.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(salts)).cast("int")).join(salted, ["region", "salt"])
-        chunk = F.pmod(F.xxhash64(F.lit(turn), "sid"), F.col("parts")).cast("int")
-        if turn == rounds:
-            # Chunk against chunk: a set goes to every pair of chunks that holds its own.
-            pairs = own.withColumn("c", chunk).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            pairs = pairs.withColumn("region", F.concat_ws("/", "region", F.lit("b"), F.least("c", "o"), F.greatest("c", "o")))
-            done.append(pairs.select("region", "sid", "n", "tokens"))
-            break
-        # The pivot: of a few sets drawn by hash, the first; only keys are compared.
-        drawn = own.where((F.pmod(F.xxhash64(F.lit(turn), "sid", F.lit("pivot")), F.lit(1_000_000_007)) / 1_000_000_007) < 16 / F.col("sets"))
-        first = own.groupBy("region").agg(F.min("sid").alias("low")).join(drawn.groupBy("region").agg(F.min("sid").alias("p")), "region", "left").select("region", F.coalesce("p", "low").alias("sid"))
-        pivots = rows.join(first, ["region", "sid"], "left_semi").select("region", F.col("sid").alias("p"), F.col("n").alias("pn"), F.col("tokens").alias("ptokens"))
-        pivots = materialize(pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "jaccard-pivots")
-        both = F.size(F.array_intersect("tokens", "ptokens"))
-        measured = own.join(pivots, ["region", "salt"]).withColumn("both", both)
-        measured = measured.withColumn("linked", 100 * F.col("both") >= percent * (F.col("n") + F.col("pn") - F.col("both"))).withColumn("d", 1 - F.col("both") / (F.col("n") + F.col("pn") - F.col("both")))
-        measured = materialize(measured.select("region", "sid", "n", "tokens", "parts", "p", "linked", "d"), "jaccard-measured")
-        links.append(measured.where("linked AND sid <> p").select(F.col("sid").alias("a"), F.col("p").alias("b")))
-        ball, rest = measured.where("linked"), measured.where("NOT linked")
-        meets = rest.where(F.col("d") <= 2 * r + 1e-9)
-        # The ball's chunks, each with all outliers of one chunk that may link into it.
-        grid = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        many = meets.groupBy("region").agg(F.count(F.lit(1)).alias("outside"), F.sum(F.size("tokens")).alias("outside_toks"))
-        many = many.select("region", F.greatest(F.lit(1), F.ceil(2 * F.col("outside") / max_sets), F.ceil(2 * F.col("outside_toks") / max_tokens)).cast("int").alias("slices"))
-        tile = lambda c, o: F.concat_ws("/", "region", F.lit(f"t{turn}"), c, o)
-        inner = ball.join(many, "region").withColumn("c", F.pmod(F.xxhash64(F.lit(turn), "sid"), F.col("parts"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        outer = meets.join(many, "region").withColumn("o", F.pmod(F.xxhash64(F.lit(turn), "sid"), F.col("slices"))).withColumn("c", grid)
-        tiles = inner.select(tile("c", "o").alias("region"), "sid", "n", "tokens").unionByName(outer.select(tile("c", "o").alias("region"), "sid", "n", "tokens"))
-        done.append(tiles)
-        rows = rest.select(F.concat_ws("/", "region", F.lit(f"r{turn}")).alias("region"), "sid", "n", "tokens")
+        few = (2 * F.col("lows") <= max_sets) & (2 * F.col("low_toks") <= max_tokens)
+        large = small(large.select("region", "sets", "least", few.alias("few"), parts(F.col("sets"), F.col("toks")).alias("parts")), MANY_REGIONS)
+        own = rows.join(large, "region").where(F.col("excess") + F.col("least") <= 1e-6)
+        # Of two linked sets one is low: where these are few, they meet the others part by part.
+        part = F.pmod(F.xxhash64(F.lit(turn), "sid"), F.col("parts")).cast("int")
+        meet = own.where("few").select("*", F.explode(F.when(low, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))).alias("part"))
+        done.append(meet.select(tag("few", "part").alias("region"), "sid", "n", "tokens"))
+        own = own.where("NOT few")
+
+        # Pivots: of the sets drawn by a hash, the first; each salt of a region gets them all.
+        k, draw = F.least(F.col("parts") + 1, F.lit(MAX_PIVOTS)), F.xxhash64(F.lit(turn), F.lit("pivot"), "sid")
+        drawn = own.where(F.pmod(draw, F.lit(1 << 30)) < F.lit(float(1 << 30)) * 8 * k / F.col("sets"))
+        drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("region").orderBy(draw, "sid"))).where(F.col("nth") <= k)
+        salts = F.sequence(F.lit(0), F.least(F.col("parts"), F.lit(1024)) - 1)
+        pivots = drawn.select(*_ROW, F.explode(salts).alias("salt"), F.lit(0).alias("member"))
+        members = own.select(*_ROW, F.pmod(F.xxhash64("sid"), F.size(salts)).cast("int").alias("salt"), F.lit(1).alias("member"))
+        met = pivots.unionByName(members).repartition(shuffle_partitions(rows.sparkSession), "region", "salt").sortWithinPartitions("region", "salt", "member")
+        met = materialize(met.mapInArrow(_measure(percent), f"{_ROW_SCHEMA}, linked array<long>, home int, cells array<int>, near array<int>"), "jaccard-measured")
+        links.append(met.select(F.col("sid").alias("a"), F.explode("linked").alias("b")).where("a <> b"))
+        first = F.get("linked", F.lit(0))
+        ties = materialize(met.where(F.size("linked") > 1).select(first.alias("a"), F.explode("linked").alias("b")).where("a <> b").distinct(), "jaccard-ties")
+        met = met.withColumn("node", first)
+        if ties.isEmpty():
+            met = met.withColumn("g", F.col("node"))
+        else:  # at most MAX_PIVOTS a region
+            named = materialize(connected_components(ties, "jaccard-pivots"), "jaccard-pivots")
+            met = met.join(small(named, MANY_REGIONS), "node", "left").withColumn("g", F.coalesce("root", "node")).drop("root")
+
+        groups = met.where("g IS NOT NULL").groupBy("region", "g").agg(F.count(F.lit(1)).alias("c"))
+        groups = groups.groupBy("region").agg(F.max(F.struct("c", "g")).alias("most"))
+        cells = met.select("region", F.explode("cells").alias("cell")).groupBy("region", "cell").agg(F.count(F.lit(1)).alias("c"))
+        cells = cells.groupBy("region").agg(F.max("c").alias("widest"), F.sum("c").alias("copies"))
+        way = large.join(cells, "region").join(groups, "region", "left").select("region", "sets", "parts", "widest", "copies", F.col("most.g").alias("ball"), F.coalesce("most.c", F.lit(0)).alias("in_ball"))
+        way = small(materialize(way, "jaccard-groups"), MANY_REGIONS)
+        met = met.join(way.select("region", "sets", "parts", "ball"), "region").withColumn("inside", F.coalesce(F.col("g") == F.col("ball"), F.lit(False)))
+        outside = met.where("NOT inside").select("region", F.explode("near").alias("home"), F.size("tokens").alias("t")).groupBy("region", "home").agg(F.count(F.lit(1)).alias("c"), F.sum("t").alias("t"))
+        outside = materialize(outside, "jaccard-outside")
+        crowded = outside.groupBy("region").agg(F.max("c").alias("around"), F.max("t").alias("around_toks"))
+        half = 2 * F.col("in_ball") >= F.col("sets")
+        ball = half & (2 * F.coalesce("around", F.lit(0)) <= max_sets) & (2 * F.coalesce("around_toks", F.lit(0)) <= max_tokens)
+        apart = (F.col("widest") <= SHRUNK * F.col("sets")) & (F.col("copies") <= COPIES * F.col("sets"))
+        way = way.join(crowded, "region", "left").select("region", half.alias("half"), F.when(ball, "ball").when(apart, "cells").otherwise("tokens").alias("way"))
+        way = materialize(way, "jaccard-ways")
+        rows = met.join(small(way, MANY_REGIONS).select("region", "way"), "region").where("way = 'cells'").withColumn("cell", F.explode("cells")).withColumn("region", tag("cell", "cell")).select(*_ROW)
+
+        balls = way.where("way = 'ball'").select("region")
+        left = way.where("way = 'tokens'").select("region", "half")
+        if not left.isEmpty():
+            blocks, wide = _by_tokens(met.join(small(left.select("region"), MANY_REGIONS), "region"), turn, percent)
+            wide = small(wide.select(F.col("parent").alias("region")), MANY_REGIONS)
+            rows = rows.unionByName(blocks.join(wide.withColumnRenamed("region", "parent"), "parent", "left_anti").select(*_ROW))
+            left = left.join(wide, "region", "left_semi")
+            balls = balls.unionByName(left.where("half").select("region"))
+            # What every bound leaves together: part against part.
+            other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+            pairs = met.join(small(left.where("NOT half").select("region"), MANY_REGIONS), "region").withColumn("part", part).withColumn("other", other)
+            done.append(pairs.select(tag("pair", F.least("part", "other"), F.greatest("part", "other")).alias("region"), "sid", "n", "tokens"))
+        balls = met.join(small(balls, MANY_REGIONS), "region").drop("parts")
+        tiles = balls.where("inside").groupBy("region", "home").agg(F.count(F.lit(1)).alias("c"), tokens.alias("t")).withColumn("parts", parts(F.col("c"), F.col("t"))).drop("c", "t")
+        tiles = tiles.join(outside.withColumn("slices", parts(F.col("c"), F.col("t"))).drop("c", "t"), ["region", "home"])
+        tiles = small(materialize(tiles, "jaccard-tiles"), MANY_REGIONS)
+        inner = balls.where("inside").join(tiles, ["region", "home"]).withColumn("part", part).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        outer = balls.where("NOT inside").withColumn("home", F.explode("near")).join(tiles, ["region", "home"])
+        outer = outer.withColumn("slice", F.pmod(F.xxhash64(F.lit(turn), "sid"), F.col("slices")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        done += [x.select(tag("ball", "home", "part", "slice").alias("region"), "sid", "n", "tokens") for x in (inner, outer)]
+        rows = materialize(rows.unionByName(balls.where("NOT inside").withColumn("region", tag("rest")).select(*_ROW)), "jaccard-rows")
+        turn += 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out, links, len(done) > 1
+    return out, links, turn > 0
 
 
-def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, region_sets: int = REGION_SETS, region_tokens: int = REGION_TOKENS, rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, region_sets: int = REGION_SETS, region_tokens: int = REGION_TOKENS) -> DataFrame:
     """uid, doc_id, n_shingles, component_id of every row (uid: a number of the row)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -526,15 +707,18 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
     packed = docs.select("text").mapInArrow(_scan_tokens(shingle, heavy, ranges), _RANGE_SCHEMA).repartitionById(ranges, F.col("range"))
     counted = packed.mapInArrow(_count_tokens(ranges), _RANGE_SCHEMA).repartitionById(ranges, F.col("range"))
-    maybe = counted.mapInArrow(_prefixes(percent), "hi long, lo long, n long, tokens array<long>, prefix array<long>")
-    maybe = materialize(maybe, "jaccard-maybe").join(sets.select("hi", "lo", "n", "sid"), ["hi", "lo", "n"]).select("sid", "n", "tokens", "prefix")
-
-    entries = maybe.select("sid", F.explode("prefix").alias("token"))
-    blocks = entries.groupBy("token").agg(F.min("sid").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "low")
-    stars = entries.join(blocks, "token").where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b"))
+    maybe = counted.mapInArrow(_prefixes(percent), "hi long, lo long, n long, tokens array<long>, take int")
+    maybe = materialize(maybe, "jaccard-maybe").join(sets.select("hi", "lo", "n", "sid"), ["hi", "lo", "n"]).select("sid", "n", "tokens", "take")
+    maybe = materialize(maybe, "jaccard-sids")
+
+    stars = materialize(maybe.select("sid", F.slice("tokens", F.lit(1), F.col("take")).alias("prefix")).mapInArrow(_stars, "a long, b long, token long"), "jaccard-stars")
+    ones = stars.where("token IS NOT NULL").select("a", "token")
+    lows = materialize(ones.groupBy("token").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "b"), "jaccard-lows")
+    stars = stars.where("token IS NULL").select("a", "b").unionByName(ones.join(lows, "token").where("a <> b").select("a", "b"))
     groups = materialize(connected_components(stars, "jaccard-regions"), "jaccard-groups", n_rows)
-    regions = materialize(maybe.select("sid", "n", "tokens").join(groups, F.col("sid") == F.col("node")).select(F.col("root").cast("string").alias("region"), "sid", "n", "tokens"), "jaccard-members")
-    fitting, links, several = _split_large(regions, percent, region_sets, region_tokens, rounds)
+    regions = maybe.join(groups, F.col("sid") == F.col("node")).select(F.col("root").cast("string").alias("region"), "sid", "n", "tokens", "take")
+    regions = materialize(regions, "jaccard-members")
+    fitting, links, several = _split_large(regions, percent, region_sets, region_tokens)
     found = fitting.repartition(shuffle_partitions(spark), "region").sortWithinPartitions("region").mapInArrow(_join_regions(percent), "a long, b long")
     if several:
         for x in links:
@@ -542,8 +726,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         found = connected_components(found, "jaccard-links").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = materialize(found.select(F.col("a").alias("sid"), F.col("b").alias("root")), "jaccard-roots")
     named = sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    lowest = named.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    named = named.join(lowest, "root").select("hi", "lo", "n", "component_id")
+    lowest = materialize(named.groupBy("root").agg(F.min("low_id").alias("component_id")), "jaccard-lowest", n_rows)
+    named = materialize(named.join(lowest, "root").select("hi", "lo", "n", "component_id"), "jaccard-named", n_rows)
     out = rows.where("n > 0").join(named, ["hi", "lo", "n"]).select("uid", "doc_id", "n", "component_id")
     out = out.unionByName(rows.where("n = 0").select("uid", "doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.withColumnRenamed("n", "n_shingles")
