@@ -1,27 +1,33 @@
-"""Personal data: base patterns, and a skip-chain conditional random field that adds consistent repeats.
+"""Personal data: base patterns, and a skip-chain conditional random field that adds what they miss.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers by fixed patterns with checks. The field
-then labels the document's units: base spans, digit groups that no base span covers, and words equal to the
-local part of a found address. Units are nodes in text order with three kinds of potentials:
-- node: a softmax regression on the unit's own surface (digits, length, letters, failed checks), which does
-  not see the marks that define a kind, so that it stays unsure where only those are missing;
-- chain: between neighbours, from label bigrams;
+then labels the document's units: base spans, numbers that no base span covers (pieces of matches that failed
+because two numbers stand next to each other, numbers broken by a line end, plain digit groups), and words
+equal to the local part of a found address. Units are nodes in text order with three kinds of potentials:
+- node: weights of the unit's surface (digits, length, marks, checks passed or failed) for each label;
+- chain: between neighbours, a weight for each pair of labels;
 - skip: between distant units that repeat each other (same digits, or same letters without case) or are
-  similar (same last nine digits), from how often such pairs of base spans agree.
-Base spans are clamped. Loopy sum-product message passing runs over chain and skip edges; a unit becomes a
-span if its marginal for one kind reaches `certain` and skip edges tie it to a base span of that kind. Skip
-edges tie each unit to the previous one with its key, and open units also to the nearest base span with it, the
-last before or else the first after: a key that fills a document costs two edges a unit, and no repeat is far
-from the evidence. Messages are passed until they settle, for as many rounds as there are units at most (or
-ROUNDS, if there are fewer).
-Documents in which no open unit is tied to a base span need no messages: nothing could be added.
-
-Parameters are learned from the base labels of at most about `train_docs` documents, chosen by a hash.
-
-The patterns are matched in time proportional to the text, whatever it holds; see base_spans.
+  similar (same last nine digits), a weight of equal labels.
+All weights are fitted together by pseudo-likelihood: each unit's label given its surface and the labels of all
+units that an edge ties it to, over the base labels of a bounded sample (`train_docs` documents at most, drawn by
+a hash of the row's number). Open units that bear a kind's own marks (below) or are tied to a base span teach
+nothing: whether the base missed them is what the field is to say. Ties that no pair of base spans contradicts
+keep their prior weight.
+
+Base spans are clamped. Loopy sum-product message passing runs over chain and skip edges in every document with
+an open unit, until messages settle, for as many rounds as there are units at most (or ROUNDS, if there are
+fewer). An open unit becomes a span if its marginal for one kind reaches `certain`, and either it bears that
+kind's own marks (a phone's + and 9 to 15 digits, a card's 13 to 19 digits and check, an address of four numbers)
+or skip edges tie it to a base span of that kind. Skip edges tie each unit to the previous one with its key, and
+open units also to the nearest base span with it, the last before or else the first after: a key that fills a
+document costs two edges a unit, and no repeat is far from the evidence.
+
+The patterns are matched in time proportional to the text, whatever it holds; see base_spans. Credentials
+(`password=...`) are counted apart, by a pattern; they are of none of the four kinds and in no span.
 
 Defined results: a null text is empty: no spans, the digest of an empty string; a null id is a row like any
-other; repeated rows get equal answers; an empty table gives no rows and trains nothing.
+other; repeated rows get equal answers; of two equally likely kinds the first listed counts; an empty table gives
+no rows and trains nothing; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,12 +45,16 @@ from .common import small_batches, table, text_pieces
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, CERTAIN, ROUNDS = 20_000, 0.9, 100
+#: Steps and size of the fit, pull of the weights to zero, and the most that a tie says (a hundred to one).
+STEPS, RATE, PULL, TIE = 400, 1.0, 1e-4, float(np.log(100))
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_GROUP = re.compile(r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){5,}")
+#: Numbers that no base span covers, the first that fits: a phone of two to four groups, a card, any digit group.
+_OPEN = re.compile(r"\+[0-9]{1,3}(?:[\s.-]{0,2}\(?[0-9]{2,4}\)?){2,4}(?![0-9])|(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])|(?<![0-9])[0-9](?:[().-]{0,2}[0-9]){5,}")
+_SECRET = re.compile(r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?[^\s\"']{8,}")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _HAS_DIGIT = re.compile(r"[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]")
@@ -105,7 +115,7 @@ def units(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, i
         if s >= end:
             found.append((s, e, 1 + KINDS.index(kind)))
             end = e
-    if not found:
+    if not found and not _HAS_DIGIT.search(text):
         return []
     taken = sorted((s, e) for _, s, e in base)
     starts = [s for s, _ in taken]
@@ -115,7 +125,13 @@ def units(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, i
         i = int(np.searchsorted(starts, e))
         return i == 0 or reach[i - 1] <= s
 
-    found += [(m.start(), m.end(), 0) for m in _GROUP.finditer(text) if free(m.start(), m.end())]
+    at = 0
+    while m := _OPEN.search(text, at):
+        ok = free(m.start(), m.end())
+        found += [(m.start(), m.end(), 0)] if ok else []
+        at = m.end() if ok else m.start() + 1  # a match that runs into a base span may hide another
+        while not ok and at < m.end() and text[at].isdigit():
+            at += 1
     names = {text[s:e].split("@")[0].lower() for k, s, e in base if k == "email"}
     names = {n for n in names if len(n) >= 4 and not n.isdigit()}
     if names:
@@ -129,12 +145,20 @@ def units(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, i
     return kept
 
 
-def surface(s: str) -> tuple[int, int, int, int]:
-    """(digits, length bucket, has letters, failed check): nothing that names a kind by its marks."""
+def surface(s: str) -> tuple[int, ...]:
+    """Digits, length bucket, and flags: letters, a leading +, brackets, a line end, four numbers up to 255, four others, Luhn passed, failed."""
     d = _NO_DIGIT.sub("", s)
-    dotted = re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s) is not None
-    failed = (13 <= len(d) <= 19 and not luhn(d)) or (dotted and any(int(p[-4:]) > 255 for p in s.split(".")))
-    return (min(len(d), 20), min(len(s) // 4, 8), int(any(c.isalpha() for c in s)), int(failed))
+    four = re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s) is not None
+    fits = four and all(int(p[-4:]) <= 255 for p in s.split("."))
+    card = 13 <= len(d) <= 19 and re.fullmatch(r"[0-9\x20-]+", s) is not None
+    passed = card and luhn(d)
+    return (min(len(d), 20), min(len(s) // 4, 8), *map(int, (any(c.isalpha() for c in s), s[:1] == "+", "(" in s, "\n" in s, fits, four and not fits, passed, card and not passed)))
+
+
+def marks(s: str) -> int:
+    """The label whose own marks a string bears, 0 if none."""
+    x = surface(s)
+    return 4 if x[3] and 9 <= x[0] <= 15 and not x[2] else 3 if x[8] else 2 if x[6] else 0
 
 
 def keys(s: str, label: int) -> list[str]:
@@ -168,59 +192,73 @@ def edges(us, text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+_SURFACE = 10
+NONE = -1
+
+
+def around(i: int, us, es_of) -> tuple[int, ...]:
+    """Labels of the unit before and after (NONE at the ends), and of tied units: repeats and similar ones that have and lack each label."""
+    near, tied = [NONE, NONE], np.zeros((2, len(KINDS) + 1), int)
+    for j, kind in es_of[i]:
+        if kind:
+            tied[kind - 1, us[j][2]] += 1
+        else:
+            near[j > i] = us[j][2]
+    return (*near, *np.minimum(tied, 3).ravel().tolist())
+
+
 def count_statistics(batches):
-    """Counts of (surface, label), of label bigrams and of agreeing tied base spans."""
+    """Counts of (surface, labels around, label) of units."""
     seen: Counter = Counter()
     for batch in batches:
         for piece in text_pieces(batch, 0):
             for text in piece.column(0).to_pylist():
                 us = units(text, base_spans(text)) if text else []
-                for s, e, label in us:
-                    seen["node", *surface(text[s:e]), label] += 1
+                ties = defaultdict(list)
                 for i, j, kind in edges(us, text):
-                    a, b = us[i][2], us[j][2]
-                    if kind == 0:
-                        seen["chain", a, b, 0, 0, 0] += 1
-                    elif a and b:
-                        seen["skip", kind, int(a == b), 0, 0, 0] += 1
+                    ties[i].append((j, kind))
+                    ties[j].append((i, kind))
+                for i, (s, e, label) in enumerate(us):
+                    if not label and (marks(text[s:e]) or any(kind and us[j][2] for j, kind in ties[i])):
+                        continue  # the base's silence says nothing about it
+                    seen[(*surface(text[s:e]), *around(i, us, ties), label)] += 1
     if seen:
         ks = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in ks]), pa.array([list(k[1:]) for k in ks], pa.list_(pa.int64())), pa.array(list(seen.values()))], ["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in ks], pa.list_(pa.int64())), pa.array(list(seen.values()))], ["key", "n"])
 
 
-def _features(x: tuple[int, int, int, int]) -> np.ndarray:
-    v = np.zeros(21 + 9 + 3)
+def _features(x) -> np.ndarray:
+    v = np.zeros(21 + 9 + 1 + 8)
     v[x[0]] = v[21 + x[1]] = v[30] = 1
-    v[31], v[32] = x[2], x[3]
+    v[31:] = x[2:_SURFACE]
     return v
 
 
 def fit(rows) -> dict:
-    """Potentials from counted statistics: node weights by gradient descent, the others by smoothed counts."""
+    """Node, chain and skip weights together, by pseudo-likelihood; rows: (key, n) of count_statistics."""
     n = len(KINDS) + 1
-    xs, ys, ws = [], [], []
-    chain, skip = np.ones((n, n)), {1: np.array([1.0, 4.0]), 2: np.array([1.0, 4.0])}
-    for kind, key, c in rows:
-        if kind == "node":
-            xs.append(_features(tuple(key[:4])))
-            ys.append(key[4])
-            ws.append(c)
-        elif kind == "chain":
-            chain[key[0], key[1]] += c
-        else:
-            skip[key[0]][key[1]] += c
-    weights = np.zeros((33, n))
-    if xs:
-        x, y, w = np.array(xs), np.eye(n)[ys], np.array(ws, float)[:, None] / sum(ws)
-        for _ in range(400):
-            p = np.exp(x @ weights)
-            p /= p.sum(1, keepdims=True)
-            weights -= 2.0 * (x.T @ (w * (p - y)) + 1e-3 * weights)
-    joint = chain / chain.sum()
-    lift = np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))
-    # A tie never says more than a hundred to one.
-    tie = {k: float(np.clip(np.log(v[1] / v[0] * (n - 1)), 0, np.log(100 * (n - 1)))) for k, v in skip.items()}
-    return {"node": weights, "chain": np.clip(lift, -1, 1), "tie": tie}
+    model = {"node": np.zeros((39, n)), "chain": np.zeros((n, n)), "tie": {1: TIE, 2: TIE / 2}}
+    rows = sorted((tuple(k), c) for k, c in rows)
+    if not rows:
+        return model
+    x = np.array([_features(k) for k, _ in rows])
+    one = lambda at: np.array([np.eye(n)[k[at]] if k[at] != NONE else np.zeros(n) for k, _ in rows])
+    before, after = one(_SURFACE), one(_SURFACE + 1)
+    tied = [np.array([k[_SURFACE + 2 + i * n : _SURFACE + 2 + (i + 1) * n] for k, _ in rows], float) for i in (0, 1)]
+    y = np.eye(n)[[k[-1] for k, _ in rows]]
+    w = np.array([c for _, c in rows], float)[:, None]
+    w /= w.sum()
+    node, chain, tie = model["node"], model["chain"], np.array([TIE, TIE / 2])
+    for _ in range(STEPS):
+        z = x @ node + before @ chain + after @ chain.T + tie[0] * tied[0] + tie[1] * tied[1]
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        d = w * (p - y)
+        node -= RATE * (x.T @ d + PULL * node)
+        chain -= RATE * (before.T @ d + (after.T @ d).T + PULL * chain)
+        tie = np.clip(tie - RATE * np.array([(d * t).sum() for t in tied]), 0, TIE)
+    model["tie"] = {1: float(tie[0]), 2: float(tie[1])}
+    return model
 
 
 def marginals(us, text: str, es, model: dict, rounds: int | None = None) -> np.ndarray:
@@ -232,24 +270,24 @@ def marginals(us, text: str, es, model: dict, rounds: int | None = None) -> np.n
         if label:
             node[i] = -30.0
             node[i, label] = 0.0
-    pot = [model["chain"], np.eye(n) * model["tie"][1], np.eye(n) * model["tie"][2]]
-    src = np.array([e[0] for e in es] + [e[1] for e in es])
-    dst = np.array([e[1] for e in es] + [e[0] for e in es])
-    table_ = np.stack([pot[e[2]] for e in es] + [pot[e[2]].T for e in es])
-    back = np.concatenate([np.arange(len(es)) + len(es), np.arange(len(es))])
-    msg = np.zeros((len(src), n))
-    for _ in range(max(ROUNDS, len(us)) if rounds is None else rounds):
-        belief = node.copy()
-        np.add.at(belief, dst, msg)
-        out = belief[src] - msg[back]
-        new = np.logaddexp.reduce(out[:, :, None] + table_, axis=1)
-        new -= np.logaddexp.reduce(new, 1)[:, None]
-        done = np.abs(new - msg).max() < 1e-4
-        msg = 0.5 * msg + 0.5 * new  # damped: loops settle
-        if done:
-            break
     belief = node.copy()
-    np.add.at(belief, dst, msg)
+    if es:
+        pot = [model["chain"], np.eye(n) * model["tie"][1], np.eye(n) * model["tie"][2]]
+        src = np.array([e[0] for e in es] + [e[1] for e in es])
+        dst = np.array([e[1] for e in es] + [e[0] for e in es])
+        table_ = np.stack([pot[e[2]] for e in es] + [pot[e[2]].T for e in es])
+        back = np.concatenate([np.arange(len(es)) + len(es), np.arange(len(es))])
+        msg = np.zeros((len(src), n))
+        for _ in range(max(ROUNDS, len(us)) if rounds is None else rounds):
+            out = belief[src] - msg[back]
+            new = np.logaddexp.reduce(out[:, :, None] + table_, axis=1)
+            new -= np.logaddexp.reduce(new, 1)[:, None]
+            done = np.abs(new - msg).max() < 1e-5
+            msg = 0.5 * msg + 0.5 * new  # damped: loops settle
+            belief = node.copy()
+            np.add.at(belief, dst, msg)
+            if done:
+                break
     return np.exp(belief - np.logaddexp.reduce(belief, 1)[:, None])
 
 
@@ -271,11 +309,15 @@ def added_spans(text: str, base, model: dict, certain: float = CERTAIN) -> list[
     for i, (_, _, label) in enumerate(us):
         if label:
             tied[top(i)].add(label)
-    open_ = [i for i, (_, _, label) in enumerate(us) if not label and tied.get(top(i))]
-    if not open_:
+    if all(label for _, _, label in us):
         return []
     p = marginals(us, text, es, model)
-    return [(KINDS[k - 1], us[i][0], us[i][1]) for i in open_ if (k := int(p[i].argmax())) in tied[top(i)] and p[i, k] >= certain]
+    out = []
+    for i, (s, e, label) in enumerate(us):
+        k = int(p[i].argmax())
+        if not label and k and p[i, k] >= certain and (marks(text[s:e]) == k or k in tied.get(top(i), ())):
+            out.append((KINDS[k - 1], s, e))
+    return out
 
 
 def _line(spans) -> str:
@@ -289,30 +331,36 @@ def _find(model: dict, certain: float):
                 counts, digests, lines = [], [], []
                 for text in piece.column(1).to_pylist():
                     base = base_spans(text) if text else []
-                    counts.append([sum(k == kind for k, _, _ in base) for kind in KINDS])
+                    more = added_spans(text, base, model, certain) if text else []
+                    secrets = sum(1 for _ in _SECRET.finditer(text)) if text else 0
+                    counts.append([*(sum(k == kind for k, _, _ in base) for kind in KINDS), len(base) + len(more), len(more), secrets])
                     digests.append(hashlib.sha256(_line(base).encode()).hexdigest())
-                    lines.append(_line(base + (added_spans(text, base, model, certain) if base else [])))
+                    lines.append(_line(base + more))
                 counts = np.array(counts, np.int64)
-                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(counts[:, i]) for i in range(len(KINDS))), pa.array(digests), pa.array(lines)], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                columns = [pa.array(counts[:, i]) for i in range(len(KINDS) + 3)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), *columns[: len(KINDS)], pa.array(digests), pa.array(lines), *columns[len(KINDS) :]], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "n_added", "n_secrets"])
 
     return run
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
+    """The model from at most train_docs rows: those with the smallest hashes of their text and row number."""
     small_batches(docs.sparkSession)
-    total = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, train_docs / max(1, total)) + 1))
-    stats = drawn.select("text").mapInArrow(count_statistics, "kind string, key array<long>, n long")
-    # At most 20 * 9 * 2 * 2 surfaces for each of 5 labels, 25 bigrams and 4 ties.
-    return fit([(r["kind"], r["key"], r["n"]) for r in stats.groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()])
+    draw = F.xxhash64(F.lit("pii"), "text", F.monotonically_increasing_id())
+    share = min(1.0, 2 * train_docs / max(1, docs.count()))
+    drawn = docs.select("text").where("text IS NOT NULL").withColumn("draw", draw).where(F.pmod("draw", F.lit(1 << 30)) <= int(share * (1 << 30)))
+    drawn = drawn.withColumn("place", F.pmod("draw", F.lit(1 << 30))).orderBy("place", "draw").limit(train_docs).repartition(8)
+    stats = drawn.select("text").mapInArrow(count_statistics, "key array<long>, n long")
+    # At most the units of train_docs documents, counted by what a unit shows.
+    return fit([(r["key"], r["n"]) for r in stats.groupBy("key").agg(F.sum("n").alias("n")).collect()])
 
 
 def find_pii(docs: DataFrame, model: dict | None = None, certain: float = CERTAIN) -> DataFrame:
-    """doc_id, counts by kind, base_sha256 and spans of every row."""
+    """doc_id, counts by kind, base_sha256 and spans of every row; then n_spans (all), n_added (by the field), n_secrets."""
     small_batches(docs.sparkSession)
     model = model or train(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_find(model, certain), f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(_find(model, certain), f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_spans long, n_added long, n_secrets long")
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
