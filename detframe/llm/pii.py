@@ -268,7 +268,7 @@ def marginals(us, text: str, es, model: dict, rounds: int | None = None) -> np.n
     node -= np.logaddexp.reduce(node, 1)[:, None]
     for i, (_, _, label) in enumerate(us):
         if label:
-            node[i] = -30.0
+            node[i] = -1e8  # beyond all that messages can say
             node[i, label] = 0.0
     belief = node.copy()
     if es:
