@@ -7,8 +7,9 @@ corpus by its rarest token alone. Candidates must fit the document (window start
 window end at or before its last); exact containment is then verified word by word: on the candidate's
 diagonal, a run of consecutive matching tokens as long as the window is required.
 
-Words are compared as text, never only by hash. Nothing else of a document than its matching positions is
-shuffled. The benchmark is broadcast after its tokens are counted; a larger one is joined by a shuffle.
+Words are compared as text, never only by hash. The benchmark is broadcast after its tokens are counted, and then
+nothing else of a document than its matching positions is shuffled; a larger benchmark is joined by a shuffle of
+every position with its token, never with its document.
 
 Defined results: null or wordless texts have no words and no hits; a benchmark item without words has no
 window; repeated rows are judged one by one; benchmark rows that share an item_id count as one item; a null
@@ -48,26 +49,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     tokens = occ.select("k", "token").distinct()
     sizes = sorted(r.k for r in tokens.select("k").distinct().collect())  # at most `shingle` values
 
+    # Each position has its own tokens, so that no row of the join holds more than a few words of its document.
     w = lambda i: ascii_lower(F.get(F.col("words"), F.col("pos") + i))
     at = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), _words("text").alias("words"))
     at = at.select("doc_id", "uid", "words", F.size("words").alias("n_words"), F.posexplode(F.array_append("words", F.lit(END))).alias("pos", "first"))
-    probes = [F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), *[w(i) for i in range(k)]).alias("h")) for k in sizes]
     # Behind the last word the only probe is the end mark, which carries the number of words of each document.
-    end = F.struct(F.lit(0).alias("k"), F.xxhash64(F.lit(0), F.lit(END)).alias("h"))
-    at = at.withColumn("p", F.explode(F.when(F.col("pos") == F.col("n_words"), F.array(end)).otherwise(F.array(*probes)))) if len(probes) > 1 else at.withColumn("p", F.when(F.col("pos") == F.col("n_words"), end).otherwise(probes[0] if probes else F.lit(None)))
-    parts = F.split("token", " ")
-    index = tokens.select("k", "token", parts.alias("t"))
-    hashed = None
-    for k in sizes:
-        one = index.where(F.col("k") == k).select(F.xxhash64(F.lit(k), *[F.col("t")[i] for i in range(k)]).alias("h"), F.col("k").alias("tk"), "token", *[F.get("t", F.lit(i)).alias(f"t{i}") for i in range(shingle)])
-        hashed = one if hashed is None else hashed.unionByName(one)
-    ends = docs.sparkSession.range(1).select(F.xxhash64(F.lit(0), F.lit(END)).alias("h"), F.lit(0).alias("tk"), F.lit(END).alias("token"), *[F.lit(None).cast("string").alias(f"t{i}") for i in range(shingle)])
-    hashed = small(materialize(ends if hashed is None else hashed.unionByName(ends), "decon-index"), BROADCAST_TOKENS)
-    same = F.lit(True)
-    for i in range(shingle):
-        same = same & ((F.col("tk") <= i) | (w(i) == F.col(f"t{i}")))
-    at = at.select("doc_id", "uid", "words", "n_words", "pos", F.col("p.k").alias("k"), F.col("p.h").alias("h"))
-    found = at.join(hashed, "h").where((F.col("tk") == F.col("k")) & same)
+    probe = lambda k: F.struct(F.lit(k).alias("k"), F.when(F.col("pos") + k <= F.col("n_words"), F.concat_ws(" ", *[w(i) for i in range(k)])).alias("token"))
+    ended, end = F.col("pos") == F.col("n_words"), F.struct(F.lit(0).alias("k"), F.lit(END).alias("token"))
+    if len(sizes) > 1:
+        at = at.withColumn("p", F.explode(F.when(ended, F.array(end)).otherwise(F.array(*map(probe, sizes)))))
+    else:
+        at = at.withColumn("p", F.when(ended, end).otherwise(probe(sizes[0]) if sizes else F.lit(None)))
+    at = at.select("doc_id", "uid", "n_words", "pos", F.col("p.k").alias("k"), F.col("p.token").alias("token")).where("token IS NOT NULL")
+    ends = docs.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(END).alias("token"))
+    index = small(materialize(tokens.unionByName(ends), "decon-index"), BROADCAST_TOKENS)
+    found = at.join(index, ["k", "token"])
     found = materialize(found.select("doc_id", "uid", "n_words", "pos", "token"), "decon-found")
 
     hits = found.where(F.col("token") != END)

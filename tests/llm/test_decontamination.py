@@ -48,3 +48,15 @@ def test_empty(spark, docs_of):
 
 def test_sql(spark):
     assert_same(op9_decontamination(spark, DATA), OP9_SQL, DATA)
+
+
+def test_sql_without_broadcasts(spark, monkeypatch):
+    from detframe.llm import decontamination
+
+    monkeypatch.setattr(decontamination, "BROADCAST_TOKENS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert_same(decontamination.op9_decontamination(spark, DATA), decontamination.OP9_SQL, DATA)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
