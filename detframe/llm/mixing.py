@@ -31,11 +31,15 @@ MIN_SLOTS, MAX_BLOCK, CHUNK = 65_536, 4_096, 8_192
 MANY_SOURCES = 100_000
 
 
-def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, order, bucket: size in words; order shuffles a source's documents."""
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+#: A word.
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def sized(docs: DataFrame, seed: str = "mix", keep: tuple = ()) -> DataFrame:
+    """doc_id, source, size, order, bucket and the columns `keep`: size in words; order shuffles a source's documents."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.select("doc_id", "source", size.alias("size"), order.alias("order")).withColumn("bucket", F.substring("order", 1, 3))
+    return docs.select(*keep, "doc_id", "source", size.alias("size"), order.alias("order")).withColumn("bucket", F.substring("order", 1, 3))
 
 
 def targets(docs: DataFrame) -> DataFrame:
@@ -68,9 +72,14 @@ def targets(docs: DataFrame) -> DataFrame:
 def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
     """slot, no, rank, first, last: each slot takes words [first, last) of source number `no`'s repeated stream."""
     spark = sources.sparkSession
-    ask = small(sources.where("quota > 0").select("no", "quota", "low", "high"), MANY_SOURCES)
+    asked = sources.where("quota > 0").select("no", "quota", "low", "high")
+    ask = small(asked, MANY_SOURCES)
     points = spark.range(slots).select(F.col("id").alias("slot"), (((F.col("id") + 1) * GOLDEN) % 1.0).alias("x"), F.floor(F.col("id") / CHUNK).alias("chunk"))
-    mapped = points.join(ask, (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
+    # Points and stretches meet in equal parts of [0, 1), a few for each source.
+    places = max(1024, 4 * asked.count())
+    place = lambda c: F.least(F.floor(c * places), F.lit(places - 1))
+    covered = small(asked.withColumn("place", F.explode(F.sequence(place(F.col("low")), place(F.col("high"))))), MANY_SOURCES)
+    mapped = points.withColumn("place", place(F.col("x"))).join(covered, "place").where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).drop("place")
     counts = mapped.groupBy("no", "chunk").agg(F.count(F.lit(1)).alias("n"))
     so_far = Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("base", F.coalesce(F.sum("n").over(so_far), F.lit(0))).select("no", "chunk", "base")
@@ -83,10 +92,10 @@ def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
     return out.select("slot", "no", "rank", "first", F.least(F.col("first") + block, "quota").alias("last"))
 
 
-def _laid(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
+def _laid(docs: DataFrame, seed: str, keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """The documents in their streams, and the parts of them that the scheduled slots take."""
     spark = docs.sparkSession
-    d = materialize(sized(docs, seed), "mix-sized")
+    d = materialize(sized(docs, seed, keep), "mix-sized")
     sources = materialize(targets(d), "mix-sources")
     total = sources.agg(F.max("total")).first()[0] or 0.0
     block = min(MAX_BLOCK, max(1, math.ceil(total / MIN_SLOTS)))
@@ -98,12 +107,12 @@ def _laid(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
     placed = d.withColumn("end", F.sum("size").over(inside)).withColumn("row", F.row_number().over(inside)).join(base, ["no", "bucket"])
     placed = materialize(placed.withColumn("start", F.col("base") + F.col("end") - F.col("size")), "mix-placed")
     rounds = F.explode(F.sequence(F.lit(0), F.lit(REPEAT - 1)))
-    laps = placed.where("size > 0").select("no", "bucket", "row", "doc_id", "source", "size", "start", "source_size", rounds.alias("lap"))
+    laps = placed.where("size > 0").select(*keep, "no", "bucket", "row", "doc_id", "source", "size", "start", "source_size", rounds.alias("lap"))
     laps = laps.withColumn("from", F.col("start") + F.col("lap") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size")).drop("size", "start", "source_size")
     laps = laps.select("*", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))).alias("rank"))
     used = laps.join(slots.select("slot", "no", "rank", F.col("first").alias("low"), F.col("last").alias("high")), ["no", "rank"])
     first, last = F.greatest("from", "low") - F.col("from"), F.least("to", "high") - F.col("from")
-    return placed, used.select("slot", "no", "bucket", "row", "doc_id", "source", "lap", first.alias("first"), last.alias("last")).where("first < last")
+    return placed, used.select(*keep, "slot", "no", "bucket", "row", "doc_id", "source", "lap", first.alias("first"), last.alias("last")).where("first < last")
 
 
 def blocks(docs: DataFrame, seed: str = "mix") -> DataFrame:
@@ -112,12 +121,25 @@ def blocks(docs: DataFrame, seed: str = "mix") -> DataFrame:
     return _laid(docs, seed)[1].drop("no")
 
 
+def passes(docs: DataFrame, key: str, seed: str = "mix") -> DataFrame:
+    """key, lap, slot, words: how many first words of a document (by its unique key) each pass through its source takes,
+    and from which slot on. Only the last document of a source's mix is cut."""
+    used = _laid(docs.withColumn("__key", F.col(key)), seed, ("__key",))[1]
+    return used.groupBy(F.col("__key").alias(key), "lap").agg(F.min("slot").alias("slot"), F.max("last").alias("words"))
+
+
+def first_words(text, n):
+    """The first n words of a text, parted by blanks."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), n), " ")
+
+
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row, and its source; taken is what its parts in blocks add up to."""
+    """doc_id, size, source_size, target, taken of every row, its source and first_slot; taken is what its parts in
+    blocks add up to, first_slot the slot of its first word (null: none is taken)."""
     placed, used = _laid(docs, seed)
-    used = used.groupBy("no", "bucket", "row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    used = used.groupBy("no", "bucket", "row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.min("slot").alias("first_slot"))
     out = placed.join(used, ["no", "bucket", "row"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "first_slot")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
@@ -133,11 +155,17 @@ s1 AS (SELECT *, CASE no % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELS
 s2 AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                  / sum(weight) OVER (ORDER BY lim / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
 s3 AS (SELECT *, (SELECT level FROM s2 WHERE level <= lim / weight ORDER BY lim / weight, no LIMIT 1) AS shared FROM s2),
-s AS (SELECT source, source_size, least(lim, coalesce(shared * weight, lim)) AS target FROM s3),
-p AS (SELECT d.*, s.source_size, s.target, least(CAST(round(s.target) AS BIGINT), 2 * s.source_size) AS quota,
+s4 AS (SELECT source, no, source_size, least(lim, coalesce(shared * weight, lim)) AS target FROM s3),
+s5 AS (SELECT *, sum(target) OVER (ORDER BY no ROWS UNBOUNDED PRECEDING) / nullif(sum(target) OVER (), 0) AS high FROM s4),
+s AS (SELECT *, coalesce(lag(high) OVER (ORDER BY no), 0) AS low FROM s5),
+k AS (SELECT CAST(least(4096, greatest(1, ceil(sum(target) / 65536))) AS BIGINT) AS block, sum(target) AS total FROM s),
+pts AS (SELECT i AS slot, ((i + 1) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS x FROM (SELECT unnest(range(CAST(ceil(total / block * 1.01::DOUBLE) AS BIGINT) + 16)) AS i FROM k)),
+sl AS (SELECT slot, no, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS rank FROM pts JOIN s ON x >= low AND x < high),
+p AS (SELECT d.*, s.no, s.source_size, s.target, least(CAST(round(s.target) AS BIGINT), 2 * s.source_size) AS quota,
              sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS a
-      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, source,
-       CAST(greatest(0, least(a + size, quota) - a) + greatest(0, least(a + size + source_size, quota) - (a + source_size)) AS BIGINT) AS taken
-FROM p
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+t AS (SELECT *, CAST(greatest(0, least(a + size, quota) - a) + greatest(0, least(a + size + source_size, quota) - (a + source_size)) AS BIGINT) AS taken FROM p)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, source, taken,
+       CASE WHEN taken > 0 THEN coalesce(sl.slot, CAST(ceil(total / block * 1.01::DOUBLE) AS BIGINT) + 16 + t.no) END AS first_slot
+FROM t CROSS JOIN k LEFT JOIN sl ON sl.no = t.no AND sl.rank = t.a // k.block
 """

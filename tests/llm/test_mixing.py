@@ -87,3 +87,26 @@ def test_blocks_follow_the_schedule(docs_of):
         for lap in (0, 1):
             own = [(r["first"], r["last"]) for r in parts if r.doc_id == doc and r.lap == lap]
             assert not own or own[0][0] == 0 and all(x[1] == y[0] for x, y in zip(own, own[1:]))
+
+
+def test_many_sources(spark):
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    sources = spark.range(n).select(F.col("id").alias("no"), F.lit(3).cast("long").alias("quota"), (F.col("id") / n).alias("low"), ((F.col("id") + 1) / n).alias("high"))
+    slots = mixing.schedule(sources, 1, 3 * n)
+    assert "NestedLoop" not in slots._jdf.queryExecution().toString() and "Cartesian" not in slots._jdf.queryExecution().toString()
+    got = slots.groupBy("no").agg(F.count(F.lit(1)).alias("c"), F.max("last").alias("l")).groupBy("c", "l").count().collect()
+    assert [tuple(r) for r in got] == [(3, 3, n)]
+
+
+def test_passes_add_up(docs_of):
+    from pyspark.sql import functions as F
+
+    d = docs_of([(i, "w " * (1 + i % 7)) for i in range(60)], source="a").unionByName(docs_of([(i, "w " * 5) for i in range(40, 160)], source="b"))
+    d = d.withColumn("row", F.concat_ws(":", "source", F.col("doc_id").cast("string")))
+    words = {r.row: 0 for r in d.collect()}
+    for r in mixing.passes(d, "row").collect():
+        words[r.row] += r.words
+    taken = {f"{r.source}:{r.doc_id}": r.taken for r in mix(d).collect()}
+    assert words == taken and sum(taken.values()) > 0
