@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
+import contextlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,19 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one for tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one if all run here."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or f"file://{FALLBACK_SHARED}").rstrip("/")
 
 
+#: Paths of the open workspaces, the innermost last.
+_OWNED: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder; below the local fallback it goes when Python ends."""
+    """A path of its own below the shared folder; it goes with the workspace that is open, else when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if path.startswith(f"file://{FALLBACK_SHARED}/"):
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    if _OWNED:
+        _OWNED[-1].append(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
 
 
+@contextlib.contextmanager
+def workspace(spark: SparkSession):
+    """All that is written through scratch and materialize inside goes at the end; what is returned must not read it."""
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNED.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows of one file of a table whose number of rows is known beforehand.
 FILE_ROWS = 500_000
 

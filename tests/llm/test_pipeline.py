@@ -1,6 +1,7 @@
 import pytest
 
 import corpus_pipeline as cp
+from detframe.llm.mixing import mix
 
 from .test_decontamination import brute as hits
 from .test_jaccard_join import brute as near
@@ -43,8 +44,14 @@ def test_stages_equal_brute_force(spark, corpus):
     assert three.columns == columns and ids(three) == sorted(clean) and 202 not in clean
     four = stage["mixing to target weights"](spark, three, folder)
     assert four.columns == columns and set(ids(four)) <= set(clean) and max(map(ids(four).count, clean)) <= 2
-    words = lambda d: sum(len(r.text.split()) for r in d.collect())
-    assert abs(words(four) / words(three) - 1.5) < 0.1
+    words = lambda d, s: sum(len(r.text.split()) for r in d.collect() if r.source == s)
+    took = {}
+    for r in mix(three).collect():
+        took[r.source] = took.get(r.source, 0) + r.taken
+    assert {s: words(four, s) for s in took} == took
+    whole = {r.doc_id: r.text for r in three.collect()}
+    cut = [r for r in four.collect() if r.text != whole[r.doc_id]]
+    assert len(cut) <= len(took) and all(whole[r.doc_id].split()[: len(r.text.split())] == r.text.split() and r.n_chars == len(r.text) for r in cut)
     five = cp.run(spark, folder)
     assert ids(five) == ids(four) and five.agg({"n_tokens": "sum"}).first()[0] == five.selectExpr("max(start + n_tokens)").first()[0]
 
@@ -86,3 +93,29 @@ def test_near_duplicates_go_by_row(spark, docs_of):
     left = sorted((r.doc_id, r.text) for r in got if r.doc_id is not None)
     assert left == sorted([rows[3], rows[5], rows[6], rows[8], rows[9]]) and len(got) == len(left) + 1
     assert next(r.text for r in got if r.doc_id is None) in (text("a"), text("a") + " tail")
+
+
+def test_one_long_document_is_taken_to_the_word(spark, docs_of):
+    d = docs_of([(1, "long " * 4000)], source="a").unionByName(docs_of([(i, "w " * 50) for i in range(10, 17)], source="b")).select(*cp.COLUMNS)
+    took = {}
+    for r in mix(d).collect():
+        took[r.source] = took.get(r.source, 0) + r.taken
+    got = cp.mixed(spark, d, "").collect()
+    assert {s: sum(len(r.text.split()) for r in got if r.source == s) for s in took} == took
+    spread = [r.source for r in got]
+    assert "b" in spread[: len(spread) // 2] and "b" in spread[len(spread) // 2 :]
+
+
+def test_empty_tables_and_odd_rows(spark, tmp_path, docs_of):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    docs_of([]).select(*cp.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+    rows = [(1, "the thing " * 30_000, "en", "s", 1), (None, "other thing", None, None, None), (2, "a", "en", "s", 1), (2, "b", "en", "s", 1), (3, None, "en", "s", 1)]
+    d = spark.createDataFrame(rows, kinds)
+    clean = cp.clean_of_benchmark(spark, d, str(tmp_path)).collect()
+    assert sorted(map(str, clean)) == sorted(map(str, d.collect()))
+    item = spark.createDataFrame([(1, "b")], "item_id long, text string")
+    item.write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.doc_id, r.text) for r in cp.clean_of_benchmark(spark, d, str(tmp_path)).collect() if r.doc_id == 2] == [(2, "a")]
+    assert max(len(r.text) for r in cp.mixed(spark, d, "").collect()) > 100_000
