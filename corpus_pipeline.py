@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from detframe.llm.common import materialize, table
+from detframe.llm.common import materialize, remove, scratch, shuffle_partitions, table, workspace
 from detframe.llm.decontamination import decontaminate
 from detframe.llm.jaccard_join import jaccard_components
 from detframe.llm.language_id import UNKNOWN, alphabet, identify, plausible, prototypes, with_folds
-from detframe.llm.mixing import mix
+from detframe.llm.mixing import WORD, first_words, passes
 from detframe.llm.token_files import token_digests
 
-#: Columns of documents, which every stage but the last returns.
+#: Columns of documents, which every stage but the last returns; further columns of its input end with the first stage.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near-duplicates share 80 percent or more of their 5-word shingles; op7's own query has other values.
 SHINGLE, PERCENT = 5, 80
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labels name: no `und`, and a cosine or letters beyond chance."""
+    """Documents in one of the languages that the labels name: no `und`, and a cosine or letters beyond chance.
+
+    A null or letterless text is `und` and goes; of equal rows all stay or all go; a tie of languages changes nothing.
+    """
     labelled = with_folds(docs.select("doc_id", "text", "lang"))
     found = identify(docs.select(*COLUMNS), prototypes(labelled), list(COLUMNS))
     return found.where((F.col("lang_pred") != UNKNOWN) & plausible(alphabet(labelled))).select(*COLUMNS)
@@ -44,19 +47,39 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean_of_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without any window of the benchmark, judged row by row by number.
+
+    Null and wordless texts stay, so do all documents under an empty benchmark; a null or repeated id changes
+    nothing: each row is judged by its own text.
+    """
+    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "clean-rows")
+    judged = decontaminate(docs.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = materialize(judged.where("contaminated").select(F.col("doc_id").alias("__row")), "clean-bad")
+    return docs.join(bad, "__row", "left_anti").drop("__row")
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole passes, and one more if half of it or more is taken."""
-    shares = mix(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
-    times = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    taken = docs.join(shares.select("id", times.alias("times")), F.col("doc_id").eqNullSafe(F.col("id"))).where("times > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """The mix in the order of its schedule: every row is one pass through a document, where its first slot stands.
+
+    A source's words are exactly those that the mix takes: its last document is cut to its first words (parted by
+    blanks, n_chars counted anew), all others are whole. Wordless documents take nothing and go; repeated rows and
+    null ids are documents of their own; equal slots go by lap and row.
+    """
+    columns = docs.columns
+    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed-rows")
+    taken = materialize(passes(docs, "__row"), "mixed-passes")
+    slots = (taken.agg(F.max("slot")).first()[0] or 0) + 1
+    parts = docs.join(taken, "__row").withColumn("__cut", F.regexp_count("text", F.lit(WORD)) > F.col("words"))
+    parts = parts.withColumn("text", F.when(F.col("__cut"), first_words(F.col("text"), F.col("words").cast("int"))).otherwise(F.col("text")))
+    parts = parts.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    n = shuffle_partitions(spark)
+    place = F.floor(F.col("slot") * n / slots).cast("int")  # a partition holds a stretch of the schedule
+    return parts.repartitionById(n, place).sortWithinPartitions("slot", "lap", "__row").select(*columns)
 
 
 def token_files(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token digests of every row, read back from the files; a null or empty text has its end id alone, equal ids
+    follow each other, an empty table gives no rows."""
     return token_digests(docs)
 
 
@@ -66,9 +89,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{i}")
-    return docs
+    """All stages; what a stage writes on its way goes when its result stands, and a result when the next one does."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        path = scratch(spark, f"pipeline-{i}")
+        with workspace(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
