@@ -121,11 +121,15 @@ def blocks(docs: DataFrame, seed: str = "mix") -> DataFrame:
     return _laid(docs, seed)[1].drop("no")
 
 
-def passes(docs: DataFrame, key: str, seed: str = "mix") -> DataFrame:
-    """key, lap, slot, words: how many first words of a document (by its unique key) each pass through its source takes,
-    and from which slot on. Only the last document of a source's mix is cut."""
-    used = _laid(docs.withColumn("__key", F.col(key)), seed, ("__key",))[1]
-    return used.groupBy(F.col("__key").alias(key), "lap").agg(F.min("slot").alias("slot"), F.max("last").alias("words"))
+def passes(docs: DataFrame, key: tuple, seed: str = "mix") -> DataFrame:
+    """The columns `key`, then slot, lap, words: one row for each pass through a document; it takes the document's
+    first `words` words, from that slot on. Only the last document of a source's mix is cut.
+
+    Rows with one key (which may be equal rows) have their passes each.
+    """
+    names = tuple(f"__{c}" for c in key)
+    used = _laid(docs.select("*", *[F.col(c).alias(n) for c, n in zip(key, names, strict=True)]), seed, names)[1]
+    return used.groupBy("no", "bucket", "row", "lap", *names).agg(F.min("slot").alias("slot"), F.max("last").alias("words")).select(*[F.col(n).alias(c) for c, n in zip(key, names, strict=True)], "slot", "lap", "words")
 
 
 def first_words(text, n):

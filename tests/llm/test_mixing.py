@@ -106,7 +106,7 @@ def test_passes_add_up(docs_of):
     d = docs_of([(i, "w " * (1 + i % 7)) for i in range(60)], source="a").unionByName(docs_of([(i, "w " * 5) for i in range(40, 160)], source="b"))
     d = d.withColumn("row", F.concat_ws(":", "source", F.col("doc_id").cast("string")))
     words = {r.row: 0 for r in d.collect()}
-    for r in mixing.passes(d, "row").collect():
+    for r in mixing.passes(d, ("row",)).collect():
         words[r.row] += r.words
     taken = {f"{r.source}:{r.doc_id}": r.taken for r in mix(d).collect()}
     assert words == taken and sum(taken.values()) > 0
