@@ -47,15 +47,15 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean_of_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of the benchmark, judged row by row by number.
+    """Documents without any window of the benchmark.
 
-    Null and wordless texts stay, so do all documents under an empty benchmark; a null or repeated id changes
-    nothing: each row is judged by its own text.
+    Rows go by a hash of id and text, and equal rows have one verdict. Null and wordless texts stay, so do all
+    documents under an empty benchmark; of one id's texts each is judged by itself.
     """
-    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "clean-rows")
-    judged = decontaminate(docs.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    bad = materialize(judged.where("contaminated").select(F.col("doc_id").alias("__row")), "clean-bad")
-    return docs.join(bad, "__row", "left_anti").drop("__row")
+    key = F.xxhash64("doc_id", "text")
+    judged = decontaminate(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = materialize(judged.where("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "clean-bad")
+    return docs.withColumn("__key", key).join(bad, "__key", "left_anti").drop("__key")
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,18 +63,22 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A source's words are exactly those that the mix takes: its last document is cut to its first words (parted by
     blanks, n_chars counted anew), all others are whole. Wordless documents take nothing and go; repeated rows and
-    null ids are documents of their own; equal slots go by lap and row.
+    null ids are documents of their own; equal slots go by lap and a hash.
     """
-    columns = docs.columns
-    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed-rows")
-    taken = materialize(passes(docs, "__row"), "mixed-passes")
+    columns, key = docs.columns, ("__a", "__b")
+    docs = docs.withColumns({k: F.xxhash64(F.lit(k), "doc_id", "source", "text") for k in key})  # 128 bits in all
+    taken = materialize(passes(docs, key), "mixed-passes")
     slots = (taken.agg(F.max("slot")).first()[0] or 0) + 1
-    parts = docs.join(taken, "__row").withColumn("__cut", F.regexp_count("text", F.lit(WORD)) > F.col("words"))
+    # Equal rows are as good as one row with the passes of all.
+    repeated = materialize(docs.groupBy(*key).count().where("count > 1").select(*key), "mixed-repeated")
+    if not repeated.isEmpty():
+        docs = docs.join(repeated, list(key), "left_anti").unionByName(docs.join(repeated, list(key), "left_semi").dropDuplicates(list(key)))
+    parts = docs.join(taken, list(key)).withColumn("__cut", F.regexp_count("text", F.lit(WORD)) > F.col("words"))
     parts = parts.withColumn("text", F.when(F.col("__cut"), first_words(F.col("text"), F.col("words").cast("int"))).otherwise(F.col("text")))
     parts = parts.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     n = shuffle_partitions(spark)
     place = F.floor(F.col("slot") * n / slots).cast("int")  # a partition holds a stretch of the schedule
-    return parts.repartitionById(n, place).sortWithinPartitions("slot", "lap", "__row").select(*columns)
+    return parts.repartitionById(n, place).sortWithinPartitions("slot", "lap", *key).select(*columns)
 
 
 def token_files(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
