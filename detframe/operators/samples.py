@@ -52,8 +52,8 @@ def images_with_annotations(images: DataFrame, annotations: DataFrame) -> DataFr
 
 
 def capped(samples: DataFrame, limit: int | None, order: list, by: str = "state") -> DataFrame:
-    """The first `limit` rows of each state in a given order (a rank filter: Spark prunes before the shuffle)."""
-    if not limit or limit <= 0:
+    """The first `limit` rows of each state in a given order (a rank filter: Spark prunes before the shuffle); None is no limit."""
+    if limit is None:
         return samples
     rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
     return samples.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__rank")

@@ -30,9 +30,31 @@ def label_line(name, x1, y1, x2, y2):
     return F.concat_ws(" ", name, zero, F.lit("0"), zero, number(x1), number(y1), number(x2), number(y2), *[zero] * 7)
 
 
+#: Folders of a generated run, and its size of images where no configuration names one.
+RUN_PREFIX, LABELS, IMAGES = "palletjack_run_", "Camera/object_detection", "Camera/rgb"
+WIDTH, HEIGHT = 960, 544
+
+
 def write_labels(boxes: DataFrame, folder: str) -> None:
-    """boxes(run_number, experiment, frame, line): one text file a frame and task, in folders by run, experiment and frame."""
-    boxes.select("run_number", "experiment", "frame", F.col("line").alias("value")).repartition("run_number", "experiment", "frame").write.mode("overwrite").partitionBy("run_number", "experiment", "frame").text(folder)
+    """boxes(run_number, experiment, frame, line): the text file that read_labels reads, one a frame.
+
+    Lines of a frame stand in the order of ann_pos, if there is such a column, else of the text. Files are written
+    by the executors through the store's own driver.
+    """
+    order = F.col("ann_pos") if "ann_pos" in boxes.columns else F.lit(0)
+    files = boxes.groupBy("run_number", "experiment", "frame").agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "line"))).alias("lines"))
+
+    def write(rows):
+        import pyarrow.fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for r in rows:
+            d = f"{root}/{RUN_PREFIX}{r['run_number']}/{r['experiment']}/{LABELS}"
+            fs.create_dir(d, recursive=True)
+            with fs.open_output_stream(f"{d}/{r['frame']}.txt") as f:
+                f.write("".join(x["line"] + "\n" for x in r["lines"]).encode())
+
+    files.foreachPartition(write)
 
 
 def run_dirs(paths: DataFrame) -> DataFrame:
@@ -49,9 +71,29 @@ def _yaml_to_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: json.dumps(yaml.safe_load(t) or {}, default=str))
 
 
+def _found(spark: SparkSession, pattern: str, folders: bool = False) -> list[str]:
+    """Paths that a pattern matches, in any store that Spark reads; none where its folder is absent."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(f.getPath().toString() for f in found if not folders or f.isDirectory())
+
+
+def run_folders(spark: SparkSession, base: str) -> DataFrame:
+    """run_dir, run_number of every run folder, with or without configurations."""
+    dirs = spark.createDataFrame([(d.rsplit("/", 1)[1],) for d in _found(spark, f"{base}/{RUN_PREFIX}*", folders=True)], "run_dir string")
+    return dirs.withColumn("run_number", dir_number(F.col("run_dir")))
+
+
+def _read_texts(spark: SparkSession, pattern: str, whole: bool) -> DataFrame:
+    """path, value; no rows where nothing matches."""
+    if not _found(spark, pattern):
+        return spark.createDataFrame([], "path string, value string")
+    return spark.read.text(pattern, wholetext=whole).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def read_run_configs(spark: SparkSession, base: str) -> DataFrame:
     """run_dir, experiment, run_number, config (JSON text): an experiment without run_config.yaml has no row."""
-    raw = spark.read.text(f"{base}/palletjack_run_*/*/run_config.yaml", wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = _read_texts(spark, f"{base}/{RUN_PREFIX}*/*/run_config.yaml", True)
     part = lambda i: F.regexp_extract("path", r"(palletjack_run_[^/]*)/([^/]+)/run_config\.yaml$", i)
     return raw.select(part(1).alias("run_dir"), part(2).alias("experiment"), dir_number(part(1)).alias("run_number"), F.pandas_udf(_yaml_to_json, "string")("value").alias("config"))
 
@@ -63,23 +105,35 @@ def frames(runs: DataFrame) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, base: str) -> DataFrame:
-    raw = spark.read.text(f"{base}/palletjack_run_*/*/Camera/object_detection/*.txt").select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = _read_texts(spark, f"{base}/{RUN_PREFIX}*/*/{LABELS}/*.txt", False)
     part = lambda i: F.regexp_extract("path", r"(palletjack_run_[^/]*)/([^/]+)/Camera/object_detection/([0-9]+)\.txt$", i)
     lines = raw.select(part(1).alias("run_dir"), part(2).alias("experiment"), part(3).try_cast("int").alias("frame"), "value")
     return parse_labels(lines.where("frame IS NOT NULL"))
 
 
-def read_synth(spark: SparkSession, base: str | None, runs: list[int] | None = None, wanted: bool = True) -> tuple[DataFrame, DataFrame] | None:
-    """Frames and their annotations of generated runs; None if switched off or without a folder.
+def read_synth(spark: SparkSession, base: str | None, runs: list[int] | None = None, wanted: bool = True, base_config: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Frames and their annotations of generated runs; both empty if switched off or without a folder.
 
-    A frame without a label file stays, with no annotations.
+    Each experiment's configuration lies over base_config. runs names the wanted ones (None: all, an empty list: none);
+    a run is there if its folder is. A frame without a label file stays, with no annotations; images aren't looked for.
+    Frames: sample_id, image_id, path, width, height, subset, state, run_config (JSON text), run_number, run_dir,
+    experiment, frame. Annotations: sample_id, ann_pos and what parse_labels gives.
     """
-    if not wanted or not base:
-        return None
+    from ..operators.configs import deep_merge
     from ..operators.samples import require_runs, sample_id
 
-    configs = read_run_configs(spark, base)
-    configs = require_runs(configs, runs) if runs else configs
-    f = frames(configs).withColumn("sample_id", sample_id(F.col("frame"), F.col("run_number"), F.col("experiment"))).withColumn("state", F.lit("additional"))
-    anns = read_labels(spark, base).join(f.select("run_dir", "experiment", "frame", "sample_id"), ["run_dir", "experiment", "frame"])
-    return f, anns
+    there = bool(wanted and base and _found(spark, base, folders=True))
+    configs = read_run_configs(spark, base if there else "/nowhere-at-all")
+    if there and runs is not None:
+        configs = configs.join(F.broadcast(require_runs(run_folders(spark, base), runs).select("run_dir")), "run_dir")
+    f = frames(configs.withColumn("config", deep_merge(F.lit(json.dumps(base_config or {})), F.col("config"))))
+    rc = F.try_parse_json("config")
+    at = lambda path, default: F.coalesce(F.try_variant_get(rc, path, "int"), F.lit(default))
+    f = f.select(
+        sample_id(F.col("frame"), F.col("run_number"), F.col("experiment")).alias("sample_id"), F.col("frame").alias("image_id"),
+        F.concat_ws("/", F.lit(base or ""), "run_dir", "experiment", F.lit(IMAGES), F.concat(F.col("frame").cast("string"), F.lit(".png"))).alias("path"),
+        at("$.render.width", WIDTH).alias("width"), at("$.render.height", HEIGHT).alias("height"), F.lit("synth").alias("subset"), F.lit("additional").alias("state"),
+        F.col("config").alias("run_config"), "run_number", "run_dir", "experiment", "frame",
+    )
+    labels = read_labels(spark, base if there else "/nowhere-at-all").withColumn("ann_pos", F.monotonically_increasing_id())
+    return f, labels.join(f.select("run_dir", "experiment", "frame", "sample_id"), ["run_dir", "experiment", "frame"])

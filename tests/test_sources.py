@@ -2,12 +2,13 @@
 
 import datetime
 import json
+import pathlib
 
 import pytest
 import yaml
 from pyspark.sql import functions as F
 
-from detframe.operators import configs, images, randomize, samples
+from detframe.operators import configs, gt, images, randomize, samples
 from detframe.sources import coco, kitti, project, trials
 from detframe.streaming import frames
 
@@ -44,16 +45,40 @@ def test_runs(spark, runs):
     first = samples.ordered_synth(f, num_samples=1).first()  # text order puts run 10 first
     assert first.sample_id == "run10_exp_frame0"
     assert [r.run_number for r in samples.ordered_synth(f).orderBy("position").collect()] == [2, 2, 10]
-    with pytest.raises(ValueError, match=r"desired \[2, 7\], available \[2, 10\], missing \[7\]"):
+    with pytest.raises(ValueError, match=r"desired \[2, 7\], available \[2, 3, 10\], missing \[7\]"):
         kitti.read_synth(spark, runs, [2, 7])
-    assert kitti.read_synth(spark, None) is None and kitti.read_synth(spark, runs, wanted=False) is None
+    assert kitti.read_synth(spark, runs, [3])[0].count() == 0 and kitti.read_synth(spark, runs, [])[0].count() == 0
+    assert kitti.read_synth(spark, runs, [10])[0].count() == 1
+    for empty in (kitti.read_synth(spark, None), kitti.read_synth(spark, runs, wanted=False), kitti.read_synth(spark, runs + "/absent"), kitti.read_synth(spark, runs + "/palletjack_run_3")):
+        assert [d.count() for d in empty] == [0, 0] and empty[0].columns == f.columns and empty[1].columns == a.columns
+    assert samples.capped(f, 0, ["frame"]).count() == 0 and samples.capped(f, None, ["frame"]).count() == 3
+
+
+def test_runs_lie_over_the_base(spark, runs):
+    base = {"run": {"num_frames": 9, "distractors": "None"}, "render": {"width": 320}, "camera": {"fov_min": 60}}
+    (pathlib.Path(runs) / "palletjack_run_3/exp/run_config.yaml").write_text("{}")
+    (pathlib.Path(runs) / "palletjack_run_2/exp/Camera/object_detection/0.txt").unlink()
+    f, a = kitti.read_synth(spark, runs, base_config=base)
+    rows = {r.sample_id: r for r in f.collect()}
+    assert len(rows) == 2 + 1 + 9 and a.count() == 0  # no label file at all
+    one = rows["run3_exp_frame8"]
+    assert (one.image_id, one.width, one.height, one.subset, one.path) == (8, 320, 544, "synth", f"{runs}/palletjack_run_3/exp/Camera/rgb/8.png")
+    assert json.loads(rows["run2_exp_frame0"].run_config)["camera"] == {"fov_min": None} and json.loads(one.run_config)["camera"] == {"fov_min": 60}
 
 
 def test_labels_round_trip(spark, tmp_path):
-    d = spark.createDataFrame([(1, "e", 0, "palletjack", 1.0, 2.0, 5.0, 8.0)], "run_number int, experiment string, frame int, name string, x1 double, y1 double, x2 double, y2 double")
-    kitti.write_labels(d.withColumn("line", kitti.label_line(*[F.col(c) for c in ("name", "x1", "y1", "x2", "y2")])), str(tmp_path / "o"))
-    r = kitti.parse_labels(spark.read.text(str(tmp_path / "o"))).first()
-    assert (r.x, r.w, r.h, r.run_number) == (1.0, 4.0, 6.0, 1)
+    rows = [(r, "e", f, k, "palletjack", 1.0 + k, 2.0, 5.0 + k, 8.0 + f) for r in (1, 12) for f in (0, 3) for k in (0, 1, 10)]
+    d = spark.createDataFrame(rows, "run_number int, experiment string, frame int, ann_pos int, name string, x1 double, y1 double, x2 double, y2 double")
+    kitti.write_labels(d.withColumn("line", kitti.label_line(*[F.col(c) for c in ("name", "x1", "y1", "x2", "y2")])), f"file://{tmp_path}/o")
+    for run in (1, 12):
+        (tmp_path / f"o/palletjack_run_{run}/e/run_config.yaml").write_text("run: {num_frames: 4}\n")
+    back = sorted((r.run_dir, r.frame, r.x, r.w, r.h) for r in kitti.read_labels(spark, f"{tmp_path}/o").collect())
+    assert back == sorted((f"palletjack_run_{r}", f, x1, x2 - x1, y2 - y1) for r, _, f, _, _, x1, y1, x2, y2 in rows)
+    frame, anns = kitti.read_synth(spark, f"{tmp_path}/o")
+    assert frame.count() == 8
+    cats = spark.createDataFrame([(11, "pallet_truck", 4)], "category_id int, name string, idx int")
+    g = gt.ground_truth(frame, anns, cats).where("sample_id = 'run12_e_frame3'").orderBy("gt_idx").collect()
+    assert [(r.gt_idx, r.cls, round(r.cx * 960, 6), round(r.h * 544, 6)) for r in g] == [(i, 4, 3.0 + k, 9.0) for i, k in enumerate((0, 1, 10))]
 
 
 def test_trials_and_configs(spark, tmp_path):
