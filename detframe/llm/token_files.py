@@ -7,10 +7,13 @@ Layout of a shard NNNNNN below the output folder, all little-endian:
 The shard table (shard, n_docs, n_tokens) gives each shard's base by prefix sums over shards, so that
 document d of a shard starts at base + off[d] in the whole corpus.
 
-Documents are tokenized where they are read; only compressed ids move. Shards are ranges of the document id
-whose bounds come from quantiles of all ids; within a shard documents ascend. A shard's writer streams: it
-holds one document at a time. Files are written under a name of their own and renamed, with equal content at
-every attempt, so a lost executor's shard is just written again.
+Documents are tokenized where they are read; only compressed ids move. Shards are ranges of the document id,
+about SHARD_TEXT bytes of text each and at least one a shuffle partition; their bounds are quantiles of the
+ids (of about DRAWN a shard, by a hash). Bounds only place documents: every document is written. Within a shard
+documents ascend; rows of one repeated id share a shard. Writer and reader stream: the writer holds one batch
+of documents, the reader ranges of BLOCK_DOCS documents and about BLOCK_IDS ids, also off local disks. Files
+are written under a name of their own and renamed, with equal content at every attempt, so a lost executor's
+shard is just written again.
 
 Defined results: a null or empty text has only the end id; equal doc ids stay next to each other, ordered by
 their ids' bytes; further columns are ignored; an empty table gives no shards and no rows.
@@ -18,6 +21,7 @@ their ids' bytes; further columns are ignored; an empty table gives no shards an
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
 import zlib
@@ -32,6 +36,10 @@ from pyspark.sql import functions as F
 from .common import scratch, shuffle_partitions, small_batches, table
 
 NULL_ID = -(2**63)
+#: Bytes of text that a shard is made for, and ids from which a bound between two shards is taken.
+SHARD_TEXT, DRAWN = 512 << 20, 100
+#: Documents and ids that a reader takes at a time; a longer document comes alone.
+BLOCK_DOCS, BLOCK_IDS = 4096, 1 << 22
 #: Pieces whose ids a worker remembers; the memory is emptied when full.
 REMEMBERED = 600_000
 
@@ -132,28 +140,37 @@ def _write_shards(folder: str, width: int):
 
         unpack = zstandard.ZstdDecompressor()
         fs, root = _open(folder)
-        shard, out, docs, offsets, temp = None, None, [], [0], ""
+        kinds = ("tok", "off", "doc")
+        shard, n, end, temp, out = None, 0, 0, "", {}
 
         def close():
-            out.close()
-            for name, data in (("off", np.array(offsets, "<u8")), ("doc", np.array(docs, "<i8"))):
-                with fs.open_output_stream(f"{temp}.{name}") as f:
-                    f.write(data.tobytes())
-            for name in ("tok", "off", "doc"):
-                fs.move(f"{temp}.{name}", f"{root}/{shard:06d}.{name}")
-            return pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(docs)], "n_tokens": [offsets[-1]]})
+            for x in kinds:
+                out[x].close()
+                fs.move(f"{temp}.{x}", f"{root}/{shard:06d}.{x}")
+            return pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [n], "n_tokens": [end]})
 
         for batch in batches:
-            for s, d, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if s != shard:
+            of_shard = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of_shard)) + 1).tolist(), len(of_shard)]
+            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+                if at == to:
+                    continue
+                if of_shard[at] != shard:
                     if shard is not None:
                         yield close()
-                    shard, docs, offsets, temp = s, [], [0], f"{root}/.{s:06d}-{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(f"{temp}.tok")
-                raw = unpack.decompress(ids)
-                out.write(raw)
-                docs.append(NULL_ID if d is None else d)
-                offsets.append(offsets[-1] + len(raw) // width)
+                    shard, n, end = int(of_shard[at]), 0, 0
+                    temp = f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
+                    out = {x: fs.open_output_stream(f"{temp}.{x}") for x in kinds}
+                    out["off"].write(np.zeros(1, "<u8").tobytes())
+                sizes = []
+                for ids in batch.column(2).slice(at, to - at):
+                    raw = unpack.decompress(ids.as_py())
+                    out["tok"].write(raw)
+                    sizes.append(len(raw) // width)
+                ends = end + np.cumsum(sizes, dtype=np.int64)
+                out["off"].write(ends.astype("<u8").tobytes())
+                out["doc"].write(pc.fill_null(batch.column(1).slice(at, to - at), NULL_ID).to_numpy().astype("<i8").tobytes())
+                n, end = n + to - at, int(ends[-1])
         if shard is not None:
             yield close()
 
@@ -170,15 +187,38 @@ def map_file(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+@contextlib.contextmanager
+def ranges(uri: str, dtype):
+    """A function (a, b) -> items a to b of a file: of its map on a local disk, elsewhere read alone."""
+    fs, path = _open(uri)
+    if fs.type_name == "local":
+        mapped = map_file(uri, dtype)
+        yield lambda a, b: mapped[a:b]
+        return
+    width = np.dtype(dtype).itemsize
+    with fs.open_input_file(path) as f:
+        yield lambda a, b: np.frombuffer(f.read_at((b - a) * width, a * width), dtype)
+
+
 def _read_shards(folder: str, dtype: str):
+    def digests(tok, bounds):
+        """crc32 of each document between bounds, from ranges of about BLOCK_IDS ids."""
+        at = 0
+        while at < len(bounds) - 1:
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK_IDS, side="right")) - 1)
+            part, first = tok(bounds[at], bounds[to]), bounds[at]
+            yield from (zlib.crc32(part[a - first : b - first].astype("<u4")) for a, b in zip(bounds[at:to], bounds[at + 1 : to + 1], strict=True))
+            at = to
+
     def run(batches):
         for batch in batches:
-            for shard, base in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                tok, off, doc = (map_file(f"{folder}/{shard:06d}.{x}", t) for x, t in (("tok", dtype), ("off", "<u8"), ("doc", "<i8")))
-                for at in range(0, len(doc), 4096):
-                    ids, bounds = doc[at : at + 4096], off[at : at + 4097].astype(np.int64)
-                    crc = [zlib.crc32(tok[a:b].astype("<u4")) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64), mask=np.asarray(ids == NULL_ID)), pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for shard, n, base in zip(*(batch.column(c).to_pylist() for c in ("shard", "n_docs", "base")), strict=True):
+                at = f"{folder}/{shard:06d}"
+                with ranges(f"{at}.tok", dtype) as tok, ranges(f"{at}.off", "<u8") as off, ranges(f"{at}.doc", "<i8") as doc:
+                    for i in range(0, n, BLOCK_DOCS):
+                        j = min(n, i + BLOCK_DOCS)
+                        ids, bounds = doc(i, j).astype(np.int64), off(i, j + 1).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(digests(tok, bounds.tolist()), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -191,9 +231,15 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
     encoder = WordEncoder(vocabulary)
-    n = shards or shuffle_partitions(spark)
-    bounds = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("b")).first()["b"] if n > 1 else []
-    bounds = sorted(set(bounds or []))  # fewer than `shards` numbers
+    n, bounds = shards, []
+    if n is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(shuffle_partitions(spark), -(-size // SHARD_TEXT))
+    if n > 1:
+        share = min(1.0, DRAWN * n / max(1, docs.count()))
+        drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+        bounds = drawn.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], DRAWN * n).alias("b")).first()["b"]
+    bounds = sorted(set(bounds or []))  # fewer than n numbers
     # A document's shard never depends on its place in the input.
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(vocabulary, end_id, bounds), "shard int, doc_id long, ids binary")
     placed = ids.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")

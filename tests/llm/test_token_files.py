@@ -1,10 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
 import pytest
 from tokenizers import Tokenizer
 
-from detframe.llm.token_files import WordEncoder, map_file, token_digests, write_token_files
+from detframe.llm import token_files
+from detframe.llm.token_files import WordEncoder, map_file, ranges, token_digests, write_token_files
 
 public = pytest.importorskip("public_tokenizers")
 PATH = public.path("word_bpe_49k.json")
@@ -37,3 +40,50 @@ def test_digests(spark, docs_of):
     assert [(x.doc_id, x.start, x.n_tokens) for x in r] == [(2, 0, 1), (5, 1, 3), (9, 4, 1)]
     assert r[0].ids_crc32 == zlib.crc32(np.array([2], "<u4").tobytes())
     assert token_digests(docs_of([])).count() == 0
+
+
+def test_shards_follow_the_size_of_the_text(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_TEXT", 1000)
+    monkeypatch.setattr(token_files, "DRAWN", 4)
+    rows = [(7 * i, f"text {i} " * 10) for i in range(400)]
+    _, table, _ = write_token_files(docs_of(rows), PATH, 2)
+    sizes = [r.n_docs for r in table.collect()]
+    assert sum(sizes) == 400 and len(sizes) > 20 and max(sizes) < 100
+
+
+class Store:
+    """A store that is no local disk, with the ranges that were read."""
+
+    type_name = "object"
+
+    def __init__(self):
+        self.fs, self.read = pafs.LocalFileSystem(), []
+
+    def open_input_file(self, path):
+        f, read = self.fs.open_input_file(path), self.read
+
+        class File:
+            __enter__ = lambda self: self
+            __exit__ = lambda self, *_: f.close()
+
+            def read_at(self, n, at):
+                read.append((path[-3:], n, at))
+                return f.read_at(n, at)
+
+        return File()
+
+
+@pytest.mark.parametrize("docs_at_once, ids_at_once", [(3, 5), (1000, 1), (4096, 1 << 22)])
+def test_ranges_off_local_disks(spark, docs_of, texts, monkeypatch, docs_at_once, ids_at_once):
+    folder, table, dtype = write_token_files(docs_of([*texts, (None, "null id")]), PATH, 2, shards=1)
+    shards = pa.RecordBatch.from_pandas(table.toPandas())
+    read = lambda: pa.Table.from_batches(token_files._read_shards(folder, dtype)([shards])).to_pylist()
+    want, store = read(), Store()
+    monkeypatch.setattr(token_files, "_open", lambda uri: (store, uri.removeprefix("file://")))
+    monkeypatch.setattr(token_files, "BLOCK_DOCS", docs_at_once)
+    monkeypatch.setattr(token_files, "BLOCK_IDS", ids_at_once)
+    assert read() == want and len(want) == len(texts) + 1
+    longest = max(r["n_tokens"] for r in want)
+    assert all(n <= 2 * max(ids_at_once, longest) for x, n, _ in store.read if x == "tok")
+    with ranges(f"{folder}/000000.off", "<u8") as off:
+        assert off(0, 1).tolist() == [0]
