@@ -2,7 +2,9 @@
 
 Features: length, depth, digit ratio, character entropy, parameters, hyphens, host labels and length, longest
 run of digits, and for the last one and two host labels how often they stand on blocked labelled URLs
-(smoothed) and how often at all, counted over all of these. Suffix tables are broadcast up to MANY_SUFFIXES rows;
+(smoothed) and how often at all, counted over all of these. The rows that the trees are fitted on see counts
+out of fold: URLs fall into FOLDS parts by a hash, equal ones into one, and the counts of a row's own part are
+taken off, so that no label is seen through its own rate. Suffix tables are broadcast up to MANY_SUFFIXES rows;
 larger ones are joined by shuffles, but for suffixes with a thousandth of all rows. The trees are trained by
 Spark's own gradient boosting from about `train_rows` labelled URLs: of each label up to half, or what the rarer
 one leaves; of n equal URLs a share p is drawn as floor(n p + u) rows, u from a hash. The label of the registered
@@ -26,6 +28,7 @@ from .common import LOWER, UPPER, materialize, table
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SEED_WORDS = ("ads", "adult", "bets", "casino", "cheap", "pills", "spam", "track", "win")
 TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 10, 4, 17
+FOLDS = 5
 #: Suffixes up to which their table is broadcast, share of all rows of a heavy suffix, and tasks its rows are dealt to.
 MANY_SUFFIXES, HEAVY, SALTS = 100_000, 1e-3, 256
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "params", "hyphens", "labels", "host_length", "digit_run", "top_rate", "top_seen", "site_rate", "site_seen")
@@ -73,19 +76,32 @@ def seed_label():
     return F.arrays_overlap(F.split(F.regexp_replace("host", r"\.", "-"), "-"), F.array(*map(F.lit, SEED_WORDS))).cast("double")
 
 
+def _rated(d: DataFrame, prefix: str) -> DataFrame:
+    return d.withColumns({f"{prefix}_rate": (F.col(f"{prefix}_bad") + 0.5) / (F.col(f"{prefix}_n") + 5), f"{prefix}_seen": F.log1p(f"{prefix}_n")})
+
+
 def _with_suffix(d: DataFrame, counts: DataFrame, column: str, prefix: str, total: int, many: int) -> DataFrame:
-    """d with the rate and the frequency of a suffix; counts: the column, bad, n."""
-    rated = counts.select(column, "n", ((F.col("bad") + 0.5) / (F.col("n") + 5)).alias(f"{prefix}_rate"), F.log1p("n").alias(f"{prefix}_seen"))
+    """d with the rate and the frequency of a suffix, and bad and n that they come from; counts: the column, bad, n."""
+    bad, n = f"{prefix}_bad", f"{prefix}_n"
+    named = counts.select(column, F.col("bad").alias(bad), F.col("n").alias(n))
     if counts.limit(many + 1).count() <= many:
-        d = d.join(F.broadcast(rated.drop("n")), column, "left")
+        d = d.join(F.broadcast(named), column, "left")
     else:
         # At most 1 / HEAVY suffixes are heavy; their rows are dealt out by a salt that no light suffix has.
-        heavy = rated.where(F.col("n") >= HEAVY * total).select(column, F.col(f"{prefix}_rate").alias("heavy_rate"), F.col(f"{prefix}_seen").alias("heavy_seen"))
-        light = rated.where(F.col("n") < HEAVY * total).drop("n").withColumn("salt", F.lit(0).cast("long"))
+        heavy = named.where(F.col(n) >= HEAVY * total).select(column, F.col(bad).alias("heavy_bad"), F.col(n).alias("heavy_n"))
+        light = named.where(F.col(n) < HEAVY * total).withColumn("salt", F.lit(0).cast("long"))
         d = d.join(F.broadcast(heavy), column, "left")
-        d = d.withColumn("salt", F.when(F.col("heavy_seen").isNull(), 0).otherwise(1 + F.monotonically_increasing_id() % SALTS)).join(light, [column, "salt"], "left")
-        d = d.withColumn(f"{prefix}_rate", F.coalesce("heavy_rate", f"{prefix}_rate")).withColumn(f"{prefix}_seen", F.coalesce("heavy_seen", f"{prefix}_seen")).drop("salt", "heavy_rate", "heavy_seen")
-    return d.fillna({f"{prefix}_rate": 0.1, f"{prefix}_seen": 0.0})
+        d = d.withColumn("salt", F.when(F.col("heavy_n").isNull(), 0).otherwise(1 + F.monotonically_increasing_id() % SALTS)).join(light, [column, "salt"], "left")
+        d = d.withColumn(bad, F.coalesce("heavy_bad", bad)).withColumn(n, F.coalesce("heavy_n", n)).drop("salt", "heavy_bad", "heavy_n")
+    return _rated(d.fillna({bad: 0.0, n: 0}), prefix)
+
+
+def _out_of_fold(train: DataFrame, folds: DataFrame, column: str) -> DataFrame:
+    """train (a bounded draw, with fold) rated without its own fold's part of the counts; folds: the column, fold, bad, n."""
+    own = folds.join(F.broadcast(train.select(column, "fold").distinct()), [column, "fold"]).select(column, "fold", F.col("bad").alias("own_bad"), F.col("n").alias("own_n"))
+    d = train.join(F.broadcast(own), [column, "fold"], "left").fillna({"own_bad": 0.0, "own_n": 0})
+    d = d.withColumns({f"{column}_bad": F.col(f"{column}_bad") - F.col("own_bad"), f"{column}_n": F.col(f"{column}_n") - F.col("own_n")})
+    return _rated(d, column).drop("own_bad", "own_n")
 
 
 def drawn_rows(labelled: DataFrame, good: int, bad: int, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -104,15 +120,16 @@ def judge(urls: DataFrame, labelled: DataFrame, rules=RULES, train_rows: int = T
     from pyspark.ml.feature import VectorAssembler
 
     labelled = labelled.where(F.col("label").isNotNull()).select("url", "label")
-    sites = with_features(with_parts(labelled)).groupBy("top", "site").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
-    sites = materialize(sites, "url-site")
-    tops = materialize(sites.groupBy("top").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "url-top")
+    fold = F.pmod(F.xxhash64(F.lit(FOLDS), "url"), F.lit(FOLDS)).alias("fold")
+    folds = with_features(with_parts(labelled)).groupBy("top", "site", fold).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
+    folds = materialize(folds, "url-folds")
+    sums = lambda d, *keys: d.groupBy(*keys).agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    sites, tops = materialize(sums(folds, "site"), "url-site"), materialize(sums(folds, "top"), "url-top")
     total, bad = tops.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
-    train = materialize(with_features(with_parts(drawn_rows(labelled, total - int(bad), int(bad), train_rows))), "url-train")
+    train = materialize(with_features(with_parts(drawn_rows(labelled, total - int(bad), int(bad), train_rows))).select("*", fold), "url-train")
 
-    def complete(d: DataFrame) -> DataFrame:
-        d = _with_suffix(d, tops, "top", "top", total, many_suffixes)
-        return _with_suffix(d, sites.drop("top"), "site", "site", total, many_suffixes)
+    def counted(d: DataFrame) -> DataFrame:
+        return _with_suffix(_with_suffix(d, tops, "top", "top", total, many_suffixes), sites, "site", "site", total, many_suffixes)
 
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     share = train.groupBy("label").agg(F.sum("k").alias("count")).collect()  # two rows
@@ -120,9 +137,10 @@ def judge(urls: DataFrame, labelled: DataFrame, rules=RULES, train_rows: int = T
     d = with_features(with_parts(urls.select(F.struct(*own).alias("row"), "url")))
     if len(share) == 2:
         weight = {r["label"]: sum(x["count"] for x in share) / (2 * r["count"]) for r in share}
-        rows = complete(train).withColumn("weight", F.col("k") * F.when(F.col("label") == 1, weight[1.0]).otherwise(weight[0.0]))
+        rows = _out_of_fold(_out_of_fold(counted(train), sums(folds, "top", "fold"), "top"), folds.drop("top"), "site")
+        rows = rows.withColumn("weight", F.col("k") * F.when(F.col("label") == 1, weight[1.0]).otherwise(weight[0.0]))
         model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED, checkpointInterval=-1).fit(assembler.transform(rows).select("features", "label", "weight").coalesce(4))
-        d = model.transform(assembler.transform(complete(d))).withColumn("own", F.when(F.col("prediction") == 1, "block").otherwise("allow"))
+        d = model.transform(assembler.transform(counted(d))).withColumn("own", F.when(F.col("prediction") == 1, "block").otherwise("allow"))
     else:
         d = d.withColumn("own", F.lit("allow"))
     return d.withColumn("r", rule_of(rules)).select("row.*", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.action", "own").alias("verdict"))

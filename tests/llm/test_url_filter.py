@@ -87,3 +87,15 @@ def test_suffix_tables_count_all_rows(spark):
     for many in (10, 1):
         got = _with_suffix(d, counts, "site", "site", 5001, many).collect()
         assert len(got) == 52 and {(r.site, round(r.site_rate, 9), round(r.site_seen, 9)) for r in got} == want
+
+
+def test_training_rates_leave_out_their_own_fold(spark):
+    from detframe.llm.url_filter import _out_of_fold, _with_suffix
+
+    train = spark.createDataFrame([("a", 0), ("a", 1), ("b", 2), ("c", 0)], "site string, fold int")
+    folds = spark.createDataFrame([("a", 0, 3.0, 4), ("a", 2, 1.0, 10), ("b", 2, 2.0, 2)], "site string, fold int, bad double, n long")
+    sites = folds.groupBy("site").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    got = _out_of_fold(_with_suffix(train, sites, "site", "site", 16, 10), folds, "site").collect()
+    assert {(r.site, r.fold): (round(r.site_rate, 9), round(r.site_seen, 9)) for r in got} == {
+        ("a", 0): (1.5 / 15, round(math.log1p(10), 9)), ("a", 1): (round(4.5 / 19, 9), round(math.log1p(14), 9)), ("b", 2): (0.1, 0.0), ("c", 0): (0.1, 0.0),
+    }
