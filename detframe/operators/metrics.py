@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import pairs
+from .pairs import iou_of, overlap, pairs, per_sample
 from .samples import class_name
 
 IOU_THRESHOLD = 0.1
+#: The bucket of ground truth among score points, below all others.
+GROUND_TRUTH = -(1 << 40)
 
 
 def _nan():
@@ -68,20 +70,23 @@ def confusion_elements(samples: DataFrame, gt: DataFrame, pred: DataFrame, thres
     A detected prediction counts under the class of its best ground truth. Samples without ground truth give
     one `Unknown` and one `background` element and leave their predictions out.
     """
-    s = scored_pairs(pairs(gt, pred))
-    best = s.where("best").select("sample_id", "pred_idx", "gt_cls", "iou")
-    has_gt = gt.select("sample_id").distinct()
-    p = pred.select("sample_id", "pred_idx", "label", "score").join(has_gt, "sample_id", "left_semi").join(best, ["sample_id", "pred_idx"], "left")
-    found = F.coalesce(F.col("iou") > threshold, F.lit(False))
-    of_pred = p.select("sample_id", F.lit("prediction").alias("elem_kind"), class_name(F.when(found, F.col("gt_cls")).otherwise(F.col("label"))).alias("class_name"), F.when(found, "Positive").otherwise("Negative").alias("polarity"), F.col("score").cast("double").alias("confidence"))
-    near = s.groupBy("sample_id", "gt_idx").agg(F.max("iou").alias("near"))
-    g = gt.select("sample_id", "gt_idx", "cls").join(near, ["sample_id", "gt_idx"], "left").withColumn("seen", F.coalesce(F.col("near") > threshold, F.lit(False)))
-    element = lambda d, kind, name: d.select("sample_id", F.lit(kind).alias("elem_kind"), name.alias("class_name"), F.lit("Positive").alias("polarity"), F.lit(0.0).alias("confidence"))
-    of_gt = element(g.where(~F.col("seen")), "ground truth", class_name(F.col("cls")))
-    state = samples.select("sample_id").join(g.groupBy("sample_id").agg(F.max(F.col("seen").cast("int")).alias("any")), "sample_id", "left")
-    unknown = element(state.where("any IS NULL"), "ground truth", F.lit("Unknown"))
-    background = element(state.where("coalesce(any, 0) = 0"), "background", F.lit("background"))
-    return of_pred.unionByName(of_gt).unionByName(unknown).unionByName(background)
+    d = samples.select("sample_id").join(per_sample(gt, pred), "sample_id", "left")
+    kind = "array<struct<kind:string,cls:int,name:string,polarity:string,confidence:double>>"
+    element = lambda kind, cls, name, polarity, confidence: F.struct(F.lit(kind), cls.cast("int"), F.lit(name), polarity, confidence)
+    near = lambda a, b: overlap(a, b) & (iou_of(a, b) > threshold)
+    best = lambda p: F.array_max(F.transform(F.filter("gts", lambda g: near(g, p)), lambda g: F.struct(iou_of(g, p), -g["gt_idx"], g["cls"].alias("cls"))))["cls"]
+    found = F.transform("preds", lambda p: F.struct(p["label"].alias("label"), p["score"].alias("score"), best(p).alias("cls")))
+    of_pred = F.transform(found, lambda p: element("prediction", F.coalesce(p["cls"], p["label"]), None, F.when(p["cls"].isNotNull(), "Positive").otherwise("Negative"), p["score"]))
+    positive, zero, no_class = F.lit("Positive"), F.lit(0.0), F.lit(None)
+    missed = F.filter("gts", lambda g: ~F.exists(F.coalesce("preds", F.array()), lambda p: near(g, p)))
+    of_gt = F.transform(missed, lambda g: element("ground truth", g["cls"], None, positive, zero))
+    no_gt, background = element("ground truth", no_class, "Unknown", positive, zero), element("background", no_class, "background", positive, zero)
+    none = F.array().cast(kind)
+    elements = F.when(F.col("gts").isNull(), F.array(no_gt, background).cast(kind)).otherwise(
+        F.concat(F.coalesce(of_pred.cast(kind), none), of_gt.cast(kind), F.when(F.size(of_gt) == F.size("gts"), F.array(background).cast(kind)).otherwise(none))
+    )
+    e = d.select("sample_id", F.inline(elements).alias("elem_kind", "cls", "name", "polarity", "confidence"))
+    return e.select("sample_id", "elem_kind", F.coalesce("name", class_name(F.col("cls"))).alias("class_name"), "polarity", "confidence")
 
 
 def confusion_matrix(elements: DataFrame) -> DataFrame:
@@ -100,18 +105,29 @@ def average_precision(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, bu
     Predictions match per sample and class by falling score, once per ground truth. Curves are summed over
     score buckets first, so no class runs through one task row by row; within a bucket rows are ordered.
     """
-    g, p = gt.withColumnRenamed("cls", "label"), pred
-    pair = pairs(gt, pred).where((F.col("gt_cls") == F.col("pred_label")) & (F.col("iou") >= threshold))
-    best = pair.withColumn("r", F.row_number().over(Window.partitionBy("sample_id", "pred_idx").orderBy(F.desc("iou"), "gt_idx"))).where("r = 1")
-    once = best.withColumn("r", F.row_number().over(Window.partitionBy("sample_id", "gt_idx").orderBy("pred_idx"))).where("r = 1").select("sample_id", "pred_idx", F.lit(1).alias("tp"))
-    scored = p.select("sample_id", "pred_idx", "label", F.col("score").cast("double").alias("score")).join(once, ["sample_id", "pred_idx"], "left").fillna({"tp": 0})
+    fits = lambda g, p: (g["cls"] == p["label"]) & overlap(g, p) & (iou_of(g, p) >= threshold)
+    best = lambda p: F.array_max(F.transform(F.filter("gts", lambda g: fits(g, p)), lambda g: F.struct(iou_of(g, p), (-g["gt_idx"]).alias("g"))))["g"]
+    d = per_sample(gt, pred).withColumn("proposed", F.transform("preds", lambda p: F.coalesce(best(p), F.lit(1))))  # 1: none
+    # Of the predictions that propose one ground truth the first is right.
+    first = lambda i: (F.get("proposed", i) <= 0) & (F.array_position("proposed", F.get("proposed", i)) == i + 1)
+    kind = "array<struct<label:int,score:double,tp:int>>"
+    of_pred = F.transform("preds", lambda p, i: F.struct(p["label"], p["score"], F.coalesce(first(i), F.lit(False)).cast("int"))).cast(kind)
+    # Ground truth rides along as points beyond all scores, so that one aggregate serves both.
+    of_gt = F.transform("gts", lambda g: F.struct(g["cls"], F.lit(float("inf")), F.lit(0))).cast(kind)
+    none = F.array().cast(kind)
+    scored = d.select(F.inline(F.concat(F.coalesce(of_pred, none), F.coalesce(of_gt, none))))
     # Equal scores are one point of the curve.
-    points = scored.groupBy("label", "score").agg(F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n")).withColumn("bucket", F.floor((1 - F.col("score")) * buckets))
+    points = scored.groupBy("label", "score").agg(F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n"))
+    points = points.withColumn("bucket", F.when(F.col("score") == float("inf"), GROUND_TRUTH).otherwise(F.floor((1 - F.col("score")) * buckets)))
+    real = F.col("bucket") != GROUND_TRUTH
     sums = points.groupBy("label", "bucket").agg(F.sum("tp").alias("btp"), F.sum("n").alias("bn"))
     so_far = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("label", "bucket", F.coalesce(F.sum("btp").over(so_far), F.lit(0)).alias("tp0"), F.coalesce(F.sum("bn").over(so_far), F.lit(0)).alias("n0"))
+    before = lambda c: F.coalesce(F.sum(F.when(real, F.col(c))).over(so_far), F.lit(0))
+    sums = sums.select(F.col("label").alias("of_label"), F.col("bucket").alias("of_bucket"), before("btp").alias("tp0"), before("bn").alias("n0"))
     inside = Window.partitionBy("label", "bucket").orderBy(F.desc("score"))
-    curve = points.withColumn("ctp", F.sum("tp").over(inside)).withColumn("cn", F.sum("n").over(inside)).join(sums, ["label", "bucket"])
-    area = F.sum(F.col("tp") * (F.col("ctp") + F.col("tp0")) / (F.col("cn") + F.col("n0")))
-    total = g.groupBy("label").agg(F.count(F.lit(1)).alias("n_gt"))
-    return total.join(curve.groupBy("label").agg(area.alias("area")), "label", "left").select(class_name(F.col("label")).alias("class_name"), "n_gt", F.coalesce(F.col("area") / F.col("n_gt"), F.lit(0.0)).alias("ap"))
+    curve = points.withColumn("ctp", F.sum("tp").over(inside)).withColumn("cn", F.sum("n").over(inside))
+    # An equality that takes nulls puts no filter below the points: both sides read one exchange of them.
+    curve = curve.join(sums, F.col("label").eqNullSafe(F.col("of_label")) & F.col("bucket").eqNullSafe(F.col("of_bucket")))
+    area = F.sum(F.when(real, F.col("tp") * (F.col("ctp") + F.col("tp0")) / (F.col("cn") + F.col("n0"))))
+    total = curve.groupBy("label").agg(F.sum(F.when(~real, F.col("n"))).alias("n_gt"), area.alias("area")).where("n_gt > 0")
+    return total.select(class_name(F.col("label")).alias("class_name"), "n_gt", F.coalesce(F.col("area") / F.col("n_gt"), F.lit(0.0)).alias("ap"))

@@ -24,3 +24,23 @@ def pairs(gt: DataFrame, pred: DataFrame, size: int = SIZE, prune: bool = True,
     a, b = ([F.col(s + c) for c in ("x1", "y1", "x2", "y2")] for s in "gp")
     out = [iou(a, b, clamp).alias("iou")] + ([giou(a, b).alias("giou")] if with_giou else [])
     return both.select("sample_id", "gt_idx", "pred_idx", "gt_cls", "pred_label", "score", *out)
+
+
+def per_sample(gt: DataFrame, pred: DataFrame, size: int = SIZE) -> DataFrame:
+    """(sample_id, gts, preds): both sides of a sample as arrays in index order, null where a side is empty.
+
+    The caps of ground truth and predictions bound a row. What follows reads each pair inside its row, so that
+    one exchange a side is all that several results of the same pairs need.
+    """
+    corners = lambda xs: [c.alias(n) for c, n in zip(xs, ("x1", "y1", "x2", "y2"), strict=True)]
+    g = gt.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("gt_idx", "cls", *corners(cxcywh_to_xyxy("cx", "cy", "w", "h"))))).alias("gts"))
+    p = pred.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pred_idx", "label", F.col("score").cast("double").alias("score"), *corners([F.col(c) / size for c in ("x1", "y1", "x2", "y2")])))).alias("preds"))
+    return g.join(p, "sample_id", "full")
+
+
+def overlap(a, b):
+    return (a["x1"] < b["x2"]) & (b["x1"] < a["x2"]) & (a["y1"] < b["y2"]) & (b["y1"] < a["y2"])
+
+
+def iou_of(a, b, clamp: float | None = 1e-6):
+    return iou(*([x[c] for c in ("x1", "y1", "x2", "y2")] for x in (a, b)), clamp)
