@@ -295,6 +295,29 @@ def loss_heads(spark, d):
     return tidy(losses.criterion(s, both, g, m, losses=("vfl",)).select("sample_id", "head", "loss_vfl"))
 
 
+_HEADS = f"""WITH {_VEC},
+hq AS (SELECT 'main' AS head, * FROM q UNION ALL SELECT 'aux_0', sample_id, query_idx, list_reverse(logits), cy, cx, h, w FROM q UNION ALL SELECT 'dn_0', * FROM q UNION ALL SELECT 'enc_0', * FROM q),
+hm AS (SELECT 'main' AS head, sample_id, query_idx, gt_idx, cls, 1 AS groups FROM mt UNION ALL SELECT 'aux_0', sample_id, query_idx, gt_idx, cls, 1 FROM mt UNION ALL SELECT 'enc_0', sample_id, query_idx, gt_idx, 0, 1 FROM mt
+  UNION ALL SELECT 'dn_0', q.sample_id, query_idx, g.gt_idx, g.cls, 3 FROM q JOIN nb USING (sample_id) JOIN g ON g.sample_id = q.sample_id AND g.gt_idx = query_idx % nb WHERE query_idx < nb * 3),
+h1 AS (SELECT hm.*, abs(hq.cx - g.cx) + abs(hq.cy - g.cy) + abs(hq.w - g.w) + abs(hq.h - g.h) AS l1, hq.cx - hq.w / 2 AS ax1, hq.cy - hq.h / 2 AS ay1, hq.cx + hq.w / 2 AS ax2, hq.cy + hq.h / 2 AS ay2, g.cx - g.w / 2 AS bx1, g.cy - g.h / 2 AS by1, g.cx + g.w / 2 AS bx2, g.cy + g.h / 2 AS by2
+  FROM hm JOIN hq ON hq.head = hm.head AND hq.sample_id = hm.sample_id AND hq.query_idx = hm.query_idx JOIN g ON g.sample_id = hm.sample_id AND g.gt_idx = hm.gt_idx),
+h2 AS (SELECT *, greatest(least(ax2, bx2) - greatest(ax1, bx1), 0) * greatest(least(ay2, by2) - greatest(ay1, by1), 0) AS inter, (greatest(ax2, bx2) - least(ax1, bx1)) * (greatest(ay2, by2) - least(ay1, by1)) AS hull FROM h1),
+h3 AS (SELECT *, (ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - inter AS un FROM h2),
+hc AS (SELECT hq.head, hq.sample_id, hq.logits[k + 1] AS x, CASE WHEN h3.cls = k THEN 1.0::DOUBLE ELSE 0 END AS t, CASE WHEN h3.cls = k THEN inter / un ELSE 0 END AS tq
+  FROM hq CROSS JOIN (SELECT unnest(range(5)) AS k) LEFT JOIN h3 ON h3.head = hq.head AND h3.sample_id = hq.sample_id AND h3.query_idx = hq.query_idx),
+hl AS (SELECT head, sample_id, sum((0.75::DOUBLE * pow(1 / (1 + exp(-x)), 2) * (1 - t) + tq) * (greatest(x, 0) - x * tq + ln(1 + exp(-abs(x))))) AS vfl FROM hc GROUP BY 1, 2),
+hb AS (SELECT head, sample_id, max(groups) AS groups, sum(l1) AS bbox, sum(1 - (inter / un - (hull - un) / hull)) AS giou FROM h3 GROUP BY 1, 2)"""
+
+
+@query(f"{_HEADS} SELECT sample_id, head, round(vfl / (nb * groups), 8) AS loss_vfl, round(5 * bbox / (nb * groups), 8) AS loss_bbox, round(2 * giou / (nb * groups), 8) AS loss_giou, round((vfl + 5 * bbox + 2 * giou) / (nb * groups), 8) AS total FROM hl JOIN hb USING (head, sample_id) JOIN nb USING (sample_id)")
+def loss_all_heads(spark, d):
+    """Main, auxiliary (other logits and boxes, the main head's matches), denoising (three groups), encoder (class-agnostic)."""
+    q, g = b.queries(spark, d), b.vector_gt(spark, d)
+    other = q.select("sample_id", "query_idx", F.reverse("logits").alias("logits"), F.col("cy").alias("cx"), F.col("cx").alias("cy"), F.col("h").alias("w"), F.col("w").alias("h"))
+    positives = q.select("sample_id", F.col("query_idx").alias("pos"), "query_idx")
+    return tidy(losses.head_losses(q.select("sample_id").distinct(), g, q, aux=[other], dn=[q], positives=positives, groups=3, enc=[q], agnostic=True, share_matches=True))
+
+
 # ---- configurations -------------------------------------------------------------------------------------------
 
 _BASE_SQL = b.BASE_CONFIG

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from .operators import configs, gt, losses, metrics, overlay, preds, profile, samples
+from .operators import configs, gt, images, losses, metrics, overlay, preds, profile, samples
 
 KINDS = ("source", "encoder", "metadata", "metric", "loss", "visualizer")
 
@@ -39,7 +39,10 @@ def entries(kind: str | None = None) -> list[Entry]:
 
 
 register("source", "splits", samples.routed)
-register("encoder", "classes", gt.padded)
+register("source", "all_splits", samples.union_splits)
+register("encoder", "image", images.image_tensors)
+for _name, _column in (("classes", "gt_padded"), ("gt_boxes", "gt_boxes"), ("gt_labels", "gt_labels"), ("gt_valid_mask", "gt_mask")):
+    register("encoder", _name, lambda s, g, column=_column, **options: gt.padded(s, g, **options).select("sample_id", column))
 register("encoder", "orig_size", gt.original_size)
 register("encoder", "predictions", preds.packed)
 register("metadata", "data_type", samples.data_type)
@@ -48,5 +51,8 @@ register("metadata", "synth_metadata", configs.synth_metadata)
 for _name, _direction in (("precision", "Upward"), ("recall", "Upward"), ("f1", "Upward"), ("iou", "Upward"), ("accuracy", "Upward"), ("tp", "Upward"), ("fp", "Downward"), ("fn", "Downward")):
     register("metric", _name, metrics.sample_metrics, _direction)
 register("metric", "Confusion Matrix", metrics.confusion_elements)
+for _name in ("loss_vfl", "loss_bbox", "loss_giou", "total"):
+    register("metric", _name, losses.criterion, "Downward")
 register("loss", "total", losses.criterion, "Downward")
 register("visualizer", "boxes", overlay.overlay_boxes)
+register("visualizer", "image", images.to_uint8)
