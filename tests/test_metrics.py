@@ -142,3 +142,15 @@ def test_overlay_clips(spark):
     p = spark.createDataFrame([(1, 0, 9, 0.5, -64.0, 0.0, 1280.0, 640.0)], PRED)
     r = overlay.overlay_boxes(g, p).first()
     assert (r.x, r.width, r.label) == (0.5, 1.0, "Unknown")
+
+
+def test_box_weights(spark):
+    q = spark.createDataFrame([(1, 0, [0.5, -1.0], 0.5, 0.5, 0.5, 0.5), (1, 1, [0.0, 2.0], 0.2, 0.2, 0.1, 0.1)], "sample_id long, query_idx int, logits array<double>, cx double, cy double, w double, h double")
+    g = spark.createDataFrame([(1, 0, 1, 0.5, 0.5, 0.5, 0.25)], GT)
+    m = spark.createDataFrame([(1, 0, 0)], "sample_id long, query_idx int, gt_idx int")
+    got = {w: losses.criterion(q.select("sample_id").distinct(), q, g, m, weights={"loss_vfl": 1.0, "loss_giou": 1.0}, box_weight=w).first() for w in (None, "iou", "giou")}
+    iou = giou = 0.5  # one box holds the other, so the hull is the union
+    assert [got[w].loss_giou for w in (None, "iou", "giou")] == pytest.approx([1 - giou, (1 - giou) * iou, (1 - giou) * giou])
+    assert got["iou"].loss_vfl == pytest.approx(got[None].loss_vfl) == pytest.approx(got["giou"].loss_vfl)
+    with pytest.raises(AttributeError):
+        losses.criterion(q.select("sample_id").distinct(), q, g, m, box_weight="other")
