@@ -37,6 +37,12 @@ def canonical_url(url):
     return F.concat(host, path, F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise(""))
 
 
+def _reached(cuts: str, value: str, size: int):
+    """How many of the ascending cuts, fewer than `size`, are no larger than the value (0 without cuts), by bisection."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(size.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= F.col(value), at + step).otherwise(at))
+
+
 def as_of_points(bases: DataFrame, asked: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """key, ts of `asked`, with the value of the latest earlier row of bases (key, ts, value); one row a point."""
     points = bases.groupBy("key", "ts").agg(F.max("value").alias("value")).withColumn("want", F.lit(0))
@@ -50,7 +56,7 @@ def as_of_points(bases: DataFrame, asked: DataFrame, chunk: int = CHUNK) -> Data
         k = min(10_000, -(-most // chunk) + 1)
         hot = points.join(small(counts.select("key"), 1000), "key", "left_semi")
         busy = hot.groupBy("key").agg(F.percentile_approx("ts", [i / k for i in range(1, k)], 100 * k).alias("cuts"))
-        points = points.join(small(busy, 1000), "key", "left").withColumn("chunk", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("ts"))), F.lit(0))).drop("cuts")
+        points = points.join(small(busy, 1000), "key", "left").withColumn("chunk", _reached("cuts", "ts", k)).drop("cuts")
     else:
         points = points.withColumn("chunk", F.lit(0))
     by_key = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from detframe.llm.warc_revisits import OP1_SQL, as_of_points, canonical_url, op1_warc_revisits, resolve_revisits
+from detframe.llm.warc_revisits import OP1_SQL, _reached, as_of_points, canonical_url, op1_warc_revisits, resolve_revisits
 
 from ..conftest import DATA
 from ..helpers import assert_same
@@ -27,6 +27,22 @@ def test_as_of_equals_brute_force(spark, chunk):
     assert {(x.key, x.ts): x.value for x in got.collect()} == want
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 7, 8, 9])
+def test_bisection_equals_a_count(spark, size):
+    cuts = sorted(i * 3 % 10 for i in range(size))
+    d = spark.createDataFrame([(t, cuts) for t in range(-1, 12)] + [(None, cuts), (3, None)], "ts long, cuts array<long>")
+    got = {(r.ts, r.cuts is None): r.n for r in d.select("ts", "cuts", _reached("cuts", "ts", size + 1).alias("n")).collect()}
+    assert got == {(t, False): sum(c <= t for c in cuts) for t in range(-1, 12)} | {(None, False): 0, (3, True): 0}
+
+
+def test_long_urls_and_many_revisits_of_one_second(spark):
+    path = "p" * 200_000
+    rows = [(1, f"http://a.org/{path}", 5, "response", 200, {"etag": "1"}, "x", "k", "v")]
+    rows += [(i, f"https://www.a.org/{path}/", 9, "revisit", 304, {"etag": "1"}, None, "k", "v") for i in range(10, 310)]
+    got = resolve_revisits(spark.createDataFrame(rows, CAPTURES), chunk=1).collect()
+    assert sorted(r.revisit_id for r in got) == list(range(10, 310)) and {(r.response_id, r.outcome, r.canonical_url) for r in got} == {(1, "resolved", f"a.org/{path}")}
+
+
 def test_outcomes(spark):
     h = {"etag": '"1"', "content-type": "text/html", "last-modified": "m", "date": "d0"}
     rows = [
