@@ -10,7 +10,9 @@ the count matrix with the trigram vectors.
 Texts are lower-cased; all that is no letter is one blank; trigrams are taken around each letter, so that a
 text of one letter has one.
 
-Training reads at most about `per_language` documents of each language, chosen by a hash of the id.
+Training reads at most about `per_language` documents of each language, chosen by a hash of the id, and of at most
+MAX_LANGUAGES languages: those with the most documents, equal ones in code-point order. So a column `lang` full
+of stray values can't grow the prototypes that every task holds.
 
 Defined results: `und` and 0.0 where the text is null or has no letter, or where nothing could be learned; a
 tie goes to the first language in code-point order; a null id is never learned from and not held out;
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import release_memory, small_batches, table, text_pieces, utf8
 
 DIMENSIONS, SEED, PER_LANGUAGE = 1024, 20_011, 2_000
+#: Bound of the prototypes, 8 KB each.
+MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
 #: Letters counted at once, and documents.
 BLOCK, ROWS = 1 << 20, 256
@@ -158,9 +162,9 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], dim
     return given.mapInArrow(_predict(languages, protos, dimensions, seed, keep), f"{kinds}, lang_pred string, score double")
 
 
-def _drawn(known: DataFrame, per_language: int, seed: int) -> DataFrame | None:
-    """About per_language rows of each language, chosen by a hash of the id; None if there is no language."""
-    counts = known.groupBy("lang").count().collect()  # one row a language
+def _drawn(known: DataFrame, per_language: int, seed: int, languages: int | None = None) -> DataFrame | None:
+    """About per_language rows of each of the most frequent languages, chosen by a hash of the id; None if there is none."""
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages or MAX_LANGUAGES).collect()
     if not counts:
         return None
     chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])

@@ -25,6 +25,29 @@ def test_bundles_equal_a_loop():
     assert np.array_equal(got, np.stack([bundle_loop(t or "", 64) for t in rows]).astype(np.float32))
 
 
+def test_prediction_equals_a_loop_and_ties_go_to_the_first(spark, docs_of):
+    texts = {"de": "der hund und die katze", "en": "the dog and the cat", "xx": "the dog and the cat"}
+    protos = {k: (v := bundle_loop(t)) / np.linalg.norm(v) for k, t in texts.items()}
+    rows = [(1, "the dog"), (2, "die katze und"), (3, "a" * 3000 + " hund"), (4, "the dog and the cat")]
+    model = {k: np.array(protos[k]) for k in reversed(sorted(protos))}
+    seeded = {r.doc_id: r for r in identify(docs_of(rows), model, ["doc_id"], 64, 1).collect()}
+    for i, t in rows:
+        v = bundle_loop(t)
+        cosine = {k: float(v @ p / np.linalg.norm(v)) for k, p in protos.items()}
+        best = min(protos, key=lambda k: (-round(cosine[k], 9), k))
+        assert seeded[i].lang_pred == best != "xx" and abs(seeded[i].score - min(max(cosine[best], 0), 1)) < 1e-6
+
+
+def test_learned_languages_are_bounded(spark, monkeypatch):
+    from detframe.llm import language_id
+
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    rows = [(i, "some words of text", lang) for i, lang in enumerate(["b"] * 9 + ["c"] * 8 + ["a"] * 2 + ["d"] * 2 + [f"stray{j}" for j in range(40)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "true AS learn")
+    assert sorted(prototypes(docs)) == ["a", "b", "c"]
+    assert language_id.alphabet(docs) == "".join(sorted(set("somewordsoftext")))
+
+
 def test_accuracy_on_held_out(spark):
     r = op2_language_id(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert r.count() > 20 and r.where("lang = lang_pred").count() / r.count() > 0.97
