@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, replace
 from pathlib import Path
 
@@ -44,3 +45,24 @@ def folder_jobs(folder: str, frames: int | None = None) -> list[Job]:
 
 def standard_jobs(base: dict) -> list[Job]:
     return [Job(d, merge_objects(base, {"run": {"distractors": d, "num_frames": n}})) for d, n in STANDARD]
+
+
+@dataclass(frozen=True)
+class TrialPaths:
+    csv: Path
+    out_dir: Path
+    #: The base configuration as the generated files name it: relative to them.
+    extends: str
+
+
+def trial_paths(folder: str, base: str, csv: str | None = None, out_dir: str | None = None) -> TrialPaths:
+    """Where trials are read and configurations go: by default the only *.csv of the folder, and its folder, which is made."""
+    if csv is None:
+        found = sorted(Path(folder).glob("*.csv"))
+        if len(found) != 1:
+            raise ValueError(f"name a trial table: {len(found)} *.csv in {folder}")
+        csv = found[0]
+    table = Path(csv).absolute()
+    out = Path(out_dir).absolute() if out_dir else table.parent
+    out.mkdir(parents=True, exist_ok=True)
+    return TrialPaths(table, out, os.path.relpath(Path(base).absolute(), out))

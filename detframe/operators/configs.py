@@ -106,6 +106,12 @@ def synth_metadata(samples: DataFrame) -> DataFrame:
     return samples.select("sample_id", *cols)
 
 
+def assets_of(config: str, path: str, root: str = "") -> Column:
+    """The paths that a configuration lists there, in order, below the asset root; empty where it lists none."""
+    listed = F.coalesce(F.try_variant_get(config, path, "array<string>"), F.array().cast("array<string>"))
+    return F.transform(listed, lambda a: F.concat(F.lit(root), a))
+
+
 def distinct_textures(slots: list[Column], prefix: str = TEXTURE_PREFIX) -> Column:
     """Non-blank slots, first occurrences in order, with the prefix."""
     names = F.filter(F.transform(F.array(*[F.trim(F.coalesce(s, F.lit(""))) for s in slots]), lambda x: x), lambda x: x != "")

@@ -46,6 +46,14 @@ def from_padded(dense: DataFrame) -> DataFrame:
     return g.select("sample_id", "gt_idx", F.col("r")[0].cast("int").alias("cls"), *[F.col("r")[i].cast("double").alias(c) for i, c in enumerate(("cx", "cy", "w", "h"), 1)])
 
 
+def valid_targets(dense: DataFrame) -> DataFrame:
+    """Long form of the dense views gt_boxes, gt_labels and gt_mask: rows whose mask exceeds 0.5, renumbered in order."""
+    rows = F.filter(F.arrays_zip("gt_boxes", "gt_labels", "gt_mask"), lambda r: r["gt_mask"] > 0.5)
+    g = dense.select("sample_id", F.posexplode(rows).alias("gt_idx", "r"))
+    boxes = [F.col("r.gt_boxes")[i].cast("float").alias(c) for i, c in enumerate(("cx", "cy", "w", "h"))]
+    return g.select("sample_id", "gt_idx", F.col("r.gt_labels").cast("long").alias("cls"), *boxes)
+
+
 def original_size(samples: DataFrame, size: int = SIZE) -> DataFrame:
     return samples.select("sample_id", F.array(F.lit(float(size)).cast("float"), F.lit(float(size)).cast("float")).alias("orig_size"))
 

@@ -86,6 +86,17 @@ def union_splits(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def mapped_sources(sources: dict[str, DataFrame], class_map: dict[str, str], validation_fold: int = 0) -> DataFrame:
+    """Rows of all sources with `source`, their class mapped by name (others go, a fixed few names) and `state` by fold.
+
+    Sources hold label and fold; columns that some of them lack are null there.
+    """
+    rows = union_splits(*[d.withColumn("source", F.lit(name)) for name, d in sources.items()])
+    named = F.create_map(*[F.lit(x) for kv in class_map.items() for x in kv]) if class_map else F.create_map().cast("map<string,string>")
+    state = F.when(F.col("fold") == validation_fold, "validation").otherwise("training")
+    return rows.withColumn("label", F.element_at(named, F.col("label"))).where("label IS NOT NULL").withColumn("state", state)
+
+
 def latest_by_id(samples: DataFrame, order: str) -> DataFrame:
     """Of rows with one sample id the last; other rows go."""
     rank = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc(order)))

@@ -166,6 +166,12 @@ def gt_from_padded(spark, d):
     return gts.from_padded(gts.padded(b.samples(spark, d), b.gt(spark, d))).select("sample_id", "gt_idx", "cls")
 
 
+@query(f"{_BASE} SELECT sample_id, gt_idx, CAST(cls AS BIGINT) AS cls, round(CAST(CAST(cx AS FLOAT) AS DOUBLE), 8) AS cx, round(CAST(CAST(h AS FLOAT) AS DOUBLE), 8) AS h FROM gt")
+def gt_valid_targets(spark, d):
+    v = gts.valid_targets(gts.padded(b.samples(spark, d), b.gt(spark, d)))
+    return tidy(v.select("sample_id", "gt_idx", "cls", "cx", "h"))
+
+
 @query(f"WITH {_CAT}, {_ANN} SELECT name AS class_name, count(*) AS n FROM ann JOIN cat USING (category_id) GROUP BY 1")
 def category_join(spark, d):
     v = samples.with_valid_class(b.annotations(spark, d), samples.categories(spark))
@@ -184,6 +190,14 @@ def pred_topk(spark, d):
     return tidy(b.top(spark, d).select("sample_id", "pred_idx", "query_idx", "label", "score", "x1", "y2"))
 
 
+@query(f"WITH {_SAMPLES}, {_ANN}, {_PRED} SELECT t.sample_id, pred_idx, label, round(CAST(score AS DOUBLE), 4) AS score FROM top t JOIN smp USING (sample_id)")
+def pred_unpacked(spark, d):
+    p = preds.packed(b.samples(spark, d), b.top(spark, d))
+    batches = p.groupBy((F.col("sample_id") % 1024).alias("batch"), F.floor(F.col("sample_id") / 16_384).alias("part")).agg(F.collect_list(F.struct("sample_id", "packed")).alias("items"))
+    rows = preds.unpacked(batches.select(F.col("items.sample_id").alias("sample_ids"), F.col("items.packed").alias("packed")))
+    return tidy(rows.select("sample_id", "pred_idx", "label", "score"), 4)
+
+
 @query(f"WITH {_SAMPLES}, {_ANN}, {_PRED} SELECT s.sample_id, coalesce(n, 0) AS n, best FROM smp s LEFT JOIN (SELECT sample_id, CAST(count(*) AS INTEGER) AS n, round(max(score), 4) AS best FROM top GROUP BY 1) USING (sample_id)")
 def pred_packed(spark, d):
     p = preds.packed(b.samples(spark, d), b.top(spark, d))
@@ -447,6 +461,33 @@ def frame_randomize(spark, d):
     return randomize.frame_draws(f)
 
 
+@query()
+def material_randomize(spark, d):
+    f = b.read(spark, d, "orders").select((F.col("o_orderkey") % 5).alias("run"), F.col("o_orderkey").alias("frame"))
+    return randomize.material_draws(f, ["/a.jpg", "/b.jpg", "/c.jpg"])
+
+
+_FOCAL = "20.955 / (2 * tan(radians({}::DOUBLE) / 2))"
+
+
+@query(f"""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'tilt' ELSE 'look_at' END AS aim,
+  round(CASE event_id % 4 WHEN 0 THEN 18.0 WHEN 3 THEN NULL ELSE {_FOCAL.format(90)} END, 8) AS focal_min, round(CASE event_id % 4 WHEN 0 THEN 50.0 WHEN 3 THEN NULL ELSE {_FOCAL.format('(event_id % 50 + 40)')} END, 8) AS focal_max,
+  CASE event_type WHEN 'click' THEN '/root/a,/root/b' WHEN 'view' THEN '/root/c' ELSE '' END AS pool FROM events""")
+def generation_modes(spark, d):
+    text = F.when(F.col("event_type") == "click", "warehouse").when(F.col("event_type") == "view", "additional").otherwise("None")
+    e = b.read(spark, d, "events").withColumn("distractors", text)
+    number = lambda c, k: F.when(c, F.lit(k).cast("double"))
+    lens, view = F.col("event_id") % 4 == 0, F.col("event_id") % 4 < 3
+    camera = F.struct(
+        number(F.col("event_id") % 3 == 0, -80).alias("camera_tilt_min"), number(lens, 18).alias("focal_length_min"), number(lens, 50).alias("focal_length_max"),
+        F.when(view, (F.col("event_id") % 50 + 40).cast("double")).alias("fov_min"), number(view, 90).alias("fov_max"),
+    )
+    pools = F.struct(F.array(F.lit("/a"), F.lit("/b")).alias("assets")).alias("distractors_warehouse"), F.struct(F.array(F.lit("/c")).alias("assets")).alias("distractors_additional")
+    config = F.parse_json(F.to_json(F.struct(F.struct("distractors").alias("run"), camera.alias("camera"), *pools)))
+    m = randomize.generation_modes(e.select("event_id", config.alias("config")), "/root")
+    return tidy(m.select("event_id", "aim", "focal_min", "focal_max", F.array_join("distractor_pool", ",").alias("pool")))
+
+
 @query()
 def hash_split(spark, d):
     return randomize.hash_split(b.samples(spark, d), "sample_id").select("sample_id", "fold", "shard")
