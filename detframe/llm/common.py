@@ -78,6 +78,25 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key with a HEAVY-th of all rows is heavy; so there are at most 1 / HEAVY heavy ones.
+HEAVY, MANY_KEYS = 1e-3, 100_000
+
+
+def with_totals(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """df with the sum of value over the rows of equal key, nulls together. df is read three times at most.
+
+    Heavy keys (a bounded number) are broadcast; only the rows of the others are shuffled, and only if these are many.
+    """
+    totals = df.groupBy(F.col(key).alias("__key")).agg(F.sum(value).alias(name), F.count(F.lit(1)).alias("__n"))
+    totals = materialize(totals, "totals")
+    least = HEAVY * (totals.agg(F.sum("__n")).first()[0] or 0)
+    heavy = F.broadcast(totals.where(F.col("__n") >= least).drop("__n"))
+    light = totals.where(F.col("__n") < least).drop("__n")
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    out = df.join(heavy, same)
+    return out.drop("__key") if light.isEmpty() else out.unionByName(df.join(heavy, same, "left_anti").join(small(light, MANY_KEYS), same)).drop("__key")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 8 MB at most, from now on in this session.
 
