@@ -25,9 +25,11 @@ def _keys(d: DataFrame) -> list[str]:
     return ["sample_id", "head"] if "head" in d.columns else ["sample_id"]
 
 
-def num_boxes(samples: DataFrame, gt: DataFrame, groups: int = 1, world: int = 1) -> DataFrame:
+def num_boxes(samples: DataFrame, gt: DataFrame, groups: int = 1, world: int = 1, by: str = "sample_id") -> DataFrame:
+    """Boxes of each value of `by` (a column of samples) over the number of workers, at least one, times the groups."""
     n = gt.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    return samples.select("sample_id").join(n, "sample_id", "left").select("sample_id", F.greatest(F.coalesce("n", F.lit(0)) * groups / world, F.lit(1.0)).alias("num_boxes"))
+    each = samples.select("sample_id", *({by} - {"sample_id"})).join(n, "sample_id", "left")
+    return each.groupBy(by).agg((F.greatest(F.coalesce(F.sum("n"), F.lit(0)) / world, F.lit(1.0)) * groups).alias("num_boxes"))
 
 
 def matched_pairs(queries: DataFrame, gt: DataFrame, matches: DataFrame) -> DataFrame:
@@ -76,8 +78,8 @@ LOSSES = {
 }
 
 
-def criterion(samples: DataFrame, queries: DataFrame, gt: DataFrame, matches: DataFrame, losses=("vfl", "boxes"), weights=WEIGHTS, groups: int = 1, alpha: float = ALPHA, gamma: float = GAMMA, box_weight: str | None = None) -> DataFrame:
-    """Weighted components and their total for each sample (and head); an unknown loss is a KeyError."""
+def component_sums(samples: DataFrame, queries: DataFrame, gt: DataFrame, matches: DataFrame, losses=("vfl", "boxes"), alpha: float = ALPHA, gamma: float = GAMMA, box_weight: str | None = None) -> DataFrame:
+    """The components' sums for each sample (and head), neither weighted nor divided; an unknown loss is a KeyError."""
     if box_weight not in (None, "iou", "giou"):
         raise AttributeError(f"no box weight {box_weight!r}")
     chosen = [LOSSES[name] for name in losses]
@@ -86,12 +88,34 @@ def criterion(samples: DataFrame, queries: DataFrame, gt: DataFrame, matches: Da
     out = samples.select("sample_id").join(queries.select(*k).distinct(), "sample_id")
     for f in chosen:
         out = out.join(f(queries, pairs, alpha, gamma, box_weight), k, "left")
-    out = out.join(num_boxes(samples, gt, groups), "sample_id")
-    parts = [c for c in out.columns if c.startswith("loss_") and c in weights]
-    out = out.select(*k, *[(F.coalesce(c, F.lit(0.0)) / F.col("num_boxes") * weights[c]).alias(c) for c in parts])
+    return out.select(*k, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in out.columns if c.startswith("loss_")])
+
+
+def _weighted(sums: DataFrame, keys: list[str], weights: dict) -> DataFrame:
+    parts = [c for c in sums.columns if c.startswith("loss_") and c in weights]
+    out = sums.select(*keys, *[(F.col(c) / F.col("num_boxes") * weights[c]).alias(c) for c in parts])
     return out.withColumn("total", sum((F.col(c) for c in parts), F.lit(0.0)))
 
 
+def criterion(samples: DataFrame, queries: DataFrame, gt: DataFrame, matches: DataFrame, losses=("vfl", "boxes"), weights=WEIGHTS, groups: int = 1, **options) -> DataFrame:
+    """Weighted components and their total for each sample (and head), as of batches of one; options as of component_sums."""
+    sums = component_sums(samples, queries, gt, matches, losses, **options)
+    return _weighted(sums.join(num_boxes(samples, gt, groups), "sample_id"), _keys(queries), weights)
+
+
+def batch_criterion(samples: DataFrame, queries: DataFrame, gt: DataFrame, matches: DataFrame, losses=("vfl", "boxes"), weights=WEIGHTS, groups: int = 1, world: int = 1, **options) -> DataFrame:
+    """step, worker (, head), weighted components and total, as training on `world` workers sees them.
+
+    samples: sample_id, step, worker. A worker's sums over its batch of a step are divided by the mean number of boxes
+    of a worker in that step, at least one; so a batch without boxes still divides by what the others have. Sums and
+    counts are added up by step before they meet.
+    """
+    keys = ["step", "worker", *_keys(queries)[1:]]
+    sums = component_sums(samples, queries, gt, matches, losses, **options).join(samples.select("sample_id", "step", "worker"), "sample_id")
+    sums = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums.columns if c.startswith("loss_")])
+    return _weighted(sums.join(num_boxes(samples, gt, groups, world, "step"), "step"), keys, weights)
+
+
 def class_agnostic(gt: DataFrame) -> DataFrame:
     """Ground truth for class-agnostic encoder losses; matching still uses the original classes."""
     return gt.withColumn("cls", F.lit(0))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import boxes, scalars
 from ..operators import configs, images, losses, matching, metrics, overlay, pairs, preds, profile, randomize, samples
 from ..operators import gt as gts
-from ..sources import kitti
+from ..sources import coco, kitti, records
+from ..sources.trials import read_trials
+from ..storage import scratch
 from . import binding as b
 
 QUERIES: dict = {}
@@ -295,6 +297,16 @@ def loss_total(spark, d):
     return tidy(losses.criterion(*_vectors(spark, d)))
 
 
+@query(f"""WITH {_VEC}, st AS (SELECT vec_id AS sample_id, vec_id // 8 AS step, CAST(vec_id % 2 AS INTEGER) AS worker FROM embeddings), bn AS (SELECT step, greatest(count(*) / 2.0::DOUBLE, 1) AS bn FROM g JOIN st USING (sample_id) GROUP BY 1)
+SELECT step, worker, round(sum(vfl) / bn, 8) AS loss_vfl, round(5 * sum(bbox) / bn, 8) AS loss_bbox, round(2 * sum(giou) / bn, 8) AS loss_giou, round((sum(vfl) + 5 * sum(bbox) + 2 * sum(giou)) / bn, 8) AS total
+FROM ls JOIN bx USING (sample_id) JOIN st USING (sample_id) JOIN bn USING (step) GROUP BY step, worker, bn""")
+def loss_batches(spark, d):
+    """Batches of four samples on two workers a step."""
+    s, q, g, m = _vectors(spark, d)
+    s = s.withColumns({"step": F.floor(F.col("sample_id") / 8), "worker": (F.col("sample_id") % 2).cast("int")})
+    return tidy(losses.batch_criterion(s, q, g, m, world=2))
+
+
 @query(f"WITH {_VEC} SELECT nb.sample_id, CAST(qi AS INTEGER) AS query_idx, CAST(qi % n AS INTEGER) AS gt_idx FROM (SELECT sample_id, count(*) AS n FROM g GROUP BY 1) nb, (SELECT unnest(range(7)) AS qi) WHERE qi < n * 3")
 def dn_match(spark, d):
     g = b.vector_gt(spark, d)
@@ -402,6 +414,46 @@ def synth_metadata_flat(spark, d):
     return tidy(m.select("sample_id", "synth_run_number", "synth_experiment", "synth_distractors", "synth_fov_min", "synth_render_width", "synth_jpeg_quality_min", "synth_materials_roughness_min", "synth_texture_2", "synth_texture_25", "synth_palletjack_color_randomized", "synth_num_warehouse_distractors"))
 
 
+# ---- from files --------------------------------------------------------------------------------------------------
+
+#: Bytes of a range and rows of a document: small, so that documents are split on small tables, too.
+_RANGE, _DOCUMENT_ROWS = 1 << 20, 200_000
+
+
+@query(ORACLES["gt_normalized"])
+def gt_from_documents(spark, d):
+    """Annotation documents are written, split by byte ranges and read back to ground truth."""
+    s, a = b.samples(spark, d), b.annotations(spark, d)
+    folder = scratch(spark, "documents")
+    images = s.select(F.col("sample_id").alias("image_id"), "path", "width", "height")
+    coco.write_coco(images, a.select(F.col("sample_id").alias("image_id"), "ann_pos", "category_id", F.array("x", "y", "w", "h").alias("bbox")), folder, 1 + a.count() // _DOCUMENT_ROWS)
+    i, n = coco.read_coco_ranges(spark, f"{folder}/*.json", _RANGE)
+    n = coco.box_columns(n.withColumnRenamed("image_id", "sample_id"))
+    return tidy(gts.ground_truth(i.withColumnRenamed("image_id", "sample_id"), n, samples.categories(spark)))
+
+
+@query(f"WITH {_ANN} SELECT sample_id, CAST(i - 1 AS INTEGER) AS pos, n, cls[i] AS category_id, round(x[i], 4) AS x, round(y[i], 4) AS y FROM (SELECT sample_id, count(*) AS n, list(category_id ORDER BY ann_pos) AS cls, list(x ORDER BY ann_pos) AS x, list(y ORDER BY ann_pos) AS y, unnest(range(1, count(*) + 1)) AS i FROM ann GROUP BY 1)")
+def record_shards(spark, d):
+    """A record for each sample, in shards of two folds, read back with their checksums."""
+    a, folder = b.annotations(spark, d), scratch(spark, "shards")
+    rows = a.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("ann_pos", "category_id", "x", "y"))).alias("a"), F.count(F.lit(1)).alias("n"))
+    rows = rows.select("sample_id", "n", F.col("a.category_id").alias("category_id"), F.col("a.x").alias("x"), F.col("a.y").alias("y"))
+    records.write_shards(randomize.hash_split(rows, "sample_id"), folder, ["sample_id"], 10)
+    back = records.read_shards(spark, folder, "sample_id long, n long, category_id array<int>, x array<float>, y array<float>")
+    z = back.select("sample_id", "n", F.posexplode(F.arrays_zip("category_id", "x", "y")).alias("pos", "z"))
+    return tidy(z.select("sample_id", "pos", "n", "z.category_id", "z.x", "z.y"), 4)
+
+
+@query(ORACLES["trial_configs"])
+def trial_configs_from_csv(spark, d):
+    """The trial table goes through a CSV file, and a header that isn't in the order of its use."""
+    folder = scratch(spark, "trials")
+    t = b.trials(spark, d)
+    t.select(*[f"`{c}`" for c in reversed(t.columns)]).write.option("header", True).option("emptyValue", "").csv(folder)
+    c = configs.trial_configs(read_trials(spark, folder), "../sdg_config.yaml")
+    return c.select("distribution_id", "config.run.num_frames", "config.run.distractors", F.col("config.camera.camera_height_min").alias("height_min"), "config.camera.fov_max", F.col("config.camera.motion_blur_strength_max").alias("blur_max"), "config.materials.roughness_min", "config.lighting.intensity_std")
+
+
 # ---- labels, runs, generation ----------------------------------------------------------------------------------
 
 
@@ -439,9 +491,9 @@ def _synth_frames(spark, d) -> DataFrame:
     return e.select(F.col("event_id").cast("string").alias("sample_id"), F.lit("additional").alias("state"), F.concat(F.lit("palletjack_run_"), (F.col("user_id") % 12).cast("string")).alias("run_dir"), F.col("event_type").alias("experiment"), F.col("event_id").alias("frame"), (F.col("user_id") % 12).alias("run_number"))
 
 
-@query("SELECT sample_id, position FROM (SELECT sample_id, row_number() OVER (ORDER BY run_number, run_dir, event_id) - 1 AS position FROM (SELECT *, row_number() OVER (ORDER BY run_dir, event_type, event_id) AS r FROM (SELECT CAST(event_id AS VARCHAR) AS sample_id, event_id, event_type, user_id % 12 AS run_number, 'palletjack_run_' || CAST(user_id % 12 AS VARCHAR) AS run_dir FROM events WHERE event_type = 'click')) WHERE r <= 500)")
+@query("SELECT sample_id, position FROM (SELECT sample_id, row_number() OVER (ORDER BY run_number, run_dir, event_type, event_id) - 1 AS position FROM (SELECT *, row_number() OVER (ORDER BY run_dir, event_type, event_id) AS r FROM (SELECT CAST(event_id AS VARCHAR) AS sample_id, event_id, event_type, user_id % 12 AS run_number, 'palletjack_run_' || CAST(user_id % 12 AS VARCHAR) AS run_dir FROM events)) WHERE r <= 500)")
 def synth_order(spark, d):
-    return samples.ordered_synth(_synth_frames(spark, d).where("experiment = 'click'"), num_samples=500).select("sample_id", F.col("position").cast("long").alias("position"))
+    return samples.ordered_synth(_synth_frames(spark, d), num_samples=500).select("sample_id", F.col("position").cast("long").alias("position"))
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS sample_id, row_number() OVER (ORDER BY user_id % 12, 'palletjack_run_' || CAST(user_id % 12 AS VARCHAR), event_type, event_id) - 1 AS position FROM events")

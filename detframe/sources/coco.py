@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
+
+from .json_ranges import SPLIT_BYTES, array_records, plan
+from .staged import StagedWriter, inside
 
 #: Only what is read; other keys are skipped by the parser.
 SCHEMA = "images array<struct<id:bigint,path:string,width:int,height:int>>, annotations array<struct<image_id:bigint,category_id:int,bbox:array<double>>>"
@@ -12,8 +16,7 @@ SCHEMA = "images array<struct<id:bigint,path:string,width:int,height:int>>, anno
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """images(image_id, image_pos, path, width, height) and annotations(image_id, ann_pos, category_id, bbox).
 
-    ann_pos keeps the file's order. A document is one JSON value and can't be split: land the two tables as
-    Parquet once (land) and read those.
+    ann_pos keeps the file's order. One task parses a whole document; read_coco_ranges splits it.
     """
     doc = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
     images = doc.select(F.posexplode("images").alias("image_pos", "i")).select(F.col("i.id").alias("image_id"), "image_pos", "i.path", "i.width", "i.height")
@@ -21,6 +24,73 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return images, anns
 
 
+def read_coco_ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """What read_coco gives, each document read by a task for every split_bytes of it; several documents by a pattern."""
+    ranges = plan(spark, path, split_bytes)
+    image, ann = (t.removeprefix(f"{n} array<")[:-1] for n, t in zip(("images", "annotations"), SCHEMA.split(", "), strict=True))
+    i = array_records(spark, ranges, "images").withColumn("i", F.from_json("record", image))
+    a = array_records(spark, ranges, "annotations").withColumn("a", F.from_json("record", ann))
+    images = i.select(F.col("i.id").alias("image_id"), F.col("pos").alias("image_pos"), "i.path", "i.width", "i.height")
+    return images, a.select("a.image_id", F.col("pos").alias("ann_pos"), "a.category_id", "a.bbox")
+
+
+class DocumentWriter(StagedWriter):
+    """Rows (file, section, record), sorted by file and section: one document a file, written as rows come."""
+
+    def stage(self, iterator, fs, folder):
+        path = section = out = None
+        files, done = 0, []
+
+        def close() -> None:
+            if out:
+                rest = "".join(f', "{s}": []' for s in SECTIONS if s not in done)
+                out.write(f"]{rest}}}".encode())
+                out.close()
+
+        for batch in iterator:
+            for file, of, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != path:
+                    close()
+                    path, section, files = file, None, files + 1
+                    out, done = fs.open_output_stream(f"{folder}/{inside(file)}"), []
+                if of != section:
+                    out.write(f'{"], " if done else "{"}"{of}": ['.encode())
+                    section = of
+                    done.append(of)
+                    out.write(record.encode())
+                else:
+                    out.write(b",\n" + record.encode())
+        close()
+        return files
+
+
+class Documents(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "annotation_documents"
+
+    def writer(self, schema, overwrite: bool) -> DocumentWriter:
+        return DocumentWriter(self.options["path"])
+
+
+SECTIONS = ("annotations", "images")
+
+
+def write_coco(images: DataFrame, annotations: DataFrame, folder: str, documents: int = 1) -> None:
+    """images(image_id, path, width, height) and annotations(image_id, ann_pos, category_id, bbox) as <n>.json.
+
+    An image and its annotations, in order of image_id and ann_pos, go to one document, by a hash of the id. Each document is streamed by
+    one task; all appear when the job has ended well.
+    """
+    spark = images.sparkSession
+    spark.dataSource.register(Documents)
+    file = F.format_string("%05d.json", F.pmod(F.xxhash64("image_id"), F.lit(documents)))
+    i = images.select(file.alias("file"), F.lit("images").alias("section"), "image_id", F.lit(0).cast("long").alias("at"), F.to_json(F.struct(F.col("image_id").alias("id"), "path", "width", "height")).alias("record"))
+    a = annotations.select(file.alias("file"), F.lit("annotations").alias("section"), "image_id", F.col("ann_pos").cast("long").alias("at"), F.to_json(F.struct("image_id", "category_id", "bbox")).alias("record"))
+    rows = i.unionByName(a).repartition(min(documents, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file").sortWithinPartitions("file", "section", "image_id", "at")
+    rows.select("file", "section", "record").write.format("annotation_documents").mode("append").option("path", folder).save()
+
+
 def land(images: DataFrame, annotations: DataFrame, folder: str) -> None:
     images.write.mode("overwrite").parquet(f"{folder}/images")
     annotations.write.mode("overwrite").parquet(f"{folder}/annotations")

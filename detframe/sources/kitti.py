@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dir_number
+from ..storage import listed
+from .listing import lines, texts_below
+from .staged import write_files
 
 #: Fixed value: the one class of generated labels and its category.
 CLASS_MAP = {"palletjack": 11}
@@ -38,23 +41,13 @@ WIDTH, HEIGHT = 960, 544
 def write_labels(boxes: DataFrame, folder: str) -> None:
     """boxes(run_number, experiment, frame, line): the text file that read_labels reads, one a frame.
 
-    Lines of a frame stand in the order of ann_pos, if there is such a column, else of the text. Files are written
-    by the executors through the store's own driver.
+    Lines of a frame stand in the order of ann_pos, if there is such a column, else of the text. All files appear when
+    the job has ended well, none if it fails (see staged).
     """
     order = F.col("ann_pos") if "ann_pos" in boxes.columns else F.lit(0)
     files = boxes.groupBy("run_number", "experiment", "frame").agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "line"))).alias("lines"))
-
-    def write(rows):
-        import pyarrow.fs as pafs
-
-        fs, root = pafs.FileSystem.from_uri(folder)
-        for r in rows:
-            d = f"{root}/{RUN_PREFIX}{r['run_number']}/{r['experiment']}/{LABELS}"
-            fs.create_dir(d, recursive=True)
-            with fs.open_output_stream(f"{d}/{r['frame']}.txt") as f:
-                f.write("".join(x["line"] + "\n" for x in r["lines"]).encode())
-
-    files.foreachPartition(write)
+    name = F.concat(F.lit(RUN_PREFIX), F.col("run_number").cast("string"), F.lit("/"), "experiment", F.lit(f"/{LABELS}/"), F.col("frame").cast("string"), F.lit(".txt"))
+    write_files(files.select(name.alias("path"), F.array_join(F.transform("lines", lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("content")), folder)
 
 
 def run_dirs(paths: DataFrame) -> DataFrame:
@@ -71,31 +64,17 @@ def _yaml_to_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: json.dumps(yaml.safe_load(t) or {}, default=str))
 
 
-def _found(spark: SparkSession, pattern: str, folders: bool = False) -> list[str]:
-    """Paths that a pattern matches, in any store that Spark reads; none where its folder is absent."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(f.getPath().toString() for f in found if not folders or f.isDirectory())
-
-
 def run_folders(spark: SparkSession, base: str) -> DataFrame:
     """run_dir, run_number of every run folder, with or without configurations."""
-    dirs = spark.createDataFrame([(d.rsplit("/", 1)[1],) for d in _found(spark, f"{base}/{RUN_PREFIX}*", folders=True)], "run_dir string")
+    dirs = spark.createDataFrame([(d.rsplit("/", 1)[1],) for d, _ in listed(spark, f"{base}/{RUN_PREFIX}*", folders=True)], "run_dir string")
     return dirs.withColumn("run_number", dir_number(F.col("run_dir")))
 
 
-def _read_texts(spark: SparkSession, pattern: str, whole: bool) -> DataFrame:
-    """path, value; no rows where nothing matches."""
-    if not _found(spark, pattern):
-        return spark.createDataFrame([], "path string, value string")
-    return spark.read.text(pattern, wholetext=whole).select(F.col("_metadata.file_path").alias("path"), "value")
-
-
 def read_run_configs(spark: SparkSession, base: str) -> DataFrame:
     """run_dir, experiment, run_number, config (JSON text): an experiment without run_config.yaml has no row."""
-    raw = _read_texts(spark, f"{base}/{RUN_PREFIX}*/*/run_config.yaml", True)
-    part = lambda i: F.regexp_extract("path", r"(palletjack_run_[^/]*)/([^/]+)/run_config\.yaml$", i)
-    return raw.select(part(1).alias("run_dir"), part(2).alias("experiment"), dir_number(part(1)).alias("run_number"), F.pandas_udf(_yaml_to_json, "string")("value").alias("config"))
+    raw = texts_below(spark, f"{base}/{RUN_PREFIX}*", "*/run_config.yaml")
+    run, experiment = F.regexp_extract("folder", r"([^/]+)/?$", 1), F.regexp_extract("path", r"^([^/]+)/", 1)
+    return raw.select(run.alias("run_dir"), experiment.alias("experiment"), dir_number(run).alias("run_number"), F.pandas_udf(_yaml_to_json, "string")("value").alias("config"))
 
 
 def frames(runs: DataFrame) -> DataFrame:
@@ -105,10 +84,14 @@ def frames(runs: DataFrame) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, base: str) -> DataFrame:
-    raw = _read_texts(spark, f"{base}/{RUN_PREFIX}*/*/{LABELS}/*.txt", False)
-    part = lambda i: F.regexp_extract("path", r"(palletjack_run_[^/]*)/([^/]+)/Camera/object_detection/([0-9]+)\.txt$", i)
-    lines = raw.select(part(1).alias("run_dir"), part(2).alias("experiment"), part(3).try_cast("int").alias("frame"), "value")
-    return parse_labels(lines.where("frame IS NOT NULL"))
+    """run_dir, experiment, frame, ann_pos (the line's number in its file) and what parse_labels gives.
+
+    Executors list the run folders and read their files in packs, so the driver never holds a list of label files.
+    """
+    raw = lines(texts_below(spark, f"{base}/{RUN_PREFIX}*", f"*/{LABELS}/*.txt"))
+    run, experiment = F.regexp_extract("folder", r"([^/]+)/?$", 1), F.regexp_extract("path", r"^([^/]+)/", 1)
+    frame = F.regexp_extract("path", r"/([0-9]+)\.txt$", 1).try_cast("int")
+    return parse_labels(raw.select(run.alias("run_dir"), experiment.alias("experiment"), frame.alias("frame"), F.col("line").cast("long").alias("ann_pos"), "value").where("frame IS NOT NULL"))
 
 
 def read_synth(spark: SparkSession, base: str | None, runs: list[int] | None = None, wanted: bool = True, base_config: dict | None = None) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +105,7 @@ def read_synth(spark: SparkSession, base: str | None, runs: list[int] | None = N
     from ..operators.configs import deep_merge
     from ..operators.samples import require_runs, sample_id
 
-    there = bool(wanted and base and _found(spark, base, folders=True))
+    there = bool(wanted and base and listed(spark, base, folders=True))
     configs = read_run_configs(spark, base if there else "/nowhere-at-all")
     if there and runs is not None:
         configs = configs.join(F.broadcast(require_runs(run_folders(spark, base), runs).select("run_dir")), "run_dir")
@@ -135,5 +118,5 @@ def read_synth(spark: SparkSession, base: str | None, runs: list[int] | None = N
         at("$.render.width", WIDTH).alias("width"), at("$.render.height", HEIGHT).alias("height"), F.lit("synth").alias("subset"), F.lit("additional").alias("state"),
         F.col("config").alias("run_config"), "run_number", "run_dir", "experiment", "frame",
     )
-    labels = read_labels(spark, base if there else "/nowhere-at-all").withColumn("ann_pos", F.monotonically_increasing_id())
+    labels = read_labels(spark, base if there else "/nowhere-at-all")
     return f, labels.join(f.select("run_dir", "experiment", "frame", "sample_id"), ["run_dir", "experiment", "frame"])

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staged import write_files
+
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, by name; an empty field is an empty text and `None` a word."""
@@ -14,24 +17,16 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
     return d.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in d.columns])
 
 
-def write_configs(configs: DataFrame, folder: str) -> None:
-    """configs(distribution_id, config struct): <id>.yaml each, keys in the struct's order, overwriting.
-
-    Files are written by the executors through the store's own driver.
-    """
+def _to_yaml(texts: pd.Series) -> pd.Series:
+    import yaml
 
-    def write(rows):
-        import pyarrow.fs as pafs
-        import yaml
+    return texts.map(lambda t: yaml.dump(json.loads(t), sort_keys=False, default_flow_style=False))
 
-        fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
-        for r in rows:
-            text = yaml.dump(json.loads(r["config"]), sort_keys=False, default_flow_style=False)
-            with fs.open_output_stream(f"{root}/{r['distribution_id']}.yaml") as f:
-                f.write(text.encode())
 
-    configs.select("distribution_id", F.to_json("config").alias("config")).foreachPartition(write)
+def write_configs(configs: DataFrame, folder: str) -> None:
+    """configs(distribution_id, config struct): <id>.yaml each, keys in the struct's order, overwriting; all appear or none."""
+    text = F.pandas_udf(_to_yaml, "string")(F.to_json("config"))
+    write_files(configs.select(F.concat(F.col("distribution_id"), F.lit(".yaml")).alias("path"), text.alias("content")), folder)
 
 
 def with_provenance(configs: DataFrame, config_file: str, commit: str | None, timestamp: str) -> DataFrame:
