@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import connected_components, materialize, release_memory, shuffle_partitions, small, small_batches, table, text_pieces, utf8
 
@@ -229,6 +230,7 @@ def _scan_sets(shingle: int, heavy_share: float):
     def run(batches):
         hasher, uid = Hasher(), TaskContext.get().partitionId() << 40
         docs, seen, held, tokens, counts = 0, set(), [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        kind = pa.int64()
 
         def merge(held, tokens, counts, docs):
             u, c = np.unique(np.concatenate(held), return_counts=True) if held else (tokens[:0], counts[:0])
@@ -240,6 +242,7 @@ def _scan_sets(shingle: int, heavy_share: float):
 
         waiting = 0
         for batch in batches:
+            kind = batch.schema.field(0).type
             for piece in text_pieces(batch, 1):
                 sets = hasher.sets(piece.column(1), shingle)
                 names = [set_name(s) for s in sets]
@@ -263,7 +266,7 @@ def _scan_sets(shingle: int, heavy_share: float):
             tokens, counts = merge(held, tokens, counts, docs)
             frequent = counts >= max(3, heavy_share * docs)
             n = int(frequent.sum())
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.array(counts[frequent]), pa.array(tokens[frequent].view(np.int64))], ["uid", "doc_id", "hi", "lo", "n", "heavy"])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in (pa.int64(), kind, pa.int64(), pa.int64())), pa.array(counts[frequent]), pa.array(tokens[frequent].view(np.int64))], ["uid", "doc_id", "hi", "lo", "n", "heavy"])
 
     return run
 
@@ -689,10 +692,12 @@ def _split_large(rows: DataFrame, percent: int, max_sets: int, max_tokens: int):
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, region_sets: int = REGION_SETS, region_tokens: int = REGION_TOKENS) -> DataFrame:
-    """uid, doc_id, n_shingles, component_id of every row (uid: a number of the row)."""
+    """uid, doc_id, n_shingles, component_id of every row (uid: a number of the row). Whole numbers as ids become longs; any other ordered type stays."""
     spark = docs.sparkSession
     small_batches(spark)
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan_sets(shingle, HEAVY), "uid long, doc_id long, hi long, lo long, n long, heavy long")
+    doc_id = F.col("doc_id").cast("long").alias("doc_id") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.col("doc_id")
+    given = docs.select(doc_id, "text")
+    scanned = given.mapInArrow(_scan_sets(shingle, HEAVY), f"uid long, doc_id {given.schema['doc_id'].dataType.simpleString()}, hi long, lo long, n long, heavy long")
     scanned = materialize(scanned, "jaccard-sets")
     rows = scanned.where("uid IS NOT NULL").drop("heavy")
     n_rows = rows.count()

@@ -10,9 +10,10 @@ the count matrix with the trigram vectors.
 Texts are lower-cased; all that is no letter is one blank; trigrams are taken around each letter, so that a
 text of one letter has one.
 
-Training reads at most about `per_language` documents of each language, chosen by a hash of the id, and of at most
-MAX_LANGUAGES languages: those with the most documents, equal ones in code-point order. So a column `lang` full
-of stray values can't grow the prototypes that every task holds.
+Training reads the `per_language` documents of each language whose hash of id and text is least (all, if there are
+fewer), so that one id with many rows neither fills the draw nor empties it, and of at most MAX_LANGUAGES languages:
+those with the most documents, equal ones in code-point order. So a column `lang` full of stray values can't grow the
+prototypes that every task holds.
 
 Defined results: `und` and 0.0 where the text is null or has no letter, or where nothing could be learned; a
 tie goes to the first language in code-point order; a null id is never learned from and not held out;
@@ -23,15 +24,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release_memory, small_batches, table, text_pieces, utf8
+from .common import materialize, release_memory, small_batches, table, text_pieces, utf8
 
 DIMENSIONS, SEED, PER_LANGUAGE = 1024, 20_011, 2_000
 #: Bound of the prototypes, 8 KB each.
 MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
+MARGIN = 4
 #: Letters counted at once, and documents.
 BLOCK, ROWS = 1 << 20, 256
 #: Limits of the pipeline, see plausible: a cosine of unrelated texts has the standard deviation 1 / sqrt(DIMENSIONS).
@@ -163,12 +165,25 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], dim
 
 
 def _drawn(known: DataFrame, per_language: int, seed: int, languages: int | None = None) -> DataFrame | None:
-    """About per_language rows of each of the most frequent languages, chosen by a hash of the id; None if there is none."""
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages or MAX_LANGUAGES).collect()
+    """The per_language rows with the least hash of each of the most frequent languages; None if there is none.
+
+    Rows beyond MARGIN times the wanted share go before anything is shuffled. Where that leaves a language short (equal
+    rows share a hash, so few texts may hold most rows), it is drawn without that limit.
+    """
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages or MAX_LANGUAGES).collect()}
     if not counts:
         return None
-    chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
-    return known.where((F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) / 1e6) < F.element_at(chance, F.col("lang")))
+    by_language = lambda values: F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id", "text"))
+
+    def least(limits: dict) -> DataFrame:
+        rows = known.select("doc_id", "text", "lang", (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)).alias("at")).where(F.col("at") < by_language(limits))
+        return materialize(rows.withColumn("rank", rank).where(F.col("rank") <= per_language).select("text", "lang"), "language-drawn")
+
+    drawn = least({k: min(1.0, MARGIN * per_language / n) for k, n in counts.items()})
+    got = {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().collect()}
+    short = {k: 1.0 for k, n in counts.items() if got.get(k, 0) < min(n, per_language)}
+    return drawn.where(~F.col("lang").isin(*short)).unionByName(least(short)) if short else drawn
 
 
 def alphabet(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = SEED) -> str:

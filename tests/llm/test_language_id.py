@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
-from detframe.llm.language_id import DIMENSIONS, SEED, _bundles, identify, letter_vectors, op2_language_id, prototypes, with_folds
+from detframe.llm.language_id import DIMENSIONS, SEED, _bundles, _drawn, identify, letter_vectors, op2_language_id, prototypes, with_folds
 
 from ..conftest import DATA
 
@@ -48,6 +48,24 @@ def test_learned_languages_are_bounded(spark, monkeypatch):
     assert language_id.alphabet(docs) == "".join(sorted(set("somewordsoftext")))
 
 
+def test_one_hot_id_neither_fills_nor_empties_the_draw(spark):
+    """A language whose rows all have one id, one whose rows are all equal, and a plain one."""
+    hot = [(7, f"zażółć gęślą jaźń {i}", "pl") for i in range(4000)]
+    equal = [(8, "le chat et le chien", "fr")] * 3000
+    plain = [(100 + i, f"the dog and the cat number {i}", "en") for i in range(500)]
+    docs = spark.createDataFrame(hot + equal + plain, "doc_id long, text string, lang string").selectExpr("*", "true AS learn")
+    for seed in range(3):
+        drawn = _drawn(docs.where("learn"), 200, seed)
+        assert {r.lang: r["count"] for r in drawn.groupBy("lang").count().collect()} == {"pl": 200, "fr": 200, "en": 200}
+        keyed = {x: sorted(r.text for r in drawn.where(f"lang = '{x}'").collect()) for x in ("pl", "en")}
+        least = lambda x: docs.where(f"lang = '{x}'").selectExpr("text", f"pmod(xxhash64({seed}, doc_id, text), 1073741824) AS h").orderBy("h").limit(200)
+        assert all(keyed[x] == sorted(r.text for r in least(x).collect()) for x in keyed)
+    model = prototypes(docs, 200)
+    found = identify(docs, model, ["doc_id", "lang"])
+    assert sorted(model) == ["en", "fr", "pl"] and found.where("lang <> lang_pred").count() == 0
+    assert _drawn(docs.limit(0), 200, 1) is None
+
+
 def test_accuracy_on_held_out(spark):
     r = op2_language_id(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert r.count() > 20 and r.where("lang = lang_pred").count() / r.count() > 0.97
