@@ -18,6 +18,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE, PERCENT = 5, 80
 
 
+def row_hash(part: int, *columns):
+    """One of the 64-bit halves of a row's key."""
+    return F.xxhash64(F.lit(part), *columns)
+
+
+def row_key(*columns):
+    """128 bits for a row: ids may be null, and one id may have several texts."""
+    return F.struct(row_hash(1, *columns).alias("a"), row_hash(2, *columns).alias("b"))
+
+
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labels name: no `und`, and a cosine or letters beyond chance.
 
@@ -31,9 +41,9 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: of the smallest doc_id, nulls last; documents without words stay, of equal rows one.
 
-    Rows go by a hash of id and text: ids may be null, and one id may have several texts.
+    Rows go by the key of id and text.
     """
-    key = F.xxhash64("doc_id", "text")
+    key = row_key("doc_id", "text")
     found = jaccard_components(docs.select(key.alias("doc_id"), "text"), shingle=SHINGLE, percent=PERCENT)
     found = materialize(found.select(F.col("doc_id").alias("key"), "component_id"), "near-duplicates")
     others = found.where("component_id <> key").distinct()
@@ -49,10 +59,10 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean_of_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark.
 
-    Rows go by a hash of id and text, and equal rows have one verdict. Null and wordless texts stay, so do all
+    Rows go by the key of id and text, and equal rows have one verdict. Null and wordless texts stay, so do all
     documents under an empty benchmark; of one id's texts each is judged by itself.
     """
-    key = F.xxhash64("doc_id", "text")
+    key = row_key("doc_id", "text")
     judged = decontaminate(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = materialize(judged.where("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "clean-bad")
     return docs.withColumn("__key", key).join(bad, "__key", "left_anti").drop("__key")
@@ -66,7 +76,7 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     null ids are documents of their own; equal slots go by lap and a hash.
     """
     columns, key = docs.columns, ("__a", "__b")
-    docs = docs.withColumns({k: F.xxhash64(F.lit(k), "doc_id", "source", "text") for k in key})  # 128 bits in all
+    docs = docs.withColumns({k: row_hash(i, "doc_id", "source", "text") for i, k in enumerate(key, 1)})
     taken = materialize(passes(docs, key), "mixed-passes")
     slots = (taken.agg(F.max("slot")).first()[0] or 0) + 1
     # Equal rows are as good as one row with the passes of all.
