@@ -95,6 +95,21 @@ def test_near_duplicates_go_by_row(spark, docs_of):
     assert next(r.text for r in got if r.doc_id is None) in (text("a"), text("a") + " tail")
 
 
+def test_rows_that_share_half_a_key_stay_apart(spark, tmp_path, docs_of, monkeypatch):
+    """As if all 64-bit hashes of one half collided: no row goes with another one."""
+    from pyspark.sql import functions as F
+
+    text = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("b")), (3, text("c")), (4, text("a") + " tail"), (5, "item words one two three"), (None, text("d"))]
+    spark.createDataFrame([(1, "item words one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    real = cp.row_hash
+    for dead in (1, 2):
+        monkeypatch.setattr(cp, "row_hash", lambda part, *c, dead=dead: F.lit(0).cast("long") if part == dead else real(part, *c))
+        left = cp.near_duplicates(spark, docs_of(rows).select(*cp.COLUMNS), "")
+        assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "3", "5", "None"]
+        assert sorted(str(r.doc_id) for r in cp.clean_of_benchmark(spark, left, str(tmp_path)).collect()) == ["1", "2", "3", "None"]
+
+
 def test_one_long_document_is_taken_to_the_word(spark, docs_of):
     d = docs_of([(1, "long " * 4000)], source="a").unionByName(docs_of([(i, "w " * 50) for i in range(10, 17)], source="b")).select(*cp.COLUMNS)
     took = {}
