@@ -13,46 +13,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cluster_boxes(pred: DataFrame, eps: float = 0.15, least: float = 0.05, min_height: float = 0.0) -> DataFrame:
-    """pred(sample_id, label, x1..y2, score) -> sample_id, label, cluster, n, score, x1, y1, x2, y2."""
+EPS, LEAST = 0.15, 0.05
+#: Names and types of a cluster, after its sample.
+CLUSTER = "label int, cluster int, n int, score double, x1 double, y1 double, x2 double, y2 double"
+
 
-    def clusters(rows: list) -> list[tuple]:
-        rows = sorted(rows, key=lambda r: (-r["score"], r["query_idx"]))
-        out = []
-        for label in sorted({r["label"] for r in rows}):
-            g = [r for r in rows if r["label"] == label]
-            b = np.array([[r[c] for c in ("x1", "y1", "x2", "y2")] for r in g], float)
-            s = np.array([r["score"] for r in g], float)
-            iw = np.clip(np.minimum(b[:, None, 2], b[None, :, 2]) - np.maximum(b[:, None, 0], b[None, :, 0]), 0, None)
-            ih = np.clip(np.minimum(b[:, None, 3], b[None, :, 3]) - np.maximum(b[:, None, 1], b[None, :, 1]), 0, None)
-            area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-            near = 1 - iw * ih / np.maximum(area[:, None] + area[None, :] - iw * ih, 1e-6) <= eps
-            core = (near * s).sum(1) >= least
-            member = np.full(len(b), -1)
-            for i in np.flatnonzero(core):
-                if member[i] < 0:
-                    member[i], stack = i, [i]
-                    while stack:
-                        for j in np.flatnonzero(near[stack.pop()] & core & (member < 0)):
-                            member[j] = i
-                            stack.append(j)
-            for i in np.flatnonzero(~core):
-                if (c := np.flatnonzero(near[i] & core)).size:
-                    member[i] = member[c[s[c].argmax()]]
-            for n, c in enumerate(c for c in np.unique(member) if c >= 0):
-                m = member == c
-                box = (b[m] * s[m, None]).sum(0) / s[m].sum()
-                if box[3] - box[1] >= min_height:
-                    out.append((int(label), n, int(m.sum()), float(s[m].max()), *box.tolist()))
-        return out
+def clusters(rows: list, eps: float = EPS, least: float = LEAST, min_height: float = 0.0) -> list[tuple]:
+    """CLUSTER's values of one sample's rows (query_idx, label, x1, y1, x2, y2, score)."""
+    rows = sorted(rows, key=lambda r: (-r["score"], r["query_idx"]))
+    out = []
+    for label in sorted({r["label"] for r in rows}):
+        g = [r for r in rows if r["label"] == label]
+        b = np.array([[r[c] for c in ("x1", "y1", "x2", "y2")] for r in g], float)
+        s = np.array([r["score"] for r in g], float)
+        iw = np.clip(np.minimum(b[:, None, 2], b[None, :, 2]) - np.maximum(b[:, None, 0], b[None, :, 0]), 0, None)
+        ih = np.clip(np.minimum(b[:, None, 3], b[None, :, 3]) - np.maximum(b[:, None, 1], b[None, :, 1]), 0, None)
+        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+        near = 1 - iw * ih / np.maximum(area[:, None] + area[None, :] - iw * ih, 1e-6) <= eps
+        core = (near * s).sum(1) >= least
+        member = np.full(len(b), -1)
+        for i in np.flatnonzero(core):
+            if member[i] < 0:
+                member[i], stack = i, [i]
+                while stack:
+                    for j in np.flatnonzero(near[stack.pop()] & core & (member < 0)):
+                        member[j] = i
+                        stack.append(j)
+        for i in np.flatnonzero(~core):
+            if (c := np.flatnonzero(near[i] & core)).size:
+                member[i] = member[c[s[c].argmax()]]
+        for n, c in enumerate(c for c in np.unique(member) if c >= 0):
+            m = member == c
+            box = (b[m] * s[m, None]).sum(0) / s[m].sum()
+            if box[3] - box[1] >= min_height:
+                out.append((int(label), n, int(m.sum()), float(s[m].max()), *box.tolist()))
+    return out
 
+
+def cluster_boxes(pred: DataFrame, eps: float = EPS, least: float = LEAST, min_height: float = 0.0) -> DataFrame:
+    """pred(sample_id, label, x1..y2, score) -> sample_id, label, cluster, n, score, x1, y1, x2, y2."""
     names = ["sample_id", "label", "cluster", "n", "score", "x1", "y1", "x2", "y2"]
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([(sid, *c) for sid, rows in zip(pdf["sample_id"], pdf["rows"], strict=True) for c in clusters(list(rows))], columns=names)
+            yield pd.DataFrame([(sid, *c) for sid, rows in zip(pdf["sample_id"], pdf["rows"], strict=True) for c in clusters(list(rows), eps, least, min_height)], columns=names)
 
     kind = pred.schema["sample_id"].dataType.simpleString()
     # A sample holds a bounded number of predictions; many samples share an Arrow batch.
     nested = pred.groupBy("sample_id").agg(F.collect_list(F.struct("query_idx", "label", "x1", "y1", "x2", "y2", "score")).alias("rows"))
-    return nested.mapInPandas(run, f"sample_id {kind}, label int, cluster int, n int, score double, x1 double, y1 double, x2 double, y2 double")
+    return nested.mapInPandas(run, f"sample_id {kind}, {CLUSTER}")

@@ -70,7 +70,7 @@ def confusion_elements(samples: DataFrame, gt: DataFrame, pred: DataFrame, thres
     A detected prediction counts under the class of its best ground truth. Samples without ground truth give
     one `Unknown` and one `background` element and leave their predictions out.
     """
-    d = samples.select("sample_id").join(per_sample(gt, pred), "sample_id", "left")
+    d = per_sample(gt, pred, spine=samples)
     kind = "array<struct<kind:string,cls:int,name:string,polarity:string,confidence:double>>"
     element = lambda kind, cls, name, polarity, confidence: F.struct(F.lit(kind), cls.cast("int"), F.lit(name), polarity, confidence)
     near = lambda a, b: overlap(a, b) & (iou_of(a, b) > threshold)

@@ -26,16 +26,18 @@ def pairs(gt: DataFrame, pred: DataFrame, size: int = SIZE, prune: bool = True,
     return both.select("sample_id", "gt_idx", "pred_idx", "gt_cls", "pred_label", "score", *out)
 
 
-def per_sample(gt: DataFrame, pred: DataFrame, size: int = SIZE) -> DataFrame:
+def per_sample(gt: DataFrame, pred: DataFrame, size: int = SIZE, spine: DataFrame | None = None) -> DataFrame:
     """(sample_id, gts, preds): both sides of a sample as arrays in index order, null where a side is empty.
 
+    spine: the samples to have a row for, else those with either side.
+
     The caps of ground truth and predictions bound a row. What follows reads each pair inside its row, so that
     one exchange a side is all that several results of the same pairs need.
     """
     corners = lambda xs: [c.alias(n) for c, n in zip(xs, ("x1", "y1", "x2", "y2"), strict=True)]
     g = gt.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("gt_idx", "cls", *corners(cxcywh_to_xyxy("cx", "cy", "w", "h"))))).alias("gts"))
     p = pred.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pred_idx", "label", F.col("score").cast("double").alias("score"), *corners([F.col(c) / size for c in ("x1", "y1", "x2", "y2")])))).alias("preds"))
-    return g.join(p, "sample_id", "full")
+    return g.join(p, "sample_id", "full") if spine is None else spine.select("sample_id").join(g, "sample_id", "left").join(p, "sample_id", "left")
 
 
 def overlap(a, b):

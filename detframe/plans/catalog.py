@@ -8,23 +8,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import evaluation, sql
 from ..functions import boxes, scalars
 from ..operators import configs, images, losses, matching, metrics, overlay, pairs, preds, profile, randomize, samples
 from ..operators import gt as gts
 from ..sources import coco, kitti, records
 from ..sources.trials import read_trials
-from ..storage import scratch
+from ..storage import scratch, written
+from ..streaming import assembly, frames
 from . import binding as b
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        if oracle:
+            ORACLES[f.__name__] = oracle
         return f
 
     return register
@@ -414,6 +416,94 @@ def synth_metadata_flat(spark, d):
     return tidy(m.select("sample_id", "synth_run_number", "synth_experiment", "synth_distractors", "synth_fov_min", "synth_render_width", "synth_jpeg_quality_min", "synth_materials_roughness_min", "synth_texture_2", "synth_texture_25", "synth_palletjack_color_randomized", "synth_num_warehouse_distractors"))
 
 
+# ---- through SQL text -------------------------------------------------------------------------------------------
+
+
+def _views(spark, d) -> None:
+    sql.register(spark)
+    gt, top = b.gt(spark, d), b.top(spark, d)
+    gt.select("sample_id", "gt_idx", "cls", F.array("cx", "cy", "w", "h").alias("box")).createOrReplaceTempView("detframe_gt")
+    top.withColumn("box", F.array(*[F.col(c) / 640 for c in ("x1", "y1", "x2", "y2")])).createOrReplaceTempView("detframe_top")
+    b.queries(spark, d).withColumn("box", F.array("cx", "cy", "w", "h")).createOrReplaceTempView("detframe_queries")
+    b.vector_gt(spark, d).withColumn("box", F.array("cx", "cy", "w", "h")).createOrReplaceTempView("detframe_vector_gt")
+
+
+@query(ORACLES["giou_pairs"])
+def sql_giou_pairs(spark, d):
+    _views(spark, d)
+    return tidy(spark.sql("SELECT sample_id, gt_idx, pred_idx, iou_exact(xyxy(g.box), p.box) AS iou, giou(xyxy(g.box), p.box) AS giou FROM detframe_gt g JOIN detframe_top p USING (sample_id)"), 10)
+
+
+_SQL_COSTS = """SELECT sample_id, gt_idx, query_idx,
+  5 * l1(q.box, g.box) + 2 * focal_class_cost(sigmoid(get(logits, cls)), 0.25D, 2D) - 2 * giou(xyxy(q.box), xyxy(g.box)) AS cost
+FROM detframe_vector_gt g JOIN detframe_queries q USING (sample_id)"""
+
+
+@query(ORACLES["match_assign"])
+def sql_match_assign(spark, d):
+    _views(spark, d)
+    return tidy(spark.sql(f"WITH costs AS ({_SQL_COSTS}) SELECT sample_id, count(*) AS n, sum(cost) AS total_cost FROM match_boxes(TABLE(costs) PARTITION BY sample_id) GROUP BY sample_id"))
+
+
+@query(f"{_SCORED} SELECT sample_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT CASE WHEN iou >= 0.1 THEN gt_idx END) AS BIGINT) AS tp, round(sum(iou), 8) AS iou FROM scored WHERE rn = 1 GROUP BY 1")
+def sql_greedy_pairs(spark, d):
+    """The best ground truth of each prediction, from a table function; the true positives as of det_prf_iou."""
+    _views(spark, d)
+    return tidy(spark.sql("""
+        WITH pairs AS (SELECT sample_id, gt_idx, pred_idx, iou(xyxy(g.box), p.box) AS iou FROM detframe_gt g JOIN detframe_top p USING (sample_id))
+        SELECT sample_id, count(*) AS n, count(DISTINCT CASE WHEN iou >= 0.1 THEN gt_idx END) AS tp, sum(iou) AS iou FROM greedy_pairs(TABLE(pairs) PARTITION BY sample_id) GROUP BY sample_id"""))
+
+
+@query()
+def sql_box_clusters(spark, d):
+    _views(spark, d)
+    return spark.sql("SELECT * FROM cluster_boxes(TABLE(SELECT sample_id, query_idx, label, x1, y1, x2, y2, score FROM detframe_top) PARTITION BY sample_id)")
+
+
+# ---- all plug-ins in one plan -------------------------------------------------------------------------------------
+
+
+@query(f"""{_METRICS}{_CONFUSION.removeprefix(_SCORED)},
+ne AS (SELECT sample_id, CAST(count(*) AS INTEGER) AS n_elements, round(sum(confidence), 8) AS confidence FROM el GROUP BY 1),
+no AS (SELECT sample_id, count(*) AS n_objects FROM valid GROUP BY 1)
+SELECT sample_id, round(precision, 8) AS precision, round(recall, 8) AS recall, round(f1, 8) AS f1, tp, fp, fn, round(met.iou, 8) AS iou, round(met.accuracy, 8) AS accuracy, n_elements, confidence, coalesce(n_objects, 0) AS n_objects
+FROM met LEFT JOIN ne USING (sample_id) LEFT JOIN no USING (sample_id)""")
+def evaluate_plugins(spark, d):
+    """Metrics, confusion elements and metadata of each sample from one evaluation of the registry."""
+    sides = evaluation.Sides(b.samples(spark, d), b.annotations(spark, d), b.predictions(spark, d))
+    names = ("precision", "recall", "f1", "tp", "fp", "fn", "iou", "accuracy")
+    found = evaluation.evaluate(sides, [*(("metric", n) for n in names), ("metric", "Confusion Matrix"), ("metadata", "metadata")])
+    confidence = F.aggregate("Confusion Matrix", F.lit(0.0), lambda acc, e: acc + e["confidence"])
+    out = written(found.select("sample_id", *names, F.size("Confusion Matrix").alias("n_elements"), confidence.alias("confidence"), F.col("metadata.n_objects").alias("n_objects")), "evaluation")
+    sides.close()
+    return tidy(out)
+
+
+# ---- frames from a stream -----------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT 'palletjack_run_' || CAST(user_id % 12 AS VARCHAR) AS run_dir, event_type AS experiment, event_id, CAST(row_number() OVER (PARTITION BY user_id % 12, event_type ORDER BY event_id) - 1 AS INTEGER) AS frame FROM events)
+SELECT run_dir, experiment, frame, CAST(event_id % 3 AS INTEGER) AS n, CAST(CASE event_id % 3 WHEN 0 THEN 0 ELSE (event_id % 3) * (event_id % 600) + (event_id % 3) * (event_id % 3 - 1) / 2 END AS DOUBLE) AS x_sum FROM e""")
+def stream_frames(spark, d):
+    """Labels before and after their configurations, as a stream; frames come out whole."""
+    e = b.read(spark, d, "events").select("event_id", "event_type", (F.col("user_id") % 12).alias("run"))
+    e = e.select(F.concat(F.lit("palletjack_run_"), F.col("run").cast("string")).alias("run_dir"), F.col("event_type").alias("experiment"), "event_id", (F.row_number().over(Window.partitionBy("run", "event_type").orderBy("event_id")) - 1).alias("frame"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") % 1000)
+    config = F.concat(F.lit('{"run": {"num_frames": '), F.count(F.lit(1)).cast("string"), F.lit("}}"))
+    configs_ = e.groupBy("run_dir", "experiment").agg(config.alias("config")).withColumn("event_time", F.timestamp_seconds(F.lit(1_700_000_500)))
+    few = F.when(F.col("event_id") % 3 > 0, F.sequence(F.lit(0), (F.col("event_id") % 3 - 1).cast("int")))
+    labels = e.withColumn("ann_pos", F.explode(few)).select("run_dir", "experiment", "frame", "ann_pos", F.lit(11).alias("category_id"), (F.col("event_id") % 600 + F.col("ann_pos")).cast("double").alias("x"), *[F.lit(1.0).alias(c) for c in "ywh"], at.alias("event_time"))
+    folder, target = scratch(spark, "arrivals"), scratch(spark, "assembled")
+    end = spark.range(1).select(F.lit("end").alias("run_dir"), F.lit("").alias("experiment"), F.lit(0).alias("frame"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("event_time"), *[F.lit(0).alias(c) for c in assembly.LABEL])
+    early = F.col("frame") % 2 == 0
+    nothing = configs_.limit(0)
+    for part in (assembly.events(nothing, labels.where(early)), assembly.events(configs_, labels.where(~early)), assembly.events(nothing, end)):
+        part.write.mode("append").parquet(folder)
+    frames.run_available(assembly.assembled(frames.stream_events(spark, folder, assembly.EVENT)), target, scratch(spark, "assembly"))
+    x = F.aggregate("annotations", F.lit(0.0), lambda acc, a: acc + a["x"])
+    return spark.read.parquet(target).select("run_dir", "experiment", "frame", F.size("annotations").alias("n"), x.alias("x_sum"))
+
+
 # ---- from files --------------------------------------------------------------------------------------------------
 
 #: Bytes of a range and rows of a document: small, so that documents are split on small tables, too.

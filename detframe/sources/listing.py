@@ -85,7 +85,9 @@ def read_texts(files: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["folder", "path", "value"])
 
-    return files.select("folder", "path", "pack").repartition("folder", "pack").select("folder", "path").mapInArrow(read, "folder string, path string, value string")
+    # A number of its own: paths are small, and few tasks would take them all otherwise.
+    packs = files.select("folder", "pack").distinct().count()
+    return files.select("folder", "path", "pack").repartition(max(1, packs), "folder", "pack").select("folder", "path").mapInArrow(read, "folder string, path string, value string")
 
 
 def texts_below(spark: SparkSession, pattern: str, below: str) -> DataFrame:

@@ -190,6 +190,7 @@ def test_tasks_list_and_pack(spark, tmp_path, monkeypatch):
     assert seen == [f"{tmp_path}/palletjack_run_*"]  # the driver lists run folders and nothing below
     assert len(rows) == 2 * 2 * 30 * 2 and {r.ann_pos for r in rows} == {0, 3}
     assert {(r.frame, r.x) for r in rows if r.ann_pos == 0} == {(f, float(f)) for f in range(30)} and {r.x for r in rows if r.ann_pos == 3 and r.run_dir.endswith("2")} == {2.0}
+    assert kitti.read_labels(spark, str(tmp_path)).rdd.getNumPartitions() == 2 * 9
     files = listing.small_files(spark, [f"{tmp_path}/palletjack_run_1"], f"*/{kitti.LABELS}/*.txt")
     assert files.groupBy("pack").count().where("count > 7").count() == 0 and files.count() == 60
     assert listing.small_files(spark, [], "*").count() == 0 == listing.texts_below(spark, f"{tmp_path}/nothing*", "*").count()
