@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from .common import HEAVY, materialize, small, table
 
 #: Headers of a 304 that replace those of the stored response (RFC 9110, 15.4.5), in lower case.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -43,22 +43,33 @@ def _reached(cuts: str, value: str, size: int):
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= F.col(value), at + step).otherwise(at))
 
 
-def as_of_points(bases: DataFrame, asked: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def _in_chunks(points: DataFrame, counts: DataFrame, sent, chunk: int) -> DataFrame:
+    """points with their chunk: the points of each key in counts are cut at quantiles of their times. sent: how counts and cuts travel."""
+    most = counts.agg(F.max("n")).first()[0]
+    if not most:
+        return points.withColumn("chunk", F.lit(0))
+    # As many cuts as the busiest key needs; each key's row has all of them.
+    k = min(10_000, -(-most // chunk) + 1)
+    hot = points.join(sent(counts.select("key")), "key", "left_semi")
+    busy = hot.groupBy("key").agg(F.percentile_approx("ts", [i / k for i in range(1, k)], 100 * k).alias("cuts"))
+    return points.join(sent(materialize(busy, "as-of-cuts")), "key", "left").withColumn("chunk", _reached("cuts", "ts", k)).drop("cuts")
+
+
+def as_of_points(bases: DataFrame, asked: DataFrame, chunk: int = CHUNK, many: int = 1000) -> DataFrame:
     """key, ts of `asked`, with the value of the latest earlier row of bases (key, ts, value); one row a point."""
     points = bases.groupBy("key", "ts").agg(F.max("value").alias("value")).withColumn("want", F.lit(0))
     asked = asked.select("key", "ts").distinct().select("key", "ts", F.lit(None).cast(bases.schema["value"].dataType).alias("value"), F.lit(1).alias("want"))
     points = points.unionByName(asked).groupBy("key", "ts").agg(F.max("value").alias("value"), F.max("want").alias("want"))
     points = materialize(points, "as-of-points")
-    counts = points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
-    most = counts.agg(F.max("n")).first()[0]
-    if most:
-        # As many cuts as the busiest key needs; a hot key's row has all of them.
-        k = min(10_000, -(-most // chunk) + 1)
-        hot = points.join(small(counts.select("key"), 1000), "key", "left_semi")
-        busy = hot.groupBy("key").agg(F.percentile_approx("ts", [i / k for i in range(1, k)], 100 * k).alias("cuts"))
-        points = points.join(small(busy, 1000), "key", "left").withColumn("chunk", _reached("cuts", "ts", k)).drop("cuts")
-    else:
-        points = points.withColumn("chunk", F.lit(0))
+    counts = points.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts.where(F.col("n") > chunk), "as-of-hot")
+    # Keys with a thousandth of all points are few, whatever the table, and always broadcast. Of the others none fills a
+    # task, so their points may meet their cuts by a shuffle, should they be many.
+    least = HEAVY * points.count()
+    heavy = F.broadcast(counts.where(F.col("n") >= least).select("key"))
+    medium = counts.where(F.col("n") < least)
+    parts = _in_chunks(points.join(heavy, "key", "left_semi"), counts.where(F.col("n") >= least), F.broadcast, chunk)
+    points = parts.unionByName(_in_chunks(points.join(heavy, "key", "left_anti"), medium, lambda d: small(d, many), chunk))
     by_key = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     ends = points.where(F.col("value").isNotNull()).groupBy("key", "chunk").agg(F.max_by("value", "ts").alias("end"))
     every = points.select("key", "chunk").distinct().join(ends, ["key", "chunk"], "left")

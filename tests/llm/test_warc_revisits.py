@@ -15,14 +15,19 @@ def test_canonical(spark):
     assert {r.u: r.c for r in d.select("u", canonical_url(F.col("u")).alias("c")).collect()} == cases
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 100_000])
-def test_as_of_equals_brute_force(spark, chunk):
+@pytest.mark.parametrize("chunk,heavy,many", [(1, 1e-3, 1000), (7, 0.3, 1), (2, 0.3, 1), (3, 2.0, 1), (100_000, 1e-3, 1000)])
+def test_as_of_equals_brute_force(spark, monkeypatch, chunk, heavy, many):
+    """Also with hot keys that are broadcast, and with more of the others than may be."""
     import random
 
+    from detframe.llm import warc_revisits
+
+    monkeypatch.setattr(warc_revisits, "HEAVY", heavy)
+
     r = random.Random(1)
     bases = [(r.choice("hhhhhab"), r.randrange(60), i) for i in range(150)]
     asked = [(r.choice("hhhhhabc"), r.randrange(70)) for _ in range(150)]
-    got = as_of_points(spark.createDataFrame(bases, "key string, ts long, value long"), spark.createDataFrame(asked, "key string, ts long"), chunk)
+    got = as_of_points(spark.createDataFrame(bases, "key string, ts long, value long"), spark.createDataFrame(asked, "key string, ts long"), chunk, many)
     want = {(k, t): max(((bt, v) for bk, bt, v in bases if bk == k and bt < t), default=(None, None))[1] for k, t in asked}
     assert {(x.key, x.ts): x.value for x in got.collect()} == want
 
