@@ -32,14 +32,17 @@ def num_boxes(samples: DataFrame, gt: DataFrame, groups: int = 1, world: int = 1
     return each.groupBy(by).agg((F.greatest(F.coalesce(F.sum("n"), F.lit(0)) / world, F.lit(1.0)) * groups).alias("num_boxes"))
 
 
-def matched_pairs(queries: DataFrame, gt: DataFrame, matches: DataFrame) -> DataFrame:
-    """Matched query and ground-truth boxes with their unclamped IoU and GIoU: pairs only, no matrix."""
+def matched_pairs(queries: DataFrame, gt: DataFrame, matches: DataFrame, check: bool = True) -> DataFrame:
+    """Matched query and ground-truth boxes with their unclamped IoU and GIoU: pairs only, no matrix.
+
+    check: boxes with a negative side are an error.
+    """
     k = _keys(queries)
     q = queries.select(*k, "query_idx", *[F.col(c).alias("q" + c) for c in BOX])
     m = matches.select(*[c for c in k if c in matches.columns], "query_idx", "gt_idx").join(gt, ["sample_id", "gt_idx"]).join(q, [*[c for c in k if c in matches.columns], "query_idx"])
     a, b = [F.col("q" + c) for c in BOX], [F.col(c) for c in BOX]
     corners = cxcywh_to_xyxy(*a), cxcywh_to_xyxy(*b)
-    return m.select(*k, "query_idx", "gt_idx", "cls", iou(*corners, clamp=None).alias("iou"), giou(*corners).alias("giou"), l1(a, b).alias("l1"))
+    return m.select(*k, "query_idx", "gt_idx", "cls", iou(*corners, clamp=None).alias("iou"), giou(*corners, check).alias("giou"), l1(a, b).alias("l1"))
 
 
 def _cells(queries: DataFrame, pairs: DataFrame, value: str = "iou") -> DataFrame:

@@ -14,17 +14,18 @@ from ..functions.scalars import focal_class_cost, sigmoid, softmax_at
 COST_CLASS, COST_BOX, COST_GIOU = 2.0, 5.0, 2.0
 
 
-def match_costs(queries: DataFrame, gt: DataFrame, focal: bool = True, alpha: float = 0.25, gamma: float = 2.0, costs: tuple = (COST_CLASS, COST_BOX, COST_GIOU)) -> DataFrame:
+def match_costs(queries: DataFrame, gt: DataFrame, focal: bool = True, alpha: float = 0.25, gamma: float = 2.0, costs: tuple = (COST_CLASS, COST_BOX, COST_GIOU), check: bool = True) -> DataFrame:
     """(sample_id, gt_idx, query_idx, cost_class, cost_box, cost_giou, cost) of every pair of a sample.
 
-    queries: sample_id, query_idx, logits (array), cx, cy, w, h. Every pair counts, so nothing is pruned.
+    queries: sample_id, query_idx, logits (array), cx, cy, w, h. Every pair counts, so nothing is pruned. check: boxes
+    with a negative side are an error.
     """
     q = queries.select("sample_id", "query_idx", "logits", *[F.col(c).alias("q" + c) for c in ("cx", "cy", "w", "h")])
     both = gt.join(q, "sample_id")
     p = sigmoid(F.get("logits", F.col("cls").cast("int")).cast("double"))
     by_class = focal_class_cost(p, alpha, gamma) if focal else -softmax_at(F.col("logits"), F.col("cls").cast("int"))
     a, b = [F.col("q" + c) for c in ("cx", "cy", "w", "h")], [F.col(c) for c in ("cx", "cy", "w", "h")]
-    both = both.select("sample_id", "gt_idx", "query_idx", by_class.alias("cost_class"), l1(a, b).alias("cost_box"), (-giou(cxcywh_to_xyxy(*a), cxcywh_to_xyxy(*b))).alias("cost_giou"))
+    both = both.select("sample_id", "gt_idx", "query_idx", by_class.alias("cost_class"), l1(a, b).alias("cost_box"), (-giou(cxcywh_to_xyxy(*a), cxcywh_to_xyxy(*b), check)).alias("cost_giou"))
     by_class, by_box, by_giou = costs
     return both.withColumn("cost", by_box * F.col("cost_box") + by_class * F.col("cost_class") + by_giou * F.col("cost_giou"))
 

@@ -103,14 +103,19 @@ def latest_by_id(samples: DataFrame, order: str) -> DataFrame:
     return samples.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+#: Runs that an error message names at most.
+SHOWN = 10_000
+
+
 def require_runs(available: DataFrame, desired: list[int]) -> DataFrame:
     """The wanted runs; a missing one is an error that names desired, available and missing runs."""
     runs = available.select("run_number").where(F.col("run_number").isNotNull()).distinct()
     found = {r[0] for r in runs.where(F.col("run_number").isin(*desired)).collect()}  # no more than are wanted
     missing = sorted(set(desired) - found)
     if missing:
-        have = [r[0] for r in runs.orderBy("run_number").limit(10_000).collect()]
-        raise ValueError(f"runs not found: desired {sorted(desired)}, available {have}, missing {missing}")
+        have = [r[0] for r in runs.orderBy("run_number").limit(SHOWN + 1).collect()]
+        more = " and more" if len(have) > SHOWN else ""
+        raise ValueError(f"runs not found: desired {sorted(desired)}, available {have[:SHOWN]}{more}, missing {missing}")
     return available.where(F.col("run_number").isin(*desired))
 
 

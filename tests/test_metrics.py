@@ -154,3 +154,29 @@ def test_box_weights(spark):
     assert got["iou"].loss_vfl == pytest.approx(got[None].loss_vfl) == pytest.approx(got["giou"].loss_vfl)
     with pytest.raises(AttributeError):
         losses.criterion(q.select("sample_id").distinct(), q, g, m, box_weight="other")
+
+
+def test_swapped_corners_are_an_error(spark):
+    q = spark.createDataFrame([(1, 0, [0.1] * 5, 0.5, 0.5, -0.2, 0.2)], "sample_id long, query_idx int, logits array<double>, cx double, cy double, w double, h double")
+    g = spark.createDataFrame([(1, 0, 1, 0.5, 0.5, 0.2, 0.2)], "sample_id long, gt_idx int, cls int, cx double, cy double, w double, h double")
+    m = spark.createDataFrame([(1, 0, 0)], "sample_id long, gt_idx int, query_idx int")
+    for made in (lambda check: matching.match_costs(q, g, check=check), lambda check: losses.matched_pairs(q, g, m, check)):
+        with pytest.raises(Exception, match="corners out of order"):
+            made(True).collect()
+        assert made(False).count() == 1
+
+
+def test_batches_divide_by_the_boxes_of_all_workers(spark):
+    """Two workers and two steps; a worker without boxes; denoising groups."""
+    q = spark.createDataFrame([(i, 0, [0.3, -0.2], 0.5, 0.5, 0.2 + i / 100, 0.2) for i in range(6)], "sample_id long, query_idx int, logits array<double>, cx double, cy double, w double, h double")
+    g = spark.createDataFrame([(i, k, 1, 0.5, 0.5, 0.2, 0.2) for i, n in ((0, 3), (1, 2), (4, 1)) for k in range(n)], "sample_id long, gt_idx int, cls int, cx double, cy double, w double, h double")
+    m = spark.createDataFrame([(0, 0, 0), (1, 1, 0), (4, 0, 0)], "sample_id long, gt_idx int, query_idx int")
+    s = spark.createDataFrame([(0, 0, 0), (1, 0, 0), (2, 0, 1), (3, 1, 0), (4, 1, 1), (5, 1, 1)], "sample_id long, step int, worker int")
+    sums = {r.sample_id: r for r in losses.component_sums(s, q, g, m).collect()}
+    for groups in (1, 3):
+        got = {(r.step, r.worker): r for r in losses.batch_criterion(s, q, g, m, world=2, groups=groups).collect()}
+        for (step, worker), boxes in {(0, 0): 2.5, (0, 1): 2.5, (1, 0): 1.0, (1, 1): 1.0}.items():
+            own = [sums[r.sample_id] for r in s.collect() if (r.step, r.worker) == (step, worker)]
+            assert got[step, worker].loss_bbox == pytest.approx(5 * sum(x.loss_bbox for x in own) / (boxes * groups))
+            assert got[step, worker].total == pytest.approx(sum(x.loss_vfl + 5 * x.loss_bbox + 2 * x.loss_giou for x in own) / (boxes * groups))
+    assert losses.criterion(s, q, g, m).count() == 6
