@@ -1,7 +1,9 @@
 """Image tensors and sharpness from Spark's image source (BGR bytes), as Arrow batch functions.
 
-Grey and bilinear resize follow the usual definitions (pixel centres, ITU-R 601 weights), without rounding to
-8 bits in between; a reader with fixed-point tables may differ in the last digit.
+By default in fixed-point arithmetic with 8-bit results after each step, as usual image libraries do it: bilinear weights
+are multiples of 1 / 2048, rounded half to even; the columns of a row are weighed first, then the rows, whose sums lose 4,
+then 16, then 2 bits; grey is a sum of 15-bit weights. `fixed=False` takes real numbers without rounding in between (pixel
+centres, ITU-R 601 weights).
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 640
+#: Bits of a bilinear weight, and weights of red, green and blue in 1 / 32768.
+WEIGHT_BITS, GREY, GREY_BITS = 11, (9798, 19235, 3735), 15
 
 
 def resize(img: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -29,10 +33,41 @@ def resize(img: np.ndarray, height: int, width: int) -> np.ndarray:
     return top * (1 - fy) + low * fy
 
 
-def to_chw(data: bytes, height: int, width: int, channels: int, size: int = SIZE) -> np.ndarray:
+def _taps(to: int, of: int, hold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The two source places of each target place and their integer weights; hold: beyond the border one place has all."""
+    at = ((np.arange(to) + 0.5) * (of / to) - 0.5).astype(np.float32)
+    low = np.floor(at).astype(int)
+    part = at - low.astype(np.float32)
+    if hold:
+        part = np.where((low < 0) | (low >= of - 1), np.float32(0), part)
+    one = np.float32(1 << WEIGHT_BITS)
+    return np.clip(low, 0, of - 1), np.clip(low + 1, 0, of - 1), np.rint((1 - part) * one).astype(np.int64), np.rint(part * one).astype(np.int64)
+
+
+def resize_fixed(img: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear of bytes (rows, columns, channels) in integers, not keeping the aspect; the same size gives the same bytes."""
+    h, w = img.shape[:2]
+    if (h, w) == (height, width):
+        return img.copy()
+    x0, x1, a0, a1 = _taps(width, w, True)
+    y0, y1, b0, b1 = _taps(height, h, False)
+    src = img.astype(np.int64)
+    rows = src[:, x0] * a0[None, :, None] + src[:, x1] * a1[None, :, None]
+    top, low = (rows[y0] >> 4) * b0[:, None, None], (rows[y1] >> 4) * b1[:, None, None]
+    return np.clip(((top >> 16) + (low >> 16) + 2) >> 2, 0, 255).astype(np.uint8)
+
+
+def grey_fixed(bgr: np.ndarray) -> np.ndarray:
+    """Bytes of grey from bytes of BGR."""
+    b, g, r = (bgr[..., i].astype(np.int64) for i in range(3))
+    return ((GREY[0] * r + GREY[1] * g + GREY[2] * b + (1 << (GREY_BITS - 1))) >> GREY_BITS).astype(np.uint8)
+
+
+def to_chw(data: bytes, height: int, width: int, channels: int, size: int = SIZE, fixed: bool = True) -> np.ndarray:
     """float32 RGB in [0, 1], channels first."""
-    img = np.frombuffer(data, np.uint8).reshape(height, width, channels)[..., :3].astype(np.float64)
-    return (resize(img, size, size)[..., ::-1].transpose(2, 0, 1) / 255).astype(np.float32)
+    img = np.frombuffer(data, np.uint8).reshape(height, width, channels)[..., :3]
+    sized = resize_fixed(img, size, size) if fixed else resize(img.astype(np.float64), size, size)
+    return (sized[..., ::-1].transpose(2, 0, 1) / (np.float32(255) if fixed else 255)).astype(np.float32)
 
 
 def laplacian_variance(grey: np.ndarray) -> float:
@@ -47,23 +82,26 @@ def to_uint8(x: np.ndarray) -> np.ndarray:
     return (np.clip(x, 0, 1) * 255).astype(np.uint8)
 
 
-def image_tensors(images: DataFrame, size: int = SIZE) -> DataFrame:
+def image_tensors(images: DataFrame, size: int = SIZE, fixed: bool = True) -> DataFrame:
     """images(sample_id, data, height, width, channels) -> tensor (bytes of float32, 3 x size x size)."""
 
     @F.pandas_udf("binary")
     def run(d: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([to_chw(*x, size=size).tobytes() for x in zip(d, h, w, c, strict=True)])
+        return pd.Series([to_chw(*x, size=size, fixed=fixed).tobytes() for x in zip(d, h, w, c, strict=True)])
 
     return images.select("sample_id", run("data", "height", "width", "channels").alias("tensor"))
 
 
-def sharpness(images: DataFrame, size: int = SIZE) -> DataFrame:
+def sharpness(images: DataFrame, size: int = SIZE, fixed: bool = True) -> DataFrame:
     """Population variance of the Laplacian of the grey, resized image."""
 
     @F.pandas_udf("double")
     def run(d: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.Series:
         def one(data, h, w, c):
-            r, g, b = to_chw(data, h, w, c, size).astype(np.float64) * 255
+            if fixed:
+                img = np.frombuffer(data, np.uint8).reshape(h, w, c)[..., :3]
+                return laplacian_variance(grey_fixed(resize_fixed(img, size, size)).astype(np.float64))
+            r, g, b = to_chw(data, h, w, c, size, False).astype(np.float64) * 255
             return laplacian_variance(0.299 * r + 0.587 * g + 0.114 * b)
 
         return pd.Series([one(*x) for x in zip(d, h, w, c, strict=True)])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import evaluation, sql
 from ..functions import boxes, scalars
-from ..operators import configs, images, losses, matching, metrics, overlay, pairs, preds, profile, randomize, samples
+from ..operators import augment, configs, images, losses, matching, metrics, overlay, pairs, preds, profile, randomize, samples
 from ..operators import gt as gts
 from ..sources import coco, kitti, records
 from ..sources.trials import read_trials
@@ -460,6 +460,31 @@ def sql_box_clusters(spark, d):
     return spark.sql("SELECT * FROM cluster_boxes(TABLE(SELECT sample_id, query_idx, label, x1, y1, x2, y2, score FROM detframe_top) PARTITION BY sample_id)")
 
 
+# ---- augmentation ------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_ANN}, dr AS (SELECT *, o_orderkey * 7919 % 1000 / 1000.0::DOUBLE AS u FROM orders, range(2) t(e)),
+p AS (SELECT o_orderkey AS sample_id, CAST(e AS INTEGER) AS epoch, (o_orderkey + e) % 2 = 0 AS mirrored, 0.5 + u AS zoom, 8 * u - 4 AS dx, 4 - 8 * u AS dy FROM dr),
+m AS (SELECT sample_id, epoch, ann_pos, zoom, w, h, mirrored, zoom * (x - 480) + 480 + p.dx AS l, zoom * (x + w - 480) + 480 + p.dx AS r, zoom * (y - 272) + 272 + p.dy AS t, zoom * (y + h - 272) + 272 + p.dy AS b FROM ann JOIN p USING (sample_id)),
+c AS (SELECT *, least(greatest(CASE WHEN mirrored THEN 960 - r ELSE l END, 0), 960) AS x1, least(greatest(CASE WHEN mirrored THEN 960 - l ELSE r END, 0), 960) AS x2, least(greatest(t, 0), 544) AS y1, least(greatest(b, 0), 544) AS y2 FROM m)
+SELECT sample_id, epoch, ann_pos, round(x1, 6) AS x, round(y1, 6) AS y, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h, round((x2 - x1) * (y2 - y1) / (zoom * zoom * w * h), 6) AS share FROM c
+WHERE x2 - x1 >= 20 AND y2 - y1 >= 20 AND (x2 - x1) * (y2 - y1) / (zoom * zoom * w * h) > 0.25""")
+def augmented_boxes(spark, d):
+    """Two epochs of maps by arithmetic of the key, where SQL can follow; augment.draws has the hashed ones."""
+    o = b.read(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
+    u = F.col("sample_id") * 7919 % 1000 / 1000.0
+    drawn = o.select("sample_id", "epoch", ((F.col("sample_id") + F.col("epoch")) % 2 == 0).alias("mirrored"), (0.5 + u).alias("zoom"), (8 * u - 4).alias("dx"), (4 - 8 * u).alias("dy"))
+    return tidy(augment.augment_boxes(b.annotations(spark, d).select("sample_id", "ann_pos", "x", "y", "w", "h"), drawn, 960, 544, min_share=0.25), 6)
+
+
+@query()
+def augmented_images(spark, d):
+    """The colours of one epoch drawn by hash, over all images."""
+    i = _vector_images(spark, d)
+    a = augment.augment_images(i, augment.draws(i.select("sample_id"), 1))
+    return a.select("sample_id", "epoch", F.sha2("data", 256).alias("sha256"))
+
+
 # ---- all plug-ins in one plan -------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,12 +75,56 @@ def test_tensors_and_sharpness_equal_loops(spark, shape):
     img = np.random.default_rng(2).integers(0, 256, shape, dtype=np.uint8)
     d = spark.createDataFrame([("a", bytearray(img.tobytes()), *shape)], "sample_id string, data binary, height int, width int, channels int")
     rgb = bilinear(img[..., :3], 7, 7)[..., ::-1]
-    got = np.frombuffer(images.image_tensors(d, 7).first().tensor, np.float32).reshape(3, 7, 7)
+    got = np.frombuffer(images.image_tensors(d, 7, fixed=False).first().tensor, np.float32).reshape(3, 7, 7)
     assert np.allclose(got, rgb.transpose(2, 0, 1) / 255, atol=1e-6)
     grey = rgb @ [0.299, 0.587, 0.114]
     at = lambda i, j: grey[abs(i) if i < 7 else 12 - i, abs(j) if j < 7 else 12 - j]
     lap = [at(i - 1, j) + at(i + 1, j) + at(i, j - 1) + at(i, j + 1) - 4 * at(i, j) for i in range(7) for j in range(7)]
-    assert images.sharpness(d, 7).first().sharpness == pytest.approx(np.var(lap), rel=1e-4, abs=1e-3)
+    assert images.sharpness(d, 7, fixed=False).first().sharpness == pytest.approx(np.var(lap), rel=1e-4, abs=1e-3)
+
+
+def half_even(x):
+    low = math.floor(x)
+    return low + (x - low > 0.5 or (x - low == 0.5 and low % 2 == 1))
+
+
+def bilinear_fixed(img, height, width):
+    """Byte by byte, with integers, and single precision where weights are made."""
+    h, w = len(img), len(img[0])
+    one = np.float32(1)
+
+    def taps(i, to, of, hold):
+        at = np.float32((i + 0.5) * (of / to) - 0.5)
+        low = math.floor(at)
+        part = np.float32(at - np.float32(low))
+        if hold and (low < 0 or low >= of - 1):
+            part = np.float32(0)
+        clip = lambda k: min(max(k, 0), of - 1)
+        return (clip(low), half_even(float((one - part) * np.float32(2048)))), (clip(low + 1), half_even(float(part * np.float32(2048))))
+
+    out = np.zeros((height, width, 3), np.uint8)
+    for i in range(height):
+        for j in range(width):
+            for c in range(3):
+                (y0, b0), (y1, b1) = taps(i, height, h, False)
+                row = lambda y: sum(int(img[y][x][c]) * a for x, a in taps(j, width, w, True))  # noqa: E731, B023
+                out[i, j, c] = min(max(((((row(y0) >> 4) * b0) >> 16) + (((row(y1) >> 4) * b1) >> 16) + 2) >> 2, 0), 255)
+    return out
+
+
+@pytest.mark.parametrize("shape", [(4, 6, 3), (9, 5, 4), (1, 1, 3), (7, 7, 3), (14, 21, 3)])
+def test_fixed_point_images_equal_loops_bit_for_bit(spark, shape):
+    img = np.random.default_rng(5).integers(0, 256, shape, dtype=np.uint8)
+    d = spark.createDataFrame([("a", bytearray(img.tobytes()), *shape)], "sample_id string, data binary, height int, width int, channels int")
+    sized = bilinear_fixed(img[..., :3], 7, 7)
+    assert shape != (7, 7, 3) or (sized == img).all()
+    got = np.frombuffer(images.image_tensors(d, 7).first().tensor, np.float32).reshape(3, 7, 7)
+    assert (got == sized[..., ::-1].transpose(2, 0, 1).astype(np.float32) / np.float32(255)).all()
+    grey = [[(9798 * int(p[2]) + 19235 * int(p[1]) + 3735 * int(p[0]) + 16384) >> 15 for p in line] for line in sized]
+    at = lambda i, j: grey[abs(i) if i < 7 else 12 - i][abs(j) if j < 7 else 12 - j]
+    lap = [at(i - 1, j) + at(i + 1, j) + at(i, j - 1) + at(i, j + 1) - 4 * at(i, j) for i in range(7) for j in range(7)]
+    assert images.sharpness(d, 7).first().sharpness == pytest.approx(np.var(lap), rel=1e-12, abs=1e-9)
+    assert abs(sized.astype(float) - bilinear(img[..., :3], 7, 7)).max() <= 1
 
 
 def test_images_are_read_from_files(spark, tmp_path):
