@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,11 @@ def merged_path(base: Column, override: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(override, path, "variant"), F.try_variant_get(base, path, "variant"))
 
 
+def layered_path(layers: list[Column], path: str) -> Column:
+    """One path of several configurations, the later over the earlier, as a variant; a layer that lacks it leaves it."""
+    return F.coalesce(*[F.try_variant_get(c, path, "variant") for c in reversed(layers)])
+
+
 def merge_objects(base, override):
     """Objects merge key by key; anything else in the override, null and lists included, replaces."""
     if isinstance(base, dict) and isinstance(override, dict):
@@ -63,8 +70,8 @@ def with_overrides(config: Column, overrides: Column) -> Column:
     return F.when(overrides.isNull(), config).otherwise(deep_merge(config, overrides))
 
 
-def _get(rc: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(rc, path, kind)
+def _get(layers: list[Column], path: str, kind: str) -> Column:
+    return F.try_variant_get(layers[0], path, kind) if len(layers) == 1 else F.try_variant_get(layered_path(layers, path), "$", kind)
 
 
 _NUMBERS = (
@@ -80,14 +87,14 @@ _NUMBERS = (
 )
 
 
-def synth_metadata(samples: DataFrame) -> DataFrame:
+def synth_metadata(samples: DataFrame, layers: tuple = ("run_config",)) -> DataFrame:
     """The 51 flat columns of a sample's run configuration.
 
-    samples: sample_id, run_config (variant), run_number, experiment, n_annotations. Real samples and empty
-    configurations get the sentinels (NaN, empty text). Null numbers give NaN.
+    samples: sample_id, the layers (variants; each lies over those before it, path by path), run_number, experiment,
+    n_annotations. Real samples and empty configurations get the sentinels (NaN, empty text). Null numbers give NaN.
     """
-    nan, rc = F.lit(float("nan")), F.col("run_config")
-    on = rc.isNotNull() & (F.coalesce(F.to_json(rc), F.lit("{}")) != "{}")
+    nan, rc = F.lit(float("nan")), [F.col(c) for c in layers]
+    on = reduce(or_, [c.isNotNull() & (F.coalesce(F.to_json(c), F.lit("{}")) != "{}") for c in rc])
     number = lambda c, default: F.when(on, F.coalesce(c, nan if default is None else F.lit(default))).otherwise(nan)
     text = lambda c: F.when(on, F.coalesce(c, F.lit(""))).otherwise("")
     textures = _get(rc, "$.materials.textures", "array<string>")

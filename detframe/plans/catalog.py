@@ -410,9 +410,11 @@ def data_type(spark, d):
 def synth_metadata_flat(spark, d):
     extra = '{"materials": {"textures": ["/t/a.jpg", "/t/b.jpg"]}, "palletjacks": {"color_max": [0, 0.5, 0]}, "distractors_warehouse": {"assets": ["x", "y", "y"]}}'
     o = b.overrides(spark, d)
-    rc = F.when(F.col("event_id") % 3 == 1, F.parse_json(configs.deep_merge(configs.deep_merge(F.lit(b.BASE_CONFIG), F.lit(extra)), F.col("override")))).when(F.col("event_id") % 3 == 2, F.parse_json(configs.deep_merge(configs.deep_merge(F.lit(b.BASE_CONFIG), F.col("override")), F.lit(extra))))
-    s = o.select(F.col("event_id").alias("sample_id"), rc.alias("run_config"), "run_number", "experiment", F.lit(1).alias("n_annotations"))
-    m = configs.synth_metadata(s)
+    on, late = F.col("event_id") % 3 > 0, F.col("event_id") % 3 == 2
+    base, extra, over = (F.when(on, F.parse_json(c)) for c in (F.lit(b.BASE_CONFIG), F.lit(extra), F.col("override")))
+    layers = base.alias("base"), F.when(late, over).otherwise(extra).alias("middle"), F.when(late, extra).otherwise(over).alias("top")
+    s = o.select(F.col("event_id").alias("sample_id"), *layers, "run_number", "experiment", F.lit(1).alias("n_annotations"))
+    m = configs.synth_metadata(s, ("base", "middle", "top"))
     return tidy(m.select("sample_id", "synth_run_number", "synth_experiment", "synth_distractors", "synth_fov_min", "synth_render_width", "synth_jpeg_quality_min", "synth_materials_roughness_min", "synth_texture_2", "synth_texture_25", "synth_palletjack_color_randomized", "synth_num_warehouse_distractors"))
 
 

@@ -109,6 +109,16 @@ def test_null_override_wins(spark):
     assert r.k == "null" and r.l == "2" and json.loads(r.m) == {"a": {"k": None, "l": 2}}
 
 
+def test_layers_give_the_columns_of_the_merged_configuration(spark):
+    layers = ['{"camera": {"fov_min": 60, "fov_max": 90}, "materials": {"textures": ["/a.jpg"]}, "run": {"distractors": "None"}}', '{"camera": {"fov_min": null, "noise_std_min": 2}}', '{"materials": {"textures": ["/x/b.jpg", "/c.jpg"]}, "render": {"width": 5}}']
+    d = spark.createDataFrame([("s", *layers, layers[0]), ("none", None, None, None, None), ("empty", "{}", None, "{}", "{}")], "sample_id string, a string, b string, c string, one string")
+    merged = configs.deep_merge(configs.deep_merge(F.col("a"), F.col("b")), F.col("c"))
+    d = d.withColumn("run_config", F.parse_json(merged)).withColumns({c: F.parse_json(c) for c in "abc"})
+    d = d.withColumns({"run_number": F.lit(3), "experiment": F.lit("e"), "n_annotations": F.lit(2)})
+    rows = [sorted(map(str, configs.synth_metadata(d, x).collect())) for x in (("run_config",), ("a", "b", "c"))]
+    assert rows[0] == rows[1] and "b.jpg" in rows[0][2]
+
+
 def test_sentinels(spark):
     d = spark.createDataFrame([("real", None), ("empty", "{}"), ("null", '{"camera": {"fov_min": null}, "run": {"distractors": "None"}}')], "sample_id string, c string")
     d = d.select("sample_id", F.parse_json("c").alias("run_config"), F.lit(None).cast("int").alias("run_number"), F.lit(None).cast("string").alias("experiment"), F.lit(2).alias("n_annotations"))
