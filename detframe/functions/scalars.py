@@ -63,3 +63,9 @@ def dir_number(name: Column) -> Column:
 def subset_of(path: Column) -> Column:
     """The second element of a path without its leading slashes; empty if there is none."""
     return F.coalesce(F.get(F.split(F.ltrim(path, F.lit("/")), "/"), F.lit(1)), F.lit(""))
+
+
+def reached(cuts: Column, value: Column, size: int) -> Column:
+    """How many of the ascending cuts, fewer than `size`, are no larger than the value, by bisection; 0 without cuts."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(size.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at))

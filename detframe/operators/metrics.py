@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import reached
 from .pairs import iou_of, overlap, pairs, per_sample
 from .samples import class_name
 
@@ -103,7 +104,8 @@ def average_precision(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, bu
     """AP per class: area under the interpolation-free precision-recall curve, over all samples.
 
     Predictions match per sample and class by falling score, once per ground truth. Curves are summed over
-    score buckets first, so no class runs through one task row by row; within a bucket rows are ordered.
+    score buckets first, so no class runs through one task row by row; within a bucket rows are ordered. Buckets end at
+    quantiles of all scores, so that a detector whose scores crowd together fills them evenly, too.
     """
     fits = lambda g, p: (g["cls"] == p["label"]) & overlap(g, p) & (iou_of(g, p) >= threshold)
     best = lambda p: F.array_max(F.transform(F.filter("gts", lambda g: fits(g, p)), lambda g: F.struct(iou_of(g, p), (-g["gt_idx"]).alias("g"))))["g"]
@@ -118,7 +120,10 @@ def average_precision(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, bu
     scored = d.select(F.inline(F.concat(F.coalesce(of_pred, none), F.coalesce(of_gt, none))))
     # Equal scores are one point of the curve.
     points = scored.groupBy("label", "score").agg(F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n"))
-    points = points.withColumn("bucket", F.when(F.col("score") == float("inf"), GROUND_TRUTH).otherwise(F.floor((1 - F.col("score")) * buckets)))
+    quantiles = F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 100 * buckets)
+    cuts = points.where(F.col("score") < float("inf")).agg(quantiles.alias("cuts")).scalar()
+    points = points.withColumn("cuts", cuts)
+    points = points.withColumn("bucket", F.when(F.col("score") == float("inf"), GROUND_TRUTH).otherwise(buckets - reached(F.col("cuts"), F.col("score"), buckets))).drop("cuts")
     real = F.col("bucket") != GROUND_TRUTH
     sums = points.groupBy("label", "bucket").agg(F.sum("tp").alias("btp"), F.sum("n").alias("bn"))
     so_far = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
