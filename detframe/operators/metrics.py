@@ -120,8 +120,9 @@ def average_precision(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, bu
     scored = d.select(F.inline(F.concat(F.coalesce(of_pred, none), F.coalesce(of_gt, none))))
     # Equal scores are one point of the curve.
     points = scored.groupBy("label", "score").agg(F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n"))
-    quantiles = F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 100 * buckets)
-    cuts = points.where(F.col("score") < float("inf")).agg(quantiles.alias("cuts")).scalar()
+    quantiles = F.percentile_approx(F.when(F.col("score") < float("inf"), F.col("score")), [i / buckets for i in range(1, buckets)], 100 * buckets)
+    # All columns are read and no row is filtered out, so that the cuts come from the points' own exchange.
+    cuts = points.agg(F.struct(quantiles.alias("cuts"), F.max("tp"), F.max("n")).alias("c")).scalar()["cuts"]
     points = points.withColumn("cuts", cuts)
     points = points.withColumn("bucket", F.when(F.col("score") == float("inf"), GROUND_TRUTH).otherwise(buckets - reached(F.col("cuts"), F.col("score"), buckets))).drop("cuts")
     real = F.col("bucket") != GROUND_TRUTH
