@@ -5,6 +5,7 @@ import random
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,17 @@ def test_box_forms(spark):
     assert one([boxes.giou(c, c, check=True)]) == [1.0]
     with pytest.raises(Exception, match="corners"):
         one([boxes.giou(c, swapped, check=True)])
+
+
+def test_tensors_leave_in_bounded_batches(spark, monkeypatch):
+    d = spark.createDataFrame([(str(i), bytearray([i] * 12), 2, 2, 3) for i in range(50)], "sample_id string, data binary, height int, width int, channels int").coalesce(1)
+    t = images.image_tensors(d, 128)
+    expected = {str(i): np.full(3 * 128 * 128, i / np.float32(255), np.float32).tobytes() for i in range(50)}
+    assert {r.sample_id: bytes(r.tensor) for r in t.collect()} == expected
+    given = []
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, run, schema: given.append(run) or self)
+    images.image_tensors(d, 128)
+    monkeypatch.undo()
+    batch = pa.RecordBatch.from_pydict({"sample_id": [str(i) for i in range(50)], "data": [bytes([i] * 12) for i in range(50)], "height": [2] * 50, "width": [2] * 50, "channels": [3] * 50})
+    out = list(given[0](iter([batch])))
+    assert len(out) > 1 and max(b.nbytes for b in out) <= images.BATCH_BYTES * 1.01 and sum(b.num_rows for b in out) == 50
