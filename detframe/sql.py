@@ -97,13 +97,16 @@ class ClusterBoxes:
     """Rows (sample_id, query_idx, label, x1, y1, x2, y2, score) of one sample -> its clusters."""
 
     def __init__(self):
-        self.rows: list[dict] = []
+        self.rows: list[tuple] = []
 
     def eval(self, row) -> None:
-        self.rows.append(row.asDict())
+        self.rows.append(row)
 
     def terminate(self) -> Iterator[tuple]:
-        for c in clusters(self.rows):
+        if not self.rows:
+            return
+        names = self.rows[0].__fields__
+        for c in clusters([dict(zip(names, r, strict=True)) for r in self.rows]):
             yield self.rows[0]["sample_id"], *c
 
 

@@ -162,3 +162,26 @@ def test_tensors_leave_in_bounded_batches(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"sample_id": [str(i) for i in range(50)], "data": [bytes([i] * 12) for i in range(50)], "height": [2] * 50, "width": [2] * 50, "channels": [3] * 50})
     out = list(given[0](iter([batch])))
     assert len(out) > 1 and max(b.nbytes for b in out) <= images.BATCH_BYTES * 1.01 and sum(b.num_rows for b in out) == 50
+
+
+def test_clusters_of_many_samples_at_once_equal_those_one_by_one():
+    """Small and large classes, equal scores, borders; in groups of a class below and above the size that has a matrix."""
+    r = random.Random(5)
+    samples = []
+    for i in range(300):
+        at = [(r.uniform(0, 50), r.uniform(0, 50)) for _ in range(3)]
+        rows = []
+        for q in range(r.choice([1, 2, 4, 7, 8, 9, 40])):
+            x, y = (c + r.choice([0, 0, r.uniform(-2, 2)]) for c in r.choice(at))
+            rows.append({"query_idx": q, "label": r.randrange(1 + i % 4), "x1": x, "y1": y, "x2": x + r.choice([0, 20, 22]), "y2": y + r.choice([20, 25]), "score": r.choice([0.01, 0.02, 0.3, r.random()])})
+        samples.append(r.sample(rows, len(rows)))
+    flat = [(i, x) for i, rows in enumerate(samples) for x in rows]
+    sample = np.array([i for i, _ in flat])
+    for tall in (0.0, 22.0):
+        got = clustering.clusters_of(sample, *(np.array([x[c] for _, x in flat]) for c in ("query_idx", "label")), np.array([[x[c] for c in ("x1", "y1", "x2", "y2")] for _, x in flat]), np.array([x["score"] for _, x in flat]), 0.15, 0.05, tall)
+        assert sorted(zip(*(c.tolist() for c in got), strict=True)) == [(i, *c) for i, rows in enumerate(samples) for c in clustering.clusters(rows, 0.15, 0.05, tall)]
+
+
+def test_clusters_of_no_rows(spark):
+    d = spark.createDataFrame([], "sample_id long, query_idx int, label int, x1 double, y1 double, x2 double, y2 double, score double")
+    assert clustering.cluster_boxes(d).count() == 0
