@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 EPS, LEAST = 0.15, 0.05
 #: Names and types of a cluster, after its sample.
 CLUSTER = "label int, cluster int, n int, score double, x1 double, y1 double, x2 double, y2 double"
-_NAMES = [c.split()[0] for c in CLUSTER.split(", ")]
+NAMES, TYPES = [c.split()[0] for c in CLUSTER.split(", ")], [pa.int32()] * 3 + [pa.float64()] * 5
 #: Classes of fewer boxes in a sample are clustered without a matrix. Rows that are clustered at once.
 FEW, ROWS = 8, 1 << 16
 
@@ -149,7 +149,6 @@ def clusters_of(sample: np.ndarray, query: np.ndarray, label: np.ndarray, b: np.
 def cluster_boxes(pred: DataFrame, eps: float = EPS, least: float = LEAST, min_height: float = 0.0) -> DataFrame:
     """pred(sample_id, label, x1..y2, score) -> sample_id, label, cluster, n, score, x1, y1, x2, y2."""
     kind = pred.schema["sample_id"].dataType.simpleString()
-    types = [pa.int32()] * 3 + [pa.float64()] * 5
 
     def run(batches):
         for batch in batches:
@@ -164,8 +163,8 @@ def cluster_boxes(pred: DataFrame, eps: float = EPS, least: float = LEAST, min_h
                 sample = low + np.repeat(np.arange(len(rows)), np.diff(np.r_[before, ends[low:high]]))
                 of = lambda c: flat.field(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 at, *columns = clusters_of(sample, of("query_idx"), flat.field("label").to_numpy(), np.stack([of(c).astype(float) for c in ("x1", "y1", "x2", "y2")], 1), of("score").astype(float), eps, least, min_height)
-                arrays = [pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *arrays], ["sample_id", *_NAMES])
+                arrays = [pa.array(c).cast(t) for c, t in zip(columns, TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *arrays], ["sample_id", *NAMES])
                 low = high
 
     # A sample holds a bounded number of predictions; many samples share an Arrow batch.

@@ -447,11 +447,15 @@ def sql_match_assign(spark, d):
     return tidy(spark.sql(f"WITH costs AS ({_SQL_COSTS}) SELECT sample_id, count(*) AS n, sum(cost) AS total_cost FROM match_boxes(TABLE(costs) PARTITION BY sample_id) GROUP BY sample_id"))
 
 
+#: Many samples to a partition of a table function, in order.
+_BLOCKS = "PARTITION BY pmod(xxhash64(sample_id), 4096) ORDER BY sample_id"
+
+
 @query(f"{_SCORED} SELECT sample_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT CASE WHEN iou >= 0.1 THEN gt_idx END) AS BIGINT) AS tp, round(sum(iou), 8) AS iou FROM scored WHERE rn = 1 GROUP BY 1")
 def sql_greedy_pairs(spark, d):
     """The best ground truth of each prediction, from a table function; the true positives as of det_prf_iou."""
     _views(spark, d)
-    return tidy(spark.sql("""
+    return tidy(spark.sql(f"""
         WITH pairs AS (SELECT sample_id, gt_idx, pred_idx, iou(xyxy(g.box), p.box) AS iou FROM detframe_gt g JOIN detframe_top p USING (sample_id))
         SELECT sample_id, count(*) AS n, count(DISTINCT CASE WHEN iou >= 0.1 THEN gt_idx END) AS tp, sum(iou) AS iou FROM greedy_pairs(TABLE(pairs) PARTITION BY sample_id) GROUP BY sample_id"""))
 
@@ -459,7 +463,7 @@ def sql_greedy_pairs(spark, d):
 @query()
 def sql_box_clusters(spark, d):
     _views(spark, d)
-    return spark.sql("SELECT * FROM cluster_boxes(TABLE(SELECT sample_id, query_idx, label, x1, y1, x2, y2, score FROM detframe_top) PARTITION BY sample_id)")
+    return spark.sql(f"SELECT * FROM cluster_boxes(TABLE(SELECT sample_id, query_idx, label, x1, y1, x2, y2, score FROM detframe_top) {_BLOCKS})")
 
 
 # ---- augmentation ------------------------------------------------------------------------------------------------

@@ -10,7 +10,9 @@
 - losses and costs of one number: `sigmoid(x)`, `focal_class_cost(p, alpha, gamma)`, `bce_with_logits(x, target)`
 - table functions over `TABLE(...) PARTITION BY sample_id`: `match_boxes` (sample_id, gt_idx, query_idx, cost: a cheapest
   one-to-one assignment), `greedy_pairs` (sample_id, gt_idx, pred_idx, iou: best ground truth of each prediction), and
-  `cluster_boxes` (sample_id and a cluster). A partition is one sample, at most 400 x 300 pairs.
+  `cluster_boxes` (sample_id and a cluster). A sample has at most 400 x 300 pairs. A partition of `match_boxes` is one sample;
+  the other two read Arrow batches, and a partition may also be a block of samples in order, which is faster for many small
+  samples: `PARTITION BY pmod(xxhash64(sample_id), 4096) ORDER BY sample_id`. A block without that order is an error.
 
 Boxes are arrays of four doubles. The scalar functions are SQL expressions, so filters and projections see through them.
 """
@@ -20,10 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators.clustering import CLUSTER, clusters
+from .operators.clustering import CLUSTER, EPS, LEAST, NAMES, TYPES, clusters_of
 from .operators.matching import assign
 from .operators.samples import CATEGORIES
 
@@ -75,45 +79,73 @@ class MatchBoxes:
             yield self.rows[0][0], gts[g], queries[q], float(cost[g, q])
 
 
-class GreedyPairs:
-    """Rows (sample_id, gt_idx, pred_idx, iou) of one sample -> the best ground truth of each prediction, the first of equals."""
+class WholeSamples:
+    """Arrow batches of a partition, in order of sample_id, as tables of whole samples; the last sample waits for its end."""
 
     def __init__(self):
-        self.best: dict = {}
-        self.sample = None
+        self.open: pa.Table | None = None
 
-    def eval(self, row) -> None:
-        self.sample = row["sample_id"]
-        own = (-row["iou"], row["gt_idx"])
-        if row["pred_idx"] not in self.best or own < self.best[row["pred_idx"]]:
-            self.best[row["pred_idx"]] = own
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if self.open is None else pa.concat_tables([self.open, rows])
+        ids = self.ids(rows)
+        if (ids[1:] < ids[:-1]).any():
+            raise ValueError("a partition of several samples must be in order: ORDER BY sample_id")
+        last = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0
+        self.open = rows.slice(last)
+        if last:
+            yield self.result(rows.slice(0, last).combine_chunks())
 
-    def terminate(self) -> Iterator[tuple]:
-        for p, (iou, g) in sorted(self.best.items()):
-            yield self.sample, g, p, -iou
+    def terminate(self) -> Iterator[pa.Table]:
+        if self.open is not None and self.open.num_rows:
+            yield self.result(self.open.combine_chunks())
 
+    @staticmethod
+    def ids(rows: pa.Table) -> np.ndarray:
+        return pc.fill_null(rows.column("sample_id"), np.iinfo(np.int64).min).to_numpy()
 
-class ClusterBoxes:
-    """Rows (sample_id, query_idx, label, x1, y1, x2, y2, score) of one sample -> its clusters."""
+    @staticmethod
+    def result(rows: pa.Table) -> pa.Table:
+        raise NotImplementedError
 
-    def __init__(self):
-        self.rows: list[tuple] = []
 
-    def eval(self, row) -> None:
-        self.rows.append(row)
+def _values(rows: pa.Table, name: str, kind) -> np.ndarray:
+    column = rows.column(name)
+    if column.null_count:
+        raise ValueError(f"{name} is null")
+    return column.to_numpy().astype(kind)
 
-    def terminate(self) -> Iterator[tuple]:
-        if not self.rows:
-            return
-        names = self.rows[0].__fields__
-        for c in clusters([dict(zip(names, r, strict=True)) for r in self.rows]):
-            yield self.rows[0]["sample_id"], *c
+
+class GreedyPairs(WholeSamples):
+    """Rows (sample_id, gt_idx, pred_idx, iou) of samples -> the best ground truth of each prediction, the first of equals."""
+
+    @staticmethod
+    def result(rows):
+        ids, gt, pred, iou = WholeSamples.ids(rows), *(_values(rows, c, np.int32) for c in ("gt_idx", "pred_idx")), _values(rows, "iou", float)
+        order = np.lexsort((gt, -iou, pred, ids))
+        new = np.ones(len(order), bool)
+        new[1:] = (ids[order][1:] != ids[order][:-1]) | (pred[order][1:] != pred[order][:-1])
+        at = order[new]
+        return pa.table({"sample_id": rows.column("sample_id").take(pa.array(at)), "gt_idx": gt[at], "pred_idx": pred[at], "iou": iou[at]})
+
+
+class ClusterBoxes(WholeSamples):
+    """Rows (sample_id, query_idx, label, x1, y1, x2, y2, score) of samples -> their clusters."""
+
+    @staticmethod
+    def result(rows):
+        ids = WholeSamples.ids(rows)
+        sample = np.cumsum(np.r_[0, ids[1:] != ids[:-1]])
+        box = np.stack([_values(rows, c, float) for c in ("x1", "y1", "x2", "y2")], 1)
+        at, *columns = clusters_of(sample, _values(rows, "query_idx", np.int64), _values(rows, "label", np.int32), box, _values(rows, "score", float), EPS, LEAST, 0.0)
+        first = np.searchsorted(sample, at)
+        return pa.table([rows.column("sample_id").take(pa.array(first)), *(pa.array(c).cast(t) for c, t in zip(columns, TYPES, strict=True))], ["sample_id", *NAMES])
 
 
 TABLES = (
-    ("match_boxes", MatchBoxes, "sample_id BIGINT, gt_idx INT, query_idx INT, cost DOUBLE"),
-    ("greedy_pairs", GreedyPairs, "sample_id BIGINT, gt_idx INT, pred_idx INT, iou DOUBLE"),
-    ("cluster_boxes", ClusterBoxes, f"sample_id bigint, {CLUSTER}"),
+    ("match_boxes", F.udtf, MatchBoxes, "sample_id BIGINT, gt_idx INT, query_idx INT, cost DOUBLE"),
+    ("greedy_pairs", F.arrow_udtf, GreedyPairs, "sample_id BIGINT, gt_idx INT, pred_idx INT, iou DOUBLE"),
+    ("cluster_boxes", F.arrow_udtf, ClusterBoxes, f"sample_id bigint, {CLUSTER}"),
 )
 
 
@@ -122,5 +154,5 @@ def register(spark: SparkSession) -> None:
     for name, parameters, result, body in SCALARS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION subset_of(path STRING) RETURNS STRING RETURN coalesce(get(split(ltrim('/', path), '/'), 1), '')")
-    for name, table, result in TABLES:
-        spark.udtf.register(name, F.udtf(table, returnType=result))
+    for name, function, table, result in TABLES:
+        spark.udtf.register(name, function(table, returnType=result))

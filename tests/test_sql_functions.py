@@ -82,3 +82,24 @@ def test_greedy_pairs_and_clusters(session):
     d.createOrReplaceTempView("boxes")
     got = session.sql("SELECT * FROM cluster_boxes(TABLE(boxes) PARTITION BY sample_id)").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, clustering.cluster_boxes(d).collect())) and len(got) > 10
+
+
+def test_table_functions_by_blocks_equal_those_by_sample(spark):
+    """Blocks of several samples, one of them longer than an Arrow batch; a block out of order is an error."""
+    sql.register(spark)
+    d = spark.range(40).selectExpr("id % 7 AS sample_id", "id").unionByName(spark.range(12_000).selectExpr("100L AS sample_id", "id"))
+    pairs = d.selectExpr("sample_id", "int(id % 5) AS gt_idx", "int(id % 11) AS pred_idx", "pmod(hash(id), 10) / 10D AS iou")
+    boxes = d.where("sample_id < 100 OR id < 300").selectExpr("sample_id", "int(id) AS query_idx", "int(id % 2) AS label", "id % 9 / 1D AS x1", "0D AS y1", "id % 9 + 30D AS x2", "20D AS y2", "pmod(hash(id), 10) / 20D AS score")
+    pairs.createOrReplaceTempView("block_pairs")
+    boxes.createOrReplaceTempView("block_boxes")
+    for function, view in (("greedy_pairs", "block_pairs"), ("cluster_boxes", "block_boxes")):
+        own, block = (sorted(spark.sql(f"SELECT * FROM {function}(TABLE({view}) PARTITION BY {by})").collect()) for by in ("sample_id", "sample_id % 3 ORDER BY sample_id"))
+        assert own == block and len({r.sample_id for r in own}) == 8
+    best = {}
+    for r in pairs.collect():
+        key = (r.sample_id, r.pred_idx)
+        best[key] = min(best.get(key, (1.0, 0)), (-r.iou, r.gt_idx))
+    got = spark.sql("SELECT * FROM greedy_pairs(TABLE(block_pairs) PARTITION BY sample_id % 3 ORDER BY sample_id)").collect()
+    assert {(r.sample_id, r.pred_idx): (-r.iou, r.gt_idx) for r in got} == best
+    with pytest.raises(Exception, match="ORDER BY sample_id"):
+        spark.sql("SELECT * FROM greedy_pairs(TABLE(block_pairs) PARTITION BY 1 ORDER BY sample_id DESC)").collect()
