@@ -32,11 +32,11 @@ from .operators.matching import assign
 from .operators.samples import CATEGORIES
 
 _INTER = "greatest(least(a[2], b[2]) - greatest(a[0], b[0]), 0D) * greatest(least(a[3], b[3]) - greatest(a[1], b[1]), 0D)"
-_UNION = f"((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - {_INTER})"
-_HULL = "((greatest(a[2], b[2]) - least(a[0], b[0])) * (greatest(a[3], b[3]) - least(a[1], b[1])))"
+_AREAS = "(a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1])"
+_HULL = "(greatest(a[2], b[2]) - least(a[0], b[0])) * (greatest(a[3], b[3]) - least(a[1], b[1]))"
 _NAN = "double('NaN')"
-_IOU = f"CASE WHEN {_UNION} = 0 THEN {_NAN} ELSE try_divide({_INTER}, {_UNION}) END"
-_GIOU = f"CASE WHEN {_HULL} = 0 THEN {_NAN} ELSE {_IOU} - try_divide({_HULL} - {_UNION}, {_HULL}) END"
+_INTER_AREAS = "overlap_area(a, b), summed_area(a, b)"
+_GIOU = f"giou_of({_INTER_AREAS}, hull_area(a, b))"
 _NAMES = ", ".join(f"'{n}'" for _, n, _ in sorted(CATEGORIES, key=lambda c: c[2]))
 _TWO, _BOX = "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "box ARRAY<DOUBLE>"
 #: Name, parameters, result and body of each scalar function.
@@ -45,8 +45,18 @@ SCALARS = (
     ("cxcywh", _BOX, "ARRAY<DOUBLE>", "array((box[0] + box[2]) / 2, (box[1] + box[3]) / 2, box[2] - box[0], box[3] - box[1])"),
     ("normalized_box", f"{_BOX}, width DOUBLE, height DOUBLE", "ARRAY<DOUBLE>", "array((box[0] + box[2] / 2) * (640D / width) / 640, (box[1] + box[3] / 2) * (640D / height) / 640, box[2] * (640D / width) / 640, box[3] * (640D / height) / 640)"),
     ("clip01", "x DOUBLE", "DOUBLE", "least(greatest(x, 0D), 1D)"),
-    ("iou", _TWO, "DOUBLE", f"{_INTER} / greatest({_UNION}, 1e-6D)"),
-    ("iou_exact", _TWO, "DOUBLE", _IOU),
+    # Parts of the overlaps, functions of their own: the optimiser makes an argument a column below, once a row, where a text
+    # in several places is compiled anew in each of them.
+    ("overlap_area", _TWO, "DOUBLE", _INTER),
+    ("summed_area", _TWO, "DOUBLE", _AREAS),
+    ("hull_area", _TWO, "DOUBLE", _HULL),
+    ("ratio_of", "inter DOUBLE, both DOUBLE", "DOUBLE", f"CASE WHEN both = 0 THEN {_NAN} ELSE try_divide(inter, both) END"),
+    ("enclosed_of", "inter DOUBLE, both DOUBLE, hull DOUBLE", "DOUBLE", f"CASE WHEN hull = 0 THEN {_NAN} ELSE CASE WHEN both = 0 THEN {_NAN} ELSE try_divide(inter, both) END - try_divide(hull - both, hull) END"),
+    ("giou_of", "inter DOUBLE, areas DOUBLE, hull DOUBLE", "DOUBLE", "enclosed_of(inter, areas - inter, hull)"),
+    ("exact_of", "inter DOUBLE, areas DOUBLE", "DOUBLE", "ratio_of(inter, areas - inter)"),
+    ("clamped_of", "inter DOUBLE, areas DOUBLE", "DOUBLE", "inter / greatest(areas - inter, 1e-6D)"),
+    ("iou", _TWO, "DOUBLE", f"clamped_of({_INTER_AREAS})"),
+    ("iou_exact", _TWO, "DOUBLE", f"exact_of({_INTER_AREAS})"),
     ("giou", _TWO, "DOUBLE", _GIOU),
     ("checked_giou", _TWO, "DOUBLE", f"CASE WHEN a[2] >= a[0] AND a[3] >= a[1] AND b[2] >= b[0] AND b[3] >= b[1] THEN {_GIOU} ELSE double(raise_error('box corners out of order')) END"),
     ("l1", _TWO, "DOUBLE", "abs(a[0] - b[0]) + abs(a[1] - b[1]) + abs(a[2] - b[2]) + abs(a[3] - b[3])"),

@@ -103,3 +103,9 @@ def test_table_functions_by_blocks_equal_those_by_sample(spark):
     assert {(r.sample_id, r.pred_idx): (-r.iou, r.gt_idx) for r in got} == best
     with pytest.raises(Exception, match="ORDER BY sample_id"):
         spark.sql("SELECT * FROM greedy_pairs(TABLE(block_pairs) PARTITION BY 1 ORDER BY sample_id DESC)").collect()
+
+
+def test_overlaps_are_computed_once_a_row(session):
+    d = boxes_frame(session)
+    plan = d.selectExpr("iou_exact(a, b) AS i", "giou(a, b) AS g")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("greatest") == 10  # four for each function's overlap, two for the hull
