@@ -457,7 +457,7 @@ def sql_greedy_pairs(spark, d):
     _views(spark, d)
     return tidy(spark.sql(f"""
         WITH pairs AS (SELECT sample_id, gt_idx, pred_idx, iou(xyxy(g.box), p.box) AS iou FROM detframe_gt g JOIN detframe_top p USING (sample_id))
-        SELECT sample_id, count(*) AS n, count(DISTINCT CASE WHEN iou >= 0.1 THEN gt_idx END) AS tp, sum(iou) AS iou FROM greedy_pairs(TABLE(pairs) PARTITION BY sample_id) GROUP BY sample_id"""))
+        SELECT sample_id, count(*) AS n, count(DISTINCT CASE WHEN iou >= 0.1 THEN gt_idx END) AS tp, sum(iou) AS iou FROM greedy_pairs(TABLE(pairs) {_BLOCKS}) GROUP BY sample_id"""))
 
 
 @query()
