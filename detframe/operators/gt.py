@@ -28,16 +28,16 @@ def padded(samples: DataFrame, gt: DataFrame, max_gt: int = MAX_GT) -> DataFrame
     """gt_padded (max_gt rows of cls, cx, cy, w, h; -1 where there is none), gt_boxes (0), gt_labels (-1), gt_mask."""
     rows = gt.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("gt_idx", "cls", "cx", "cy", "w", "h"))).alias("g"))
     flat = F.transform("g", lambda r: F.array(*[r[c].cast("float") for c in ("cls", "cx", "cy", "w", "h")]))
-    none = F.array_repeat(F.lit(-1.0).cast("float"), 5)
-    dense = F.slice(F.concat(F.coalesce(flat, F.array().cast("array<array<float>>")), F.array_repeat(none, max_gt)), 1, max_gt)
-    out = samples.select("sample_id").join(rows, "sample_id", "left").select("sample_id", dense.alias("gt_padded"))
     real = lambda r: r[0] >= 0
-    return out.select(
-        "sample_id", "gt_padded",
-        F.transform("gt_padded", lambda r: F.when(real(r), F.slice(r, 2, 4)).otherwise(F.array_repeat(F.lit(0.0).cast("float"), 4))).alias("gt_boxes"),
-        F.transform("gt_padded", lambda r: r[0].cast("int")).alias("gt_labels"),
-        F.transform("gt_padded", lambda r: real(r).cast("float")).alias("gt_mask"),
+    zeros, minus = F.array_repeat(F.lit(0.0).cast("float"), 4), F.array_repeat(F.lit(-1.0).cast("float"), 5)
+    own = rows.select("sample_id", flat.alias("__flat")).select(
+        "sample_id", "__flat", F.transform("__flat", lambda r: F.when(real(r), F.slice(r, 2, 4)).otherwise(zeros)).alias("__boxes"),
+        F.transform("__flat", lambda r: r[0].cast("int")).alias("__labels"), F.transform("__flat", lambda r: real(r).cast("float")).alias("__mask"),
     )
+    # Functions run over a sample's own rows, below the join; what fills up to max_gt above it is a constant.
+    filled = lambda c, none: F.slice(F.concat(F.coalesce(c, F.array().cast(own.schema[c].dataType)), F.array_repeat(none, max_gt)), 1, max_gt)
+    fill = {"gt_padded": ("__flat", minus), "gt_boxes": ("__boxes", zeros), "gt_labels": ("__labels", F.lit(-1)), "gt_mask": ("__mask", F.lit(0.0).cast("float"))}
+    return samples.select("sample_id").join(own, "sample_id", "left").select("sample_id", *[filled(*f).alias(n) for n, f in fill.items()])
 
 
 def from_padded(dense: DataFrame) -> DataFrame:
@@ -48,7 +48,8 @@ def from_padded(dense: DataFrame) -> DataFrame:
 
 def valid_targets(dense: DataFrame) -> DataFrame:
     """Long form of the dense views gt_boxes, gt_labels and gt_mask: rows whose mask exceeds 0.5, renumbered in order."""
-    rows = F.filter(F.arrays_zip("gt_boxes", "gt_labels", "gt_mask"), lambda r: r["gt_mask"] > 0.5)
+    places = F.filter(F.sequence(F.lit(0), F.size("gt_mask") - 1), lambda i: F.get("gt_mask", i) > 0.5)
+    rows = F.transform(F.when(F.size("gt_mask") > 0, places), lambda i: F.struct(F.get("gt_boxes", i).alias("gt_boxes"), F.get("gt_labels", i).alias("gt_labels")))
     g = dense.select("sample_id", F.posexplode(rows).alias("gt_idx", "r"))
     boxes = [F.col("r.gt_boxes")[i].cast("float").alias(c) for i, c in enumerate(("cx", "cy", "w", "h"))]
     return g.select("sample_id", "gt_idx", F.col("r.gt_labels").cast("long").alias("cls"), *boxes)

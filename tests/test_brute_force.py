@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from detframe.functions import boxes
 from detframe.operators import clustering, images
+from detframe.operators import gt as gts
 
 
 def overlap(a, b):
@@ -185,3 +186,15 @@ def test_clusters_of_many_samples_at_once_equal_those_one_by_one():
 def test_clusters_of_no_rows(spark):
     d = spark.createDataFrame([], "sample_id long, query_idx int, label int, x1 double, y1 double, x2 double, y2 double, score double")
     assert clustering.cluster_boxes(d).count() == 0
+
+
+def test_padding_runs_no_function_over_its_constants(spark):
+    s = spark.range(3).withColumnRenamed("id", "sample_id")
+    g = spark.createDataFrame([(0, 1, 2, 0.1, 0.2, 0.3, 0.4), (0, 0, 1, 0.5, 0.6, 0.7, 0.8), (2, 0, -3, 0.1, 0.1, 0.1, 0.1)], "sample_id long, gt_idx int, cls int, cx double, cy double, w double, h double")
+    dense = gts.padded(s, g, 4)
+    plan = dense._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan[: plan.index("Join")]
+    rows = {r.sample_id: r for r in dense.collect()}
+    assert rows[0].gt_labels == [1, 2, -1, -1] and rows[0].gt_mask == [1, 1, 0, 0] and rows[0].gt_boxes[2:] == [[0.0] * 4] * 2 and rows[0].gt_padded[2:] == [[-1.0] * 5] * 2
+    assert rows[1].gt_mask == [0] * 4 and rows[2].gt_labels == [-3, -1, -1, -1] and rows[2].gt_mask == [0] * 4 and rows[2].gt_boxes[0] == [0.0] * 4
+    assert sorted((r.sample_id, r.gt_idx, r.cls) for r in gts.valid_targets(dense).collect()) == [(0, 0, 1), (0, 1, 2)]
