@@ -522,6 +522,8 @@ def stream_frames(spark, d):
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") % 1000)
     config = F.concat(F.lit('{"run": {"num_frames": '), F.count(F.lit(1)).cast("string"), F.lit("}}"))
     configs_ = e.groupBy("run_dir", "experiment").agg(config.alias("config")).withColumn("event_time", F.timestamp_seconds(F.lit(1_700_000_500)))
+    # Few rows, of many frames each: by a given number, or all would go to one task.
+    configs_ = configs_.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "run_dir", "experiment")
     few = F.when(F.col("event_id") % 3 > 0, F.sequence(F.lit(0), (F.col("event_id") % 3 - 1).cast("int")))
     labels = e.withColumn("ann_pos", F.explode(few)).select("run_dir", "experiment", "frame", "ann_pos", F.lit(11).alias("category_id"), (F.col("event_id") % 600 + F.col("ann_pos")).cast("double").alias("x"), *[F.lit(1.0).alias(c) for c in "ywh"], at.alias("event_time"))
     folder, target = scratch(spark, "arrivals"), scratch(spark, "assembled")

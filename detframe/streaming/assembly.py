@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +22,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.kitti import frames
 
-#: Frames that share a state (64 x 400 labels at most).
-BLOCK = 64
+#: Frames that share a state (1024 x 400 labels of 60 bytes at most): Spark's cost of a group is paid once for all of them.
+BLOCK = 1024
 EVENT = "run_dir string, experiment string, frame int, event_time timestamp, config string, ann_pos long, category_id int, x double, y double, w double, h double"
 LABEL = ("ann_pos", "category_id", "x", "y", "w", "h")
 ANNOTATIONS = "array<struct<ann_pos:bigint,category_id:int,x:double,y:double,w:double,h:double>>"
+#: A state's rows: of each frame its latest configuration (as a place among the texts), and its labels' latest versions.
+CONFIGS = np.dtype([("frame", "<i4"), ("at", "<i8"), ("text", "<i4")])
+LABELS = np.dtype([("frame", "<i4"), ("ann_pos", "<i8"), ("at", "<i8"), ("category_id", "<i4"), *((c, "<f8") for c in "xywh")])
 _NAMES = [c.split()[0] for c in EVENT.split(", ")]
 
 
@@ -37,33 +42,52 @@ def events(configs: DataFrame, labels: DataFrame) -> DataFrame:
     return of(f).unionByName(of(labels))
 
 
+def _latest(rows: np.ndarray, *key: str) -> np.ndarray:
+    """Of rows with one key the highest by all fields; in order of the key, which comes first in the fields."""
+    rows = rows[np.lexsort([rows[n] for n in reversed(rows.dtype.names)])]
+    last = np.ones(len(rows), bool)
+    last[:-1] = reduce(np.logical_or, [rows[k][1:] != rows[k][:-1] for k in key])
+    return rows[last]
+
+
+def _records(dtype: np.dtype, part: pd.DataFrame, **other: np.ndarray) -> np.ndarray:
+    out = np.empty(len(part), dtype)
+    for name in dtype.names:
+        column = part[name] if name not in other else other[name]
+        if dtype[name].kind == "i" and pd.isna(column).any():
+            raise ValueError(f"an event without {name}")
+        out[name] = column
+    return out
+
+
 def _update(wait_ms: int):
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run_dir, experiment, _ = key
+        last, texts, configs, labels = state.get if state.exists else (0, "[]", b"", b"")
+        texts, configs, labels = json.loads(texts), np.frombuffer(configs, CONFIGS), np.frombuffer(labels, LABELS)
         if state.hasTimedOut:
-            data = json.loads(state.get[0])
             state.remove()
-            rows = []
-            for frame, (config, labels) in sorted(data["frames"].items(), key=lambda f: int(f[0])):
-                if config:
-                    anns = [dict(zip(LABEL, (int(pos), *label[1:]), strict=True)) for pos, label in sorted(labels.items(), key=lambda x: int(x[0]))]
-                    rows.append((run_dir, experiment, int(frame), config[1], json.dumps(anns)))
-            if rows:
-                yield pd.DataFrame(rows, columns=["run_dir", "experiment", "frame", "config", "annotations"])
+            if len(configs):
+                low, high = (np.searchsorted(labels["frame"], configs["frame"], side) for side in ("left", "right"))
+                lists = {c: [values[a:b] for a, b in zip(low, high, strict=True)] for c in LABEL for values in (np.ascontiguousarray(labels[c]),)}
+                yield pd.DataFrame({"run_dir": run_dir, "experiment": experiment, "frame": configs["frame"], "config": [texts[i] for i in configs["text"]], **lists})
             return
-        data = json.loads(state.get[0]) if state.exists else {"last": 0, "frames": {}}
         for part in parts:
-            for r in part.itertuples(index=False):
-                own = data["frames"].setdefault(str(int(r.frame)), [None, {}])
-                if r.config is not None:
-                    own[0] = max(own[0] or [-1, ""], [int(r.at), r.config])
-                else:
-                    new = [int(r.at), int(r.category_id), float(r.x), float(r.y), float(r.w), float(r.h)]
-                    pos = str(int(r.ann_pos))
-                    own[1][pos] = max(own[1].get(pos, new), new)
-                data["last"] = max(data["last"], int(r.at))
-        state.update((json.dumps(data),))
-        state.setTimeoutTimestamp(max(data["last"] + wait_ms, state.getCurrentWatermarkMs() + 1))
+            has = part["config"].notna().to_numpy()
+            if has.any():
+                named, own = part[has], texts
+                texts = sorted({*own, *named["config"].unique()})  # so that places are in the order of the texts
+                at = {t: i for i, t in enumerate(texts)}
+                moved = configs.copy()
+                moved["text"] = np.array([at[t] for t in own], np.int32)[configs["text"]] if own else configs["text"]
+                configs = _latest(np.concatenate((moved, _records(CONFIGS, named, text=named["config"].map(at)))), "frame")
+            labels = _latest(np.concatenate((labels, _records(LABELS, part[~has]))), "frame", "ann_pos")
+            last = max(last, int(part["at"].max()))
+        kept = sorted(set(configs["text"].tolist()))
+        configs = configs.copy()
+        configs["text"] = np.searchsorted(kept, configs["text"])
+        state.update((last, json.dumps([texts[i] for i in kept]), configs.tobytes(), labels.tobytes()))
+        state.setTimeoutTimestamp(max(last + wait_ms, state.getCurrentWatermarkMs() + 1))
         return
         yield
 
@@ -74,9 +98,10 @@ def assembled(stream: DataFrame, late: str = "1 hour", wait_seconds: int = 0) ->
     """run_dir, experiment, frame, config, annotations of a stream of events: append mode, each frame once."""
     e = stream.select(*_NAMES).withWatermark("event_time", late)
     e = e.withColumn("at", F.unix_millis("event_time")).withColumn("block", F.floor(F.col("frame") / BLOCK).cast("int"))
-    out = "run_dir string, experiment string, frame int, config string, annotations string"
-    made = e.groupBy("run_dir", "experiment", "block").applyInPandasWithState(_update(wait_seconds * 1000), out, "data string", "append", GroupStateTimeout.EventTimeTimeout)
-    return made.withColumn("annotations", F.from_json("annotations", ANNOTATIONS))
+    out = "run_dir string, experiment string, frame int, config string, ann_pos array<bigint>, category_id array<int>, x array<double>, y array<double>, w array<double>, h array<double>"
+    kept = "last long, texts string, configs binary, labels binary"
+    made = e.groupBy("run_dir", "experiment", "block").applyInPandasWithState(_update(wait_seconds * 1000), out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return made.select("run_dir", "experiment", "frame", "config", F.arrays_zip(*LABEL).cast(ANNOTATIONS).alias("annotations"))
 
 
 def assembled_batch(all_events: DataFrame) -> DataFrame:
