@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
@@ -28,10 +33,10 @@ def read_coco_ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT_BY
     """What read_coco gives, each document read by a task for every split_bytes of it; several documents by a pattern."""
     ranges = plan(spark, path, split_bytes)
     image, ann = (t.removeprefix(f"{n} array<")[:-1] for n, t in zip(("images", "annotations"), SCHEMA.split(", "), strict=True))
-    i = array_records(spark, ranges, "images").withColumn("i", F.from_json("record", image))
-    a = array_records(spark, ranges, "annotations").withColumn("a", F.from_json("record", ann))
-    images = i.select(F.col("i.id").alias("image_id"), F.col("pos").alias("image_pos"), "i.path", "i.width", "i.height")
-    return images, a.select("a.image_id", F.col("pos").alias("ann_pos"), "a.category_id", "a.bbox")
+    # A generator, as Spark moves what filters a field later on below a projection: records would be parsed for it once more.
+    parsed = lambda name, kind, pos: array_records(spark, ranges, name).select(F.col("pos").alias(pos), F.inline(F.array(F.from_json("record", kind))))
+    i, a = parsed("images", image, "image_pos"), parsed("annotations", ann, "ann_pos")
+    return i.select(F.col("id").alias("image_id"), "image_pos", "path", "width", "height"), a.select("image_id", "ann_pos", "category_id", "bbox")
 
 
 class DocumentWriter(StagedWriter):
@@ -48,7 +53,14 @@ class DocumentWriter(StagedWriter):
                 out.close()
 
         for batch in iterator:
-            for file, of, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            files_, sections, records = batch.columns
+            n = batch.num_rows
+            if not n:
+                continue
+            other = reduce(pc.or_, [pc.not_equal(c.slice(1), c.slice(0, n - 1)) for c in (files_, sections)])
+            starts = [0, *(i + 1 for i in np.flatnonzero(other.to_numpy(zero_copy_only=False)).tolist())]
+            for start, end in zip(starts, [*starts[1:], n], strict=True):
+                file, of = files_[start].as_py(), sections[start].as_py()
                 if file != path:
                     close()
                     path, section, files = file, None, files + 1
@@ -57,9 +69,10 @@ class DocumentWriter(StagedWriter):
                     out.write(f'{"], " if done else "{"}"{of}": ['.encode())
                     section = of
                     done.append(of)
-                    out.write(record.encode())
                 else:
-                    out.write(b",\n" + record.encode())
+                    out.write(b",\n")
+                run = pa.ListArray.from_arrays(pa.array([0, end - start], pa.int32()), records.slice(start, end - start).cast(pa.string()))
+                out.write(pc.binary_join(run, ",\n")[0].as_buffer())
         close()
         return files
 
@@ -84,10 +97,14 @@ def write_coco(images: DataFrame, annotations: DataFrame, folder: str, documents
     """
     spark = images.sparkSession
     spark.dataSource.register(Documents)
-    file = F.format_string("%05d.json", F.pmod(F.xxhash64("image_id"), F.lit(documents)))
-    i = images.select(file.alias("file"), F.lit("images").alias("section"), "image_id", F.lit(0).cast("long").alias("at"), F.to_json(F.struct(F.col("image_id").alias("id"), "path", "width", "height")).alias("record"))
-    a = annotations.select(file.alias("file"), F.lit("annotations").alias("section"), "image_id", F.col("ann_pos").cast("long").alias("at"), F.to_json(F.struct("image_id", "category_id", "bbox")).alias("record"))
-    rows = i.unionByName(a).repartition(min(documents, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file").sortWithinPartitions("file", "section", "image_id", "at")
+    document = F.pmod(F.xxhash64("image_id"), F.lit(documents)).alias("document")
+    record = lambda at, place, *fields: (document, F.lit(place).alias("place"), "image_id", at.cast("long").alias("at"), F.to_json(F.struct(*fields)).alias("record"))
+    a = annotations.select(*record(F.col("ann_pos"), 0, "image_id", "category_id", "bbox"))
+    i = images.select(*record(F.lit(0), 1, F.col("image_id").alias("id"), "path", "width", "height"))
+    tasks = min(documents, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Numbers are dealt out evenly and sorted; names follow.
+    rows = i.unionByName(a).repartitionById(tasks, (F.col("document") % tasks).cast("int")).sortWithinPartitions("document", "place", "image_id", "at")
+    rows = rows.select(F.format_string("%05d.json", "document").alias("file"), F.get(F.array(*map(F.lit, SECTIONS)), "place").alias("section"), "record")
     rows.select("file", "section", "record").write.format("annotation_documents").mode("append").option("path", folder).save()
 
 

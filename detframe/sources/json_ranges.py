@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ..storage import listed, store
 
 SPLIT_BYTES, BLOCK = 32 << 20, 1 << 20
+#: Bytes that are read at once beyond a range's end, to the end of its last record.
+TAIL = 1 << 16
 QUOTE, BACKSLASH, COMMA = b'"'[0], b"\\"[0], b","[0]
 #: +1 for what opens, -1 for what closes; 2 for a quote, 3 for an opening brace.
 _KIND = np.zeros(256, np.int8)
@@ -44,18 +46,18 @@ def _escaped(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Window:
-    """Blocks of a byte range, each with the backslashes that stand right before it."""
+    """Blocks of a byte range, each with the backslashes that stand right before it; small ones from own on."""
 
-    def __init__(self, path: str, start: int, end: int):
+    def __init__(self, path: str, start: int, end: int, own: int | None = None):
         self.fs, self.path = store(path)
-        self.start, self.end = start, end
+        self.start, self.end, self.own = start, end, end if own is None else own
 
     def __iter__(self):
         """(offset, bytes as an array, how many of them belong to what came before)."""
         with self.fs.open_input_file(self.path) as f:
             at = self.start
             while at < self.end:
-                data = f.read_at(min(BLOCK, self.end - at), at)
+                data = f.read_at(min(BLOCK, self.own - at) if at < self.own else min(TAIL, self.end - at), at)
                 if not data:
                     return
                 lead = 0
@@ -97,7 +99,7 @@ def _summary(path: str, start: int, end: int) -> dict:
 def _string_end(path: str, start: int, size: int) -> bytes:
     """The string whose opening quote stands at start, as JSON text."""
     out = b""
-    for _, data, lead in Window(path, start + 1, size):
+    for _, data, lead in Window(path, start + 1, size, start):
         at, kind = signs(data, lead)
         ends = at[kind == 2]
         if len(ends):
@@ -146,9 +148,7 @@ def _records(path: str, start: int, end: int, size: int, inside: int, depth: int
     """Texts of the records that begin in [max(start, low), min(end, high)), in order."""
     stop = min(end, high)
     begun, kept = -1, b""
-    for offset, data, lead in Window(path, start, size):
-        if offset >= stop and begun < 0:
-            return
+    for offset, data, lead in Window(path, start, size, stop):
         at, kind = signs(data, lead)
         quote = kind == 2
         state = (np.cumsum(quote) + inside) % 2
@@ -174,6 +174,8 @@ def _records(path: str, start: int, end: int, size: int, inside: int, depth: int
                 opens = whole
             for a, b in zip(opens, ends if ends is not None else (), strict=True):
                 yield raw[a : b + 1]
+        if begun < 0 and offset + len(raw) >= stop:
+            return
         if len(at):
             inside, depth = int(state[-1]), int(after[-1])
 
@@ -183,9 +185,11 @@ def _ranges(found: list[tuple[str, int]], split_bytes: int) -> list[dict]:
 
 
 def _each(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """One task a row."""
+    """A task for neighbouring rows of SPLIT_BYTES in all; for fewer, up to four tasks for each core."""
+    held = sum(min(r["end"], r.get("high", r["end"])) - max(r["start"], r.get("low", 0)) for r in rows)
+    tasks = min(len(rows), max(4 * spark.sparkContext.defaultParallelism, -(-held // SPLIT_BYTES)))
     df = spark.createDataFrame([(i, *r.values()) for i, r in enumerate(rows)], f"task int, {schema}")
-    return df.repartitionById(len(rows), F.col("task"))
+    return df.repartitionById(tasks, F.floor(F.col("task").cast("long") * tasks / len(rows)).cast("int"))
 
 
 def plan(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> list[dict]:
@@ -246,7 +250,7 @@ def plan(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> list
 
 
 def array_records(spark: SparkSession, ranges: list[dict], name: str) -> DataFrame:
-    """path, pos (0-based), record (JSON text) of one array of the documents, a task for each of its ranges."""
+    """path, pos (0-based), record (JSON text) of one array of the documents, range by range."""
     rows = [{k: r[k] for k in ("path", "size", "start", "end", "inside", "depth")} | {"low": low, "high": high, "first": first} for r in ranges for array, low, high, first in r["parts"] if array == name]
     if not rows:
         return spark.createDataFrame([], "path string, pos long, record string")
