@@ -30,7 +30,7 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_coco_ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """What read_coco gives, each document read by a task for every split_bytes of it; several documents by a pattern."""
+    """What read_coco gives, each document read in ranges of split_bytes, which share tasks while small; several documents by a pattern."""
     ranges = plan(spark, path, split_bytes)
     image, ann = (t.removeprefix(f"{n} array<")[:-1] for n, t in zip(("images", "annotations"), SCHEMA.split(", "), strict=True))
     # A generator, as Spark moves what filters a field later on below a projection: records would be parsed for it once more.
